@@ -1,12 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (bytes of the lower-cased word between
-boundary marks, hashed to a table), a span of words is the mean of its words, and a linear softmax
-turns that into two classes. Table and softmax are trained together. A misspelling of a word that
+boundary marks, hashed to a table), a span of ``SPAN`` words is the mean of its words (a word that it
+repeats, or that it is too short to have, adds nothing), and a linear softmax turns that into two
+classes. Table and softmax are trained together. A misspelling of a word that
 training saw shares most of its n-grams, and so most of its vector.
 
-A document may be toxic in one sentence only. So it is cut into spans of ``SPAN`` words, and it is
-as toxic as its most toxic span; training learns from that span of each document (after a start from
+A document may be toxic in one sentence only. So it is cut into spans, and it is as
+toxic as its most toxic span; training learns from that span of each document (after a start from
 the mean of all of them). The softmax of a mean of means is linear in the n-grams, so a trained model
 comes down to one number per table entry, 256 KB in all, and that is what scoring tasks get.
 """
@@ -33,8 +34,11 @@ SPAN = 32
 TRAIN_PER_CLASS = 2_500
 TRAIN_CHARS = 40_000
 EPOCHS = 60
-WARM_EPOCHS = 15
+WARM_EPOCHS = 5
 THRESHOLD = 0.3
+#: Step sizes of table, softmax and bias.
+RATES = (1.0, 0.05, 0.05)
+SMOOTHING = 1.0
 
 
 def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +74,20 @@ def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return entry[np.argsort(owner, kind="stable")], counts
 
 
-def _spans(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Where each span begins, in words, and the text it is of; a last short span joins the one before."""
+def _spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that count, where each span begins among them, and the text each span is of.
+
+    A last short span joins the one before. A word that a span repeats counts once in it.
+    """
     counts = words.counts
     n = np.maximum(counts // SPAN, (counts > 0).astype(np.int64))
     of = np.repeat(np.arange(len(counts)), n)
-    inner = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(of) else np.zeros(0, np.int64)
-    return words.of[of] + inner * SPAN, of
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    starts = words.of[of] + inner * SPAN
+    span = np.repeat(np.arange(len(of)), np.diff(np.append(starts, len(words))))
+    _, first = np.unique(mixed(words.hashes(7, lower=True) + span.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    first.sort()
+    return first, np.searchsorted(span[first], np.arange(len(of))), of
 
 
 @dataclass
@@ -93,9 +104,8 @@ class Model:
             return out
         entry, counts = _grams(words)
         per_word = np.add.reduceat(self.scores[entry], np.concatenate([[0], np.cumsum(counts)[:-1]])) / counts
-        starts, of = _spans(words)
-        lengths = np.diff(np.append(starts, len(words)))
-        spans = np.add.reduceat(per_word, starts) / lengths + self.bias
+        kept, begin, of = _spans(words)
+        spans = np.add.reduceat(per_word[kept], begin) / SPAN + self.bias
         most = np.full(len(out), -np.inf)
         np.maximum.at(most, of, spans)
         return np.where(np.isfinite(most), most, out)
@@ -115,18 +125,18 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
         if not len(words):
             continue
         entry, counts = _grams(words)
-        begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        first_entry = np.cumsum(counts) - counts
         distinct, first, inverse = np.unique(words.hashes(7, lower=True), return_index=True, return_inverse=True)
         number = np.empty(len(distinct), np.int64)
         for i, (h, f) in enumerate(zip(distinct.tolist(), first.tolist())):
             if h not in vocabulary:
                 vocabulary[h] = len(vocabulary)
-                entries.append(entry[begin[f] : begin[f] + counts[f]])
+                entries.append(entry[first_entry[f] : first_entry[f] + counts[f]])
                 per_word.append(counts[f])
             number[i] = vocabulary[h]
-        members.append(number[inverse])
-        starts, of = _spans(words)
-        span_lengths.append(np.diff(np.append(starts, len(words))))
+        kept, begin, of = _spans(words)
+        members.append(number[inverse][kept])
+        span_lengths.append(np.diff(np.append(begin, len(kept))))
         span_of.append(of + a)
     if not members:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
@@ -143,11 +153,15 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
     softmax = random.normal(0, 0.5, (DIMENSIONS, 2))
     bias = np.array([0.0, 0.0])
     parameters = [table, softmax, bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+    moments = [(np.zeros_like(p), np.zeros(())) for p in parameters]
+    # gradients grow with an n-gram's frequency, their noise with its root: dividing by the root lets
+    # n-grams that recur in one class move most, and not those of every document or of a single one
+    frequency = np.bincount(entry, np.repeat(np.bincount(member, minlength=len(per_word)) / per_word, per_word), BUCKETS)
+    scale = (1 / np.sqrt(frequency + SMOOTHING))[:, None]
     for epoch in range(EPOCHS):
         direction = softmax[:, 1] - softmax[:, 0]
         word = np.add.reduceat((table @ direction)[entry], word_begin) / per_word
-        span = np.add.reduceat(word[member], span_begin) / length
+        span = np.add.reduceat(word[member], span_begin) / SPAN
         if epoch < WARM_EPOCHS:
             weight = np.repeat(1 / doc_spans, doc_spans)
         else:
@@ -156,14 +170,14 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
             weight /= np.repeat(np.add.reduceat(weight, doc_begin), doc_spans)
         logit = np.add.reduceat(weight * span, doc_begin) + bias[1] - bias[0]
         off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
-        span_off = np.repeat(off, doc_spans) * weight / length
+        span_off = np.repeat(off, doc_spans) * weight / SPAN
         word_off = np.bincount(member, np.repeat(span_off, length), len(per_word)) / per_word
         entry_off = np.bincount(entry, np.repeat(word_off, per_word), BUCKETS)
         toward = entry_off @ table
-        gradients = [np.outer(entry_off, direction), np.stack([-toward, toward], 1), np.array([-off.sum(), off.sum()])]
-        for p, g, (m, v), rate in zip(parameters, gradients, moments, (0.3, 0.05, 0.05)):
+        gradients = [scale * np.outer(entry_off, direction), np.stack([-toward, toward], 1), np.array([-off.sum(), off.sum()])]
+        for p, g, (m, v), rate in zip(parameters, gradients, moments, RATES):
             m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
+            v += 0.01 * ((g * g).mean() - v)
             t = epoch + 1
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
