@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auxograph.llm import chat, decontamination, exact_dedup, mixing, sharding, token_store, toxicity
+from auxograph.llm import chat, decontamination, exact_dedup, mixing, near_dedup, quality, sharding, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,10 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": exact_dedup.query,
         "op2_mixing": mixing.query,
         "op3_sharding": sharding.query,
+        "op4_quality": quality.query,
         "op5_toxicity": toxicity.query,
         "op6_chat": chat.query,
+        "op7_near_dedup": near_dedup.query,
         "op9_decontamination": decontamination.query,
         "op10_token_store": token_store.query,
     }
@@ -30,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.SQL,
         "op2_mixing": mixing.SQL,
         "op6_chat": chat.SQL,
+        "op7_near_dedup": near_dedup.SQL,
         "op9_decontamination": decontamination.SQL,
     }
