@@ -35,6 +35,7 @@ BLOCK_WORDS = 2_000_000
 SEGMENT = T.StructType(
     [
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
+        T.StructField("text_hashes", T.ArrayType(T.LongType())),
         T.StructField("n_words", T.ArrayType(T.IntegerType())),
         T.StructField("terms", T.ArrayType(T.LongType())),
         T.StructField("lengths", T.ArrayType(T.IntegerType())),
@@ -44,6 +45,7 @@ SEGMENT = T.StructType(
 HITS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
@@ -53,7 +55,7 @@ HITS = T.StructType(
 )
 
 
-def _segment(doc_ids: list, counts: list[np.ndarray], terms: list[np.ndarray], gap: int, vocabulary: np.ndarray | None):
+def _segment(doc_ids: list, text_hashes: list, counts: list[np.ndarray], terms: list[np.ndarray], gap: int, vocabulary: np.ndarray | None):
     """One row of the index. ``terms``: the words of all documents, in order."""
     n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     words = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
@@ -69,6 +71,7 @@ def _segment(doc_ids: list, counts: list[np.ndarray], terms: list[np.ndarray], g
     gaps[first] = at[first]
     return {
         "doc_ids": doc_ids,
+        "text_hashes": text_hashes,
         "n_words": n_words.astype(np.int32),
         "terms": words[first].view(np.int64),
         "lengths": np.diff(first, append=len(words)).astype(np.int32),
@@ -93,13 +96,14 @@ def build_index(
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
+        marks: list = []
         counts: list = []
         terms: list = []
         size = 0
 
         def row():
-            made = _segment(ids, counts, terms, gap, vocabulary)
-            kinds = {"doc_ids": pa.int64(), "n_words": pa.int32(), "terms": pa.int64(), "lengths": pa.int32(), "gaps": pa.int32()}
+            made = _segment(ids, marks, counts, terms, gap, vocabulary)
+            kinds = {"doc_ids": pa.int64(), "text_hashes": pa.int64(), "n_words": pa.int32(), "terms": pa.int64(), "lengths": pa.int32(), "gaps": pa.int32()}
             arrays = []
             for name, kind in kinds.items():
                 values = pa.array(made[name], kind)
@@ -107,20 +111,22 @@ def build_index(
             return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
+            names, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
             for a, b, data, offsets in chunks(batch.column("text")):
                 found = Words(data, offsets, "alnum")
                 ids += names[a:b]
+                marks += hashes[a:b]
                 counts.append(found.counts)
                 terms.append(found.hashes(lower=True))
                 size += len(data)
                 if size >= segment_bytes:
                     yield row()
-                    ids, counts, terms, size = [], [], [], 0
+                    ids, marks, counts, terms, size = [], [], [], [], 0
         if ids:
             yield row()
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    read = read.withColumn("text_hash", F.xxhash64("text"))
     return scratch.keep(read.mapInArrow(segments, SEGMENT), "index")
 
 
@@ -211,7 +217,7 @@ def search_segment(row: dict, queries: Queries, gap: int, slop: int | None):
         d = int(np.searchsorted(base, a, side="right")) - 1
         spans[d].append([int(a - base[d]), int(b - base[d])])
     for d, doc_id in enumerate(row["doc_ids"]):
-        yield doc_id, int(n_words[d]), sum(b - a for a, b in spans[d]), spans[d], sorted(items[d]), sorted(near[d] - items[d])
+        yield doc_id, row["text_hashes"][d], int(n_words[d]), sum(b - a for a, b in spans[d]), spans[d], sorted(items[d]), sorted(near[d] - items[d])
 
 
 def search(index: DataFrame, queries: Queries, gap: int, slop: int | None = None) -> DataFrame:
@@ -221,9 +227,10 @@ def search(index: DataFrame, queries: Queries, gap: int, slop: int | None = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].values for n in batch.schema.names}
-                row = {n: v.to_pylist() if n == "doc_ids" else v.to_numpy(zero_copy_only=False) for n, v in row.items()}
+                row = {n: v.to_pylist() if n in ("doc_ids", "text_hashes") else v.to_numpy(zero_copy_only=False) for n, v in row.items()}
                 columns = list(zip(*search_segment(row, queries, gap, slop)))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
+                lists = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *lists]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=HITS.names)
 
     return index.mapInArrow(found, HITS)
@@ -258,7 +265,7 @@ def contamination(
     block_words: int = BLOCK_WORDS,
     segment_bytes: int = SEGMENT_BYTES,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, spans, items, near_items, contaminated.
+    """One row per row of ``docs``: doc_id, text_hash, n_words, n_hit, spans, items, near_items, contaminated.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z lower-cased. A
     window is ``window`` consecutive words of an item, or the whole item if it has fewer. ``spans``
@@ -290,6 +297,14 @@ def contamination(
     return hits.withColumn("contaminated", share)
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs, benchmark, id_col, text_col, **options)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_col) == F.col("_bad_hash"))
+    return docs.join(bad, same, "left_anti")
+
+
 def _merged(index: DataFrame, two: list[Queries], rest: Iterator[Queries], gap: int, slop: int | None, scratch: Scratch) -> DataFrame:
     """The matches of several blocks, joined per document of the index."""
     parts = []
@@ -302,6 +317,7 @@ def _merged(index: DataFrame, two: list[Queries], rest: Iterator[Queries], gap:
         every = every.unionByName(part)
     grouped = every.groupBy("segment", "place").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("text_hash").alias("text_hash"),
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -322,7 +338,7 @@ def _merged(index: DataFrame, two: list[Queries], rest: Iterator[Queries], gap:
     joined = grouped.withColumn("spans", union)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     near = F.array_except("near_items", "items")
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", near.alias("near_items"))
+    return joined.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "spans", "items", near.alias("near_items"))
 
 
 def _numbered(index: DataFrame, queries: Queries, gap: int, slop: int | None, scratch: Scratch, n: int) -> DataFrame:
@@ -336,7 +352,8 @@ def _numbered(index: DataFrame, queries: Queries, gap: int, slop: int | None, sc
                     dict(zip(schema.names, (row["segment"], i, *x)))
                     for i, x in enumerate(search_segment(row, queries, gap, slop))
                 ]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
+                lists = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *lists]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(schema.names, kinds))))
 
     return scratch.keep(index.mapInArrow(found, schema), f"block-{n}")

@@ -295,6 +295,25 @@ def near_duplicates(
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Rows that agree in identifier and text are told apart by nothing else: as many of them stay as
+    ``near_duplicates`` keeps.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    # a null identifier and the least long share a key; with equal texts they are one component anyway
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    stay = found.groupBy(key("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum(F.col("kept").cast("long")).alias("_stay"))
+    numbered = (
+        docs.withColumn("_id", key(id_col))
+        .withColumn("_hash", F.xxhash64(text_col))
+        .join(stay.where("_stay > 0"), ["_id", "_hash"])
+        .withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id")))
+    )
+    return numbered.where("_n <= _stay").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: the near-duplicates of ``documents``."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -327,6 +327,11 @@ def quality(
     return passed.mapInArrow(scored, schema)
 
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the scorer keeps, with all their columns."""
+    return quality(docs, id_col, text_col, **options).where("kept").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the quality of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
