@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auxograph.llm import chat, decontamination, exact_dedup, mixing, near_dedup, quality, sharding, token_store, toxicity
+from auxograph.llm import chat, decontamination, exact_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": toxicity.query,
         "op6_chat": chat.query,
         "op7_near_dedup": near_dedup.query,
+        "op8_substring_dedup": substring_dedup.query,
         "op9_decontamination": decontamination.query,
         "op10_token_store": token_store.query,
     }
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.SQL,
         "op6_chat": chat.SQL,
         "op7_near_dedup": near_dedup.SQL,
+        "op8_substring_dedup": substring_dedup.SQL,
         "op9_decontamination": decontamination.SQL,
     }
