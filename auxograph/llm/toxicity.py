@@ -37,8 +37,11 @@ EPOCHS = 60
 WARM_EPOCHS = 5
 THRESHOLD = 0.3
 #: Step sizes of table, softmax and bias.
-RATES = (1.0, 0.05, 0.05)
-SMOOTHING = 1.0
+RATES = (0.3, 0.05, 0.05)
+#: Occurrences that are added to every n-gram's when its step is scaled.
+SMOOTHING = 20.0
+#: Weight of a text without words, labelled 0, as a share of the sample.
+EMPTY_SHARE = 0.5
 
 
 def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -170,11 +173,13 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
             weight /= np.repeat(np.add.reduceat(weight, doc_begin), doc_spans)
         logit = np.add.reduceat(weight * span, doc_begin) + bias[1] - bias[0]
         off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
+        # a span without words is clean: the bias alone must not come near to a verdict
+        nothing = EMPTY_SHARE / (1 + np.exp(bias[0] - bias[1]))
         span_off = np.repeat(off, doc_spans) * weight / SPAN
         word_off = np.bincount(member, np.repeat(span_off, length), len(per_word)) / per_word
         entry_off = np.bincount(entry, np.repeat(word_off, per_word), BUCKETS)
         toward = entry_off @ table
-        gradients = [scale * np.outer(entry_off, direction), np.stack([-toward, toward], 1), np.array([-off.sum(), off.sum()])]
+        gradients = [scale * np.outer(entry_off, direction), np.stack([-toward, toward], 1), np.array([-1.0, 1.0]) * (off.sum() + nothing)]
         for p, g, (m, v), rate in zip(parameters, gradients, moments, RATES):
             m += 0.1 * (g - m)
             v += 0.01 * ((g * g).mean() - v)
