@@ -43,8 +43,8 @@ def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od"
     wells = rows.join(F.broadcast(labels), "source_file").where(F.col("line_no") > F.col("_labels_at"))
     values = F.slice("cells", F.lit(4), F.size("_labels"))
     tall = wells.select(
-        F.element_at("cells", 1).alias("well_row"),
-        F.element_at("cells", 2).try_cast("double").cast("int").alias("well_col"),
+        F.try_element_at("cells", F.lit(1)).alias("well_row"),
+        F.try_element_at("cells", F.lit(2)).try_cast("double").cast("int").alias("well_col"),
         F.try_element_at("cells", F.lit(3)).alias("content"),
         "source_file",
         "line_no",
