@@ -30,8 +30,9 @@ def test_toxicity_of_misspellings():
     sample = [(clean(), 0) for _ in range(300)] + [(clean() + " " + r.choice(bad) + " " + r.choice(bad), 1) for _ in range(300)]
     model = toxicity.train(sample, 0.5)
     score = lambda t: model.logits(*next(chunks(pa.array([t])))[2:])[0]
-    text = clean()
-    assert score(text + " horribble") > score(text) + 0.5 and score(text + " dreadfull") > score(text) + 0.5
+    texts = [clean() for _ in range(40)]
+    gain = lambda word: np.mean([score(t + word) - score(t) for t in texts])
+    assert gain(" horribble") > 1 and gain(" dreadfull") > 1 and abs(gain(" outline")) < 0.3
 
 
 def test_toxicity_awkward(spark, awkward, documents):
