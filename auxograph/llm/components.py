@@ -1,20 +1,54 @@
-"""Connected components of a graph given as a table of edges, by alternating stars.
+"""Connected components of a graph given as a table of edges.
 
-Every round links each node's larger neighbours to its smallest one (large star), then its smaller
-neighbours and itself to the smallest of them (small star); after a number of rounds logarithmic in
-practice each component is a star around its smallest node. A node's neighbours are never gathered:
-a minimum is aggregated and joined back, so a node with very many neighbours is pre-aggregated, and
-the join's large side can be split. Each round is written to the shared folder, which cuts lineage.
+First every task replaces the edges it reads by a spanning forest of them, which loses no connection.
+What is left of a graph with up to ``ONE_TASK`` edges (16 bytes each) is finished by a union-find in
+one task, in one pass. A larger graph goes through alternating stars: every round links each
+node's larger neighbours to its smallest one (large star), then its smaller neighbours and itself to
+the smallest of them (small star), until each component is a star around its smallest node. There a
+node's neighbours are never gathered: a minimum is aggregated and joined back, so a node with very
+many neighbours is pre-aggregated, and the join's large side can be split. Each round is written to
+the shared folder, which cuts lineage. Both ways give the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auxograph.llm.shared import Scratch
 
 
+#: Edges of forests that one task may finish: some 300 MB of memory.
+ONE_TASK = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each node that isn't the smallest of its component, with the smallest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x] = top
+            x = up
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 100_000):
+        some = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_pydict({"u": pa.array(some, pa.int64()), "v": pa.array([root(x) for x in some], pa.int64())})
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,12 +62,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of every node that has an edge and is not itself the smallest of its component.
 
     ``edges``: columns u, v of type long, without nulls; loops and repeated edges do no harm.
     """
-    stars = scratch.keep(edges.where("u <> v").select("u", "v").distinct(), f"{name}-0")
+    stars = scratch.keep(edges.select("u", "v").mapInArrow(_forest, "u long, v long"), f"{name}-0")
+    if stars.count() <= one_task:
+        done = scratch.keep(stars.coalesce(1).mapInArrow(_forest, "u long, v long"), f"{name}-1")
+        scratch.drop(f"{name}-0")
+        return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state, n = None, 0
     while True:
         n += 1

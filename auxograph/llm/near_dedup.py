@@ -18,10 +18,13 @@ inside a known component needs no look, so the search goes by rounds:
 1. of the pairs (smallest of a bucket, other) and (neighbours in a bucket), for each document the
    one with the least distance;
 2. the others of these pairs that still join two components;
-3. every pair of a bucket within the radius that still joins two components and was not looked at.
+3. every pair of documents that meet in a bucket and are still in two components.
 
-The third round is exhaustive, so no link between components is lost; by then a group of near copies
-is one component, and what is left are pairs that look alike and are not.
+The third round is exhaustive, so no link between components is lost. A large group of near copies has
+its stragglers, each of which may meet thousands of others in buckets and be similar to none of them;
+so this round makes no table of pairs. Documents that are connected by buckets form a group, a group is
+cut into blocks of bounded size, and a task takes two blocks (or one) with their full sets and counts
+common shingles by an inverted index of the two, between components only. It returns links.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +47,8 @@ POSITIONS = 64
 CHUNKS = 16
 WIDTH = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
+#: Shingles of one block of the exhaustive round.
+BLOCK_SHINGLES = 1_000_000
 
 _random = np.random.default_rng(7)
 _FACTORS = _random.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,6 +156,44 @@ def _similar(least_percent: int):
     return rows
 
 
+def _links_between(least_percent: int):
+    """Links (a, b) between different roots, for rows (i, j, block, node, root, text) of one or two blocks."""
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets: list[np.ndarray] = []
+        for _, _, data, offsets in chunks(pa.array(pdf["text"], pa.large_string())):
+            shingles, n = shingle_sets(data, offsets)
+            sets += np.split(shingles, np.cumsum(n)[:-1])
+        size = np.array([len(x) for x in sets])
+        root, node, block = (pdf[c].to_numpy() for c in ("root", "node", "block"))
+        begin = np.cumsum(size) - size
+        flat = np.concatenate(sets)
+        _, term, spread = np.unique(flat, return_inverse=True, return_counts=True)
+        posting = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
+        at = np.cumsum(spread) - spread
+        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        # pairs inside the most frequent component need no look, and every other pair has an end outside of it
+        values, counts = np.unique(root, return_counts=True)
+        found = []
+        for x in np.flatnonzero(root != values[counts.argmax()]):
+            own = term[begin[x] : begin[x] + size[x]]
+            own = own[spread[own] > 1]
+            n = spread[own]
+            if not len(n):
+                continue
+            place = np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(posting[place], minlength=len(sets))
+            good = (100 * shared >= least_percent * (size[x] + size - shared)) & (shared > 0) & (root != root[x])
+            if two:
+                good &= block != block[x]
+            hits = np.flatnonzero(good)
+            _, first = np.unique(root[hits], return_index=True)
+            found += [(node[x], node[y]) for y in hits[first]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows
+
+
 def _distance(x: str, y: str) -> Column:
     return F.expr(" + ".join(f"cast({x}[{k}] <> {y}[{k}] as int)" for k in range(POSITIONS)))
 
@@ -187,18 +231,26 @@ class _Search:
         if not pairs.head(1):
             return
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        named = wanted.join(self.nodes.select("node", "rep_id", "text_hash"), "node")
-        texts = self.docs.join(
-            named.withColumnRenamed("text_hash", "named_hash"),
-            self.docs["doc_id"].eqNullSafe(F.col("rep_id")) & (self.docs["text_hash"] == F.col("named_hash")),
-        ).dropDuplicates(["node"])
-        texts = self.scratch.keep(texts.select("node", "text"), f"texts-{self.n}")
+        texts = self.scratch.keep(self.texts(wanted), f"texts-{self.n}")
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         good = pairs.join(left, "a").join(right, "b").mapInArrow(_similar(self.least_percent), "a long, b long")
         links = self.scratch.keep(good, f"links-{self.n}")
         self.scratch.drop(f"texts-{self.n}")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        self.join(links)
+
+    def unseen(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti")
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in ``wanted``."""
+        named = wanted.join(self.nodes.select("node", "rep_id", "text_hash"), "node").withColumnRenamed("text_hash", "named_hash")
+        same = self.docs["doc_id"].eqNullSafe(F.col("rep_id")) & (self.docs["text_hash"] == F.col("named_hash"))
+        return self.docs.join(named, same).dropDuplicates(["node"]).select("node", "text")
+
+    def join(self, links: DataFrame) -> None:
+        """Join the components at the ends of links (a, b)."""
         if not links.head(1):
             return
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -206,8 +258,32 @@ class _Search:
             edges = edges.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         self.roots = components(edges, self.scratch, f"components-{self.n}")
 
-    def unseen(self, pairs: DataFrame) -> DataFrame:
-        return pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti")
+    def exhaust(self, buckets: DataFrame) -> None:
+        """Find every link between two components whose ends meet in a bucket."""
+        self.n += 1
+        rows = buckets.select("key", "node")
+        if self.roots is not None:
+            rows = rows.join(self.roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        else:
+            rows = rows.withColumn("root", F.col("node"))
+        several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("u"))
+        several = several.where("low <> high").select("key", "u")
+        rows = self.scratch.keep(rows.join(several, "key").select("u", "node", "root").distinct(), "open")
+        if not rows.head(1):
+            return
+        groups = components(rows.select("u", F.col("node").alias("v")), self.scratch, "groups")
+        members = rows.select("node", "root").distinct().join(groups.withColumnRenamed("root", "group"), "node", "left")
+        members = members.join(self.nodes.select("node", "n_shingles"), "node").withColumn("group", F.coalesce("group", "node"))
+        sizes = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        members = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = self.scratch.keep(members.select("group", "blocks", "block", "node", "root"), "members")
+        cells = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
+        )
+        placed = members.join(self.texts(members.select("node")), "node").withColumn("cell", F.explode(cells))
+        placed = placed.select("group", "cell.i", "cell.j", "block", "node", "root", "text")
+        links = placed.groupBy("group", "i", "j").applyInPandas(_links_between(self.least_percent), "a long, b long")
+        self.join(self.scratch.keep(links, f"links-{self.n}"))
 
 
 def near_duplicates(
@@ -260,19 +336,7 @@ def near_duplicates(
     best = near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
     search.confirm(best)
     search.confirm(search.unseen(search.apart(near)))
-    # every other pair of a bucket that could still join two components
-    spread = buckets.select("key", "node")
-    if search.roots is not None:
-        spread = spread.join(search.roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    else:
-        spread = spread.withColumn("root", F.col("node"))
-    several = spread.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_buckets = spread.join(several, "key").join(nodes.select("node", "signature"), "node")
-    left = open_buckets.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("signature").alias("sa"))
-    right = open_buckets.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("signature").alias("sb"))
-    meets = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    rest = left.join(right, meets & (_distance("sa", "sb") <= RADIUS)).select("a", "b").distinct()
-    search.confirm(search.unseen(rest))
+    search.exhaust(buckets)
 
     roots = nodes.select("node", "rep_id", *CLASS)
     if search.roots is not None:

@@ -110,9 +110,11 @@ def test_components(spark):
     for a, b in pairs:
         x, y = sorted((root(a), root(b)))
         label[y] = x
-    got = components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark, "test"), "c").collect()
-    assert {(g.node, g.root) for g in got} == {(i, root(i)) for i in range(1100) if root(i) != i}
-    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), "c").count() == 0
+    for one_task in (10**6, -1):
+        graph = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+        got = components(graph, Scratch(spark, "test"), "c", one_task).collect()
+        assert {(g.node, g.root) for g in got} == {(i, root(i)) for i in range(1100) if root(i) != i}
+        assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), "c", one_task).count() == 0
 
 
 def test_radius_is_guaranteed():
