@@ -15,7 +15,7 @@ def label_parts(label: str | Column) -> tuple[Column, Column, Column]:
 
     No-break and thin spaces count as spaces. Null is zero; what is no label gives nulls.
     """
-    text = F.translate(col(label), "  ", "  ")
+    text = F.translate(col(label), "\u2009\xa0", "  ")
     matched = text.rlike(_LABEL)
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, _LABEL, i), F.lit("")).try_cast("int"), F.lit(0))
     minutes = part(1) * 60 + part(2)

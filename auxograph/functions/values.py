@@ -41,7 +41,7 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(col(c), r"^[\s  ]+|[\s  ]+$", "")
+    return F.regexp_replace(col(c), r"^[\s\u00a0\u2009]+|[\s\u00a0\u2009]+$", "")
 
 
 def no_blank(c: str | Column) -> Column:
