@@ -580,7 +580,7 @@ SALTS = ["[Na+].[Cl-]", "[NH4+].[Cl-]", "[Ca++].[Cl-].[Cl-]", "OP(=O)([O-])[O-].
 
 
 @query(
-    """select smiles, ion, charge, round(mass, 6) as molar_mass, round(mass / sum(mass) over (partition by smiles), 6) as mass_fraction from (values
+    """select smiles, ion, charge, round(mass::double, 6) as molar_mass, round(mass::double / sum(mass::double) over (partition by smiles), 6) as mass_fraction from (values
       ('[Na+].[Cl-]', 0, 1, 22.98976928), ('[Na+].[Cl-]', 1, -1, 35.453),
       ('[NH4+].[Cl-]', 0, 1, 14.0067 + 4 * 1.00794), ('[NH4+].[Cl-]', 1, -1, 35.453),
       ('[Ca++].[Cl-].[Cl-]', 0, 2, 40.078), ('[Ca++].[Cl-].[Cl-]', 1, -1, 35.453), ('[Ca++].[Cl-].[Cl-]', 2, -1, 35.453),
