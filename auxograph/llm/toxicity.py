@@ -31,8 +31,8 @@ DIMENSIONS = 8
 GRAMS = (3, 4, 5, 6)
 SPAN = 32
 #: Bounds of the training sample: documents of each class, and characters of a document.
-TRAIN_PER_CLASS = 2_500
-TRAIN_CHARS = 40_000
+TRAIN_PER_CLASS = 2_000
+TRAIN_CHARS = 20_000
 EPOCHS = 60
 WARM_EPOCHS = 5
 THRESHOLD = 0.3
@@ -196,7 +196,7 @@ def training_sample(
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic. The sample is taken by a hash of the
     identifier, from documents of at most ``most_chars`` characters: a bound on what the driver
-    holds (200 MB at worst by default). A document with several labels counts with the largest.
+    holds (80 MB at worst by default). A document with several labels counts with the largest.
     """
     classes = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in classes.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
