@@ -187,9 +187,9 @@ def write_tokens(
     """
     spark = docs.sparkSession
     importable(spark)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    by_id = F.col("doc_id").asc_nulls_last()
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = ranged.repartitionByRange(files or spread(spark), *order).sortWithinPartitions(*order)
+    ranged = ranged.repartitionByRange(files or spread(spark), by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
     stored = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_writer_rows(tokenizer_path, end_id), SCHEMA)
     (
         stored.write.mode("errorifexists")
