@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from auxograph.functions.values import require
 
+#: Rows that may be numbered in one order by one task.
+MOST_RANKED = 1_000_000
+
 
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """A join in which a key may come once on the right; a key that comes twice is an error."""
@@ -19,20 +22,22 @@ def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(right, list(on), how)
 
 
-def smart_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("well",), how: str = "inner") -> DataFrame:
+def smart_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("well",), how: str = "inner", differing: Sequence[str] | None = None) -> DataFrame:
     """Equi-join; a column that both sides have comes once if it agrees in all rows, else also as ``_right``.
 
-    Null agrees with null, NaN with NaN. One aggregate over the joined rows decides about all columns.
+    Null agrees with null, NaN with NaN. One aggregate over the joined rows, which reads the columns
+    in question only, decides about all of them; ``differing`` names them instead, and no row is read.
     """
     require(left, on, "smart_join, left")
     require(right, on, "smart_join, right")
     both = [c for c in right.columns if c in left.columns and c not in on]
-    renamed = right.withColumnsRenamed({c: f"{c}_right" for c in both})
-    joined = left.join(renamed, list(on), how)
+    joined = left.join(right.withColumnsRenamed({c: f"{c}_right" for c in both}), list(on), how)
     if not both:
         return joined
-    agree = joined.agg(*[F.coalesce(F.bool_and(F.col(c).eqNullSafe(F.col(f"{c}_right"))), F.lit(True)).alias(c) for c in both]).first()
-    return joined.drop(*[f"{c}_right" for c in both if agree[c]])
+    if differing is None:
+        agree = joined.agg(*[F.coalesce(F.bool_and(F.col(c).eqNullSafe(F.col(f"{c}_right"))), F.lit(True)).alias(c) for c in both]).first()
+        differing = [c for c in both if not agree[c]]
+    return joined.drop(*[f"{c}_right" for c in both if c not in differing])
 
 
 def smart_join_drop_right(left: DataFrame, right: DataFrame, on: Sequence[str] = ("well",), how: str = "inner") -> DataFrame:
@@ -46,9 +51,22 @@ def first_match(left: DataFrame, right: DataFrame, on: Sequence[str], order: Seq
     return left.join(right.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), list(on), how)
 
 
+def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each key, numbered from 1; rows beyond are dropped before the exchange."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    return top_by(df, keys, order, 1, "_n").drop("_n")
+
+
+def ranked(df: DataFrame, order: Sequence[str], rank: str = "rank", most: int = MOST_RANKED) -> DataFrame:
+    """All rows numbered from 1 in one order: lists of wells and files, by one task after a check of their number."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows to be ranked in one order")
+    return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
 def last_wins(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
@@ -75,8 +93,7 @@ def paired_by_rank(left: DataFrame, left_key: str, right: DataFrame, right_key:
 
     Ranks take one order over each side: meant for lists of files and the like.
     """
-    number = lambda df, k: df.select(F.col(k), F.row_number().over(Window.orderBy(k)).alias("rank"))
-    return number(left, left_key).join(number(right, right_key), "rank")
+    return ranked(left.select(left_key), [left_key]).join(ranked(right.select(right_key), [right_key]), "rank")
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:

@@ -1,110 +1,177 @@
 """Matrices for metabolic models: fluxes, presence and bounds of exchange reactions.
 
-Long tables (row, exchange, value) are computed with joins, and pivoted at the very end, with the list
-of exchanges given, so the pivot needs no look at the data.
+A mapping is reference data of some hundred rows; its number of rows is checked, and it becomes a literal
+in the plan. What an experiment supplies is then a map column of its own row, and every exchange a
+column over that map: a matrix is one projection of the growth table, without a join or a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from auxograph.functions.growth import flux
 from auxograph.functions.values import strip, suffix_removed
 from auxograph.operators.mapping import FIXED, MEDIUM, SUPPLEMENT, supplement_tokens
 
-ROW = "_row"
+#: Rows of reference data that may become a literal of a plan.
+MOST_ROWS = 20_000
+_SUPPLIED = "_supplied"
 
 
-def active_exchanges(mapping: DataFrame) -> DataFrame:
-    """Rows whose source is stated."""
-    return mapping.where(F.col("source").isin(SUPPLEMENT, MEDIUM, FIXED))
-
-
-def exchange_list(mapping: DataFrame) -> list[str]:
-    return sorted(r[0] for r in active_exchanges(mapping).select("exchange_reaction").distinct().collect())
+def reference_rows(df: DataFrame, what: str, most: int = MOST_ROWS) -> list[dict[str, Any]]:
+    """The rows of a table of reference data, after a check that it is one."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return [r.asDict() for r in rows]
 
 
 def successful(growth: DataFrame, success: str = "success") -> DataFrame:
-    """Rows of successful fits, numbered."""
-    rows = growth.where(F.coalesce(F.col(success), F.lit(False))) if success in growth.columns else growth
-    return rows.withColumn(ROW, F.monotonically_increasing_id())
+    """Rows of successful fits."""
+    return growth.where(F.coalesce(F.col(success), F.lit(False))) if success in growth.columns else growth
 
 
-def _row_supplements(rows: DataFrame, mapping: DataFrame, column: str, separator: str) -> DataFrame:
-    """(row, exchange, mmol) of each row's supplements, found by name or IUPAC name; the first part counts."""
+def row_tokens(column: str, separator: str) -> Column:
+    """The supplements of a row in their order, stripped and in lower case; none for null."""
     pattern = "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in separator)
-    parts = rows.where(F.col(column).isNotNull()).select(ROW, F.posexplode(F.split(F.col(column).cast("string"), pattern)).alias("_n", "_part"))
-    parts = parts.withColumn("_part", F.lower(strip("_part"))).where("_part <> ''")
-    supplements = mapping.where(F.col("source") == SUPPLEMENT)
-    keyed = supplements.select("exchange_reaction", "mmol_concentration", F.posexplode(F.array("name", "iupac_name")).alias("_by", "_key")).where("_key <> ''")
-    found = parts.join(F.broadcast(keyed), F.col("_part") == F.col("_key"))
-    # a name counts before an IUPAC name, then the order of the parts
-    order = F.struct("_by", "_n", "mmol_concentration")
-    return found.groupBy(ROW, "exchange_reaction").agg(F.min_by("mmol_concentration", order).alias("_supplied"))
-
-
-def _by_exchange(mapping: DataFrame) -> DataFrame:
-    """Per active exchange: the bound of its fixed row, the concentration of its medium row, whether it can be supplied."""
-    first = lambda source, c: F.min_by(c, F.when(F.col("source") == source, F.struct("name", c)))
-    of = lambda source: F.bool_or(F.col("source") == source)
-    return active_exchanges(mapping).groupBy("exchange_reaction").agg(
-        of(FIXED).alias("_fixed"),
-        of(MEDIUM).alias("_medium"),
-        of(SUPPLEMENT).alias("_supplement"),
-        first(FIXED, "flux_upper_bound").alias("_bound"),
-        first(MEDIUM, "mmol_concentration").alias("_mmol"),
-    )
+    parts = F.transform(F.split(F.col(column).cast("string"), pattern), lambda p: F.lower(strip(p)))
+    return F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>"))
+
+
+def _literal_map(entries: Mapping[str, Sequence[tuple]], fields: str) -> Column:
+    """A map from text to an array of structs, as a literal."""
+    kind = f"map<string, array<struct<{fields}>>>"
+    names = [f.split(":")[0].strip() for f in fields.split(",")]
+    pairs: list[Column] = []
+    for key, values in entries.items():
+        structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, value)]) for value in values]
+        pairs += [F.lit(key), F.array(*structs)]
+    return F.create_map(*pairs).cast(kind)
+
+
+def _smallest(rows: Sequence[dict[str, Any]], value: str) -> Any:
+    """``value`` of the first row by (name, value), null first."""
+    key = lambda r: (r["name"] is not None, r["name"] or "", r[value] is not None, r[value] or 0.0)
+    return min(rows, key=key)[value] if rows else None
+
+
+class Exchanges:
+    """The active exchanges of a mapping: those with a row whose source is stated."""
+
+    def __init__(self, mapping: DataFrame):
+        stated = mapping.where(F.col("source").isin(SUPPLEMENT, MEDIUM, FIXED) & F.col("exchange_reaction").isNotNull())
+        rows = reference_rows(stated.select("name", "iupac_name", "exchange_reaction", "mmol_concentration", "flux_upper_bound", "source"), "the mapping")
+        self.rows: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
+        for r in rows:
+            self.rows[r["exchange_reaction"]][r["source"]].append(r)
+        self.names = sorted(self.rows)
+
+    def supplied(self, column: str, separator: str) -> Column:
+        """Map column: concentration by exchange of what a row's supplements supply.
+
+        A supplement is found by name or IUPAC name. Of several that supply an exchange, one found
+        by its name comes first, then the first of the row, then the least concentration.
+        """
+        found: dict[str, list[tuple]] = defaultdict(list)
+        for name in self.names:
+            for r in self.rows[name].get(SUPPLEMENT, ()):
+                for by, key in enumerate((r["name"], r["iupac_name"])):
+                    if key:
+                        found[key].append((by, r["mmol_concentration"], name))
+        if not found:
+            return F.create_map().cast("map<string, double>")
+        lookup = _literal_map(found, "by: int, mmol: double, exchange: string")
+
+        def ranked(token: Column, place: Column) -> Column:
+            hits = F.coalesce(F.try_element_at(lookup, token), F.array().cast("array<struct<by: int, mmol: double, exchange: string>>"))
+            return F.transform(hits, lambda h: F.struct(h["by"].alias("by"), place.alias("place"), h["mmol"].alias("mmol"), h["exchange"].alias("exchange")))
+
+        hits = F.array_sort(F.flatten(F.transform(row_tokens(column, separator), ranked)))
+        # the first hit of each exchange: one whose place in the sorted list is that of its exchange
+        order = F.transform(hits, lambda h: h["exchange"])
+        first = F.filter(hits, lambda h, i: F.array_position(order, h["exchange"]) == i + 1)
+        return F.map_from_entries(F.transform(first, lambda h: F.struct(h["exchange"], h["mmol"])))
+
+    def flux(self, name: str, max_time: str) -> Column:
+        """Supplement before medium before fixed; what can be supplied and isn't, by this row, is 0."""
+        of = self.rows[name]
+        if of.get(SUPPLEMENT):
+            # a hit without a concentration supplies nothing
+            return F.coalesce(flux(F.try_element_at(F.col(_SUPPLIED), F.lit(name)), max_time), F.lit(0.0))
+        if of.get(MEDIUM):
+            return flux(F.lit(_smallest(of[MEDIUM], "mmol_concentration")).cast("double"), max_time)
+        return F.lit(float(_smallest(of[FIXED], "flux_upper_bound") or 0.0))
+
+    def presence(self, name: str) -> Column:
+        if self.rows[name].get(SUPPLEMENT):
+            return F.try_element_at(F.col(_SUPPLIED), F.lit(name)).isNotNull().cast("int")
+        return F.lit(1)
+
+    def prepared(self, growth: DataFrame, success: str, column: str, separator: str) -> DataFrame:
+        """The successful rows with the map of what they supply."""
+        nothing = F.create_map().cast("map<string, double>")
+        return successful(growth, success).withColumn(_SUPPLIED, self.supplied(column, separator) if column in growth.columns else nothing)
+
+
+def exchange_list(mapping: DataFrame) -> list[str]:
+    """The active exchanges in alphabetical order: the columns of a matrix."""
+    return Exchanges(mapping).names
 
 
-def _long(growth, mapping, success, column, separator) -> tuple[DataFrame, DataFrame]:
-    rows = successful(growth, success)
-    # the active exchanges of a model are some hundred rows: every experiment gets them all
-    crossed = rows.crossJoin(F.broadcast(_by_exchange(mapping)))
-    supplied = _row_supplements(rows, mapping, column, separator) if column in growth.columns else None
-    if supplied is None:
-        return rows, crossed.withColumn("_supplied", F.lit(None).cast("double"))
-    return rows, crossed.join(supplied, [ROW, "exchange_reaction"], "left")
+def _long(rows: DataFrame, values: Mapping[str, Column], kind: str) -> DataFrame:
+    cells = [F.struct(F.lit(e).alias("exchange_reaction"), v.cast(kind).alias("value")) for e, v in values.items()]
+    cells = F.array(*cells).cast(f"array<struct<exchange_reaction: string, value: {kind}>>")
+    return rows.select(*[c for c in rows.columns if c != _SUPPLIED], F.inline(cells))
 
 
 def flux_long(
     growth: DataFrame, mapping: DataFrame, success: str = "success", max_time: str = "max_time", column: str = "supplements", separator: str = ";"
 ) -> DataFrame:
-    """(the row's columns, exchange_reaction, value): fluxes; supplement before medium before fixed.
-
-    An exchange that can be supplied and isn't, by this row, is 0 even if it is also medium or fixed.
-    """
-    _, long = _long(growth, mapping, success, column, separator)
-    value = (
-        F.when(F.col("_supplement") & F.col("_supplied").isNotNull(), flux("_supplied", max_time))
-        .when(F.col("_supplement"), 0.0)
-        .when(F.col("_medium"), flux("_mmol", max_time))
-        .otherwise(F.coalesce("_bound", F.lit(0.0)))
-    )
-    return long.withColumn("value", value)
+    """(the row's columns, exchange_reaction, value): fluxes."""
+    exchanges = Exchanges(mapping)
+    return _long(exchanges.prepared(growth, success, column, separator), {e: exchanges.flux(e, max_time) for e in exchanges.names}, "double")
 
 
 def presence_long(growth: DataFrame, mapping: DataFrame, success: str = "success", column: str = "supplements", separator: str = ";") -> DataFrame:
     """(the row's columns, exchange_reaction, value): 1 where the exchange is available to the row."""
-    _, long = _long(growth, mapping, success, column, separator)
-    return long.withColumn("value", F.when(F.col("_supplement"), F.col("_supplied").isNotNull().cast("int")).otherwise(1))
-
-
-def wide(long: DataFrame, exchanges: list[str], growth_rate: str, suffix: str | None = None) -> DataFrame:
-    """One row per experiment: the exchanges in order, then the growth rate."""
-    pivoted = long.groupBy(ROW, growth_rate).pivot("exchange_reaction", exchanges).agg(F.first("value"))
-    return pivoted.orderBy(ROW).select(*[F.col(f"`{e}`").alias(f"{e}{suffix or ''}") for e in exchanges], growth_rate)
+    exchanges = Exchanges(mapping)
+    return _long(exchanges.prepared(growth, success, column, separator), {e: exchanges.presence(e) for e in exchanges.names}, "int")
 
 
-def flux_matrix(growth: DataFrame, mapping: DataFrame, growth_rate: str = "mu_max", suffix: str | None = None, **options) -> DataFrame:
-    return wide(flux_long(growth, mapping, **options), exchange_list(mapping), growth_rate, suffix)
+def flux_matrix(
+    growth: DataFrame,
+    mapping: DataFrame,
+    growth_rate: str = "mu_max",
+    suffix: str | None = None,
+    success: str = "success",
+    max_time: str = "max_time",
+    column: str = "supplements",
+    separator: str = ";",
+) -> DataFrame:
+    """One row per successful experiment, in the order of ``growth``: the fluxes of the exchanges, then the growth rate."""
+    exchanges = Exchanges(mapping)
+    rows = exchanges.prepared(growth, success, column, separator)
+    return rows.select(*[exchanges.flux(e, max_time).alias(f"{e}{suffix or ''}") for e in exchanges.names], growth_rate)
 
 
-def presence_matrix(growth: DataFrame, mapping: DataFrame, growth_rate: str = "mu_max", suffix: str | None = None, **options) -> DataFrame:
-    return wide(presence_long(growth, mapping, **options), exchange_list(mapping), growth_rate, suffix)
+def presence_matrix(
+    growth: DataFrame,
+    mapping: DataFrame,
+    growth_rate: str = "mu_max",
+    suffix: str | None = None,
+    success: str = "success",
+    column: str = "supplements",
+    separator: str = ";",
+) -> DataFrame:
+    """The same with 1 where an exchange is available to the experiment, else 0."""
+    exchanges = Exchanges(mapping)
+    rows = exchanges.prepared(growth, success, column, separator)
+    return rows.select(*[exchanges.presence(e).alias(f"{e}{suffix or ''}") for e in exchanges.names], growth_rate)
 
 
 def bounds_matrix(
@@ -127,10 +194,10 @@ def bounds_matrix(
     """
     spark = presence.sparkSession
     if isinstance(model_bounds, DataFrame):
-        model_bounds = {r["exchange_reaction"]: (r["level"], r["max_value"]) for r in model_bounds.collect()}
+        model_bounds = {r["exchange_reaction"]: (r["level"], r["max_value"]) for r in reference_rows(model_bounds, "the model's bounds")}
     columns = [c for c in presence.columns if c != growth_rate]
     mapped = mapping.groupBy("exchange_reaction").agg(F.max_by("flux_upper_bound", "name").alias("bound"))
-    bounds = {r["exchange_reaction"]: r["bound"] or 0.0 for r in mapped.collect()}
+    bounds = {r["exchange_reaction"]: r["bound"] or 0.0 for r in reference_rows(mapped, "the mapping")}
     flux_columns = [c for c in fluxes.columns if c != growth_rate]
     if flux_columns:
         top = fluxes.agg(*[F.max(f"`{c}`").alias(c) for c in flux_columns]).first()
@@ -154,14 +221,19 @@ def bounds_matrix(
 
 def supplement_matrix(growth: DataFrame, exchanges: DataFrame, baseline: list[str], column: str = "supplements", separator: str = ";", growth_rate: str = "mu_max") -> DataFrame:
     """0/1 matrix straight from (name, exchange_reaction); exchanges of ``baseline`` are always 1."""
-    rows = successful(growth)
-    pattern = "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in separator)
-    parts = rows.select(ROW, F.explode(F.split(F.col(column).cast("string"), pattern)).alias("_part")).select(ROW, F.lower(strip("_part")).alias("name"))
-    found = parts.join(exchanges, "name").select(ROW, "exchange_reaction").distinct().withColumn("value", F.lit(1))
-    names = sorted({*baseline, *(r[0] for r in exchanges.select("exchange_reaction").distinct().collect())})
-    pivoted = found.groupBy(ROW).pivot("exchange_reaction", names).agg(F.first("value"))
-    columns = [F.lit(1).alias(n) if n in baseline else F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names]
-    return rows.join(pivoted, ROW, "left").orderBy(ROW).select(*columns, growth_rate)
+    known = exchanges.where(F.col("exchange_reaction").isNotNull()).select("name", "exchange_reaction").distinct()
+    rows = reference_rows(known, "the table of exchanges")
+    of: dict[str, list[tuple]] = defaultdict(list)
+    for r in rows:
+        if r["name"]:
+            of[r["name"]].append((r["exchange_reaction"],))
+    names = sorted({*baseline, *(r["exchange_reaction"] for r in rows)})
+    nothing = F.array().cast("array<struct<exchange: string>>")
+    lookup = _literal_map(of, "exchange: string") if of else None
+    hits = F.flatten(F.transform(row_tokens(column, separator), lambda t: F.coalesce(F.try_element_at(lookup, t), nothing))) if of else nothing
+    found = successful(growth).withColumn(_SUPPLIED, F.transform(hits, lambda h: h["exchange"]))
+    columns = [(F.lit(1) if n in baseline else F.array_contains(F.col(_SUPPLIED), n).cast("int")).alias(n) for n in names]
+    return found.select(*columns, growth_rate)
 
 
 def mapping_audit(growth: DataFrame, exchanges: DataFrame, column: str = "supplements", separator: str = ";", cutoff: float = 0.6) -> DataFrame:
@@ -186,9 +258,3 @@ def bounds_precedence(exchanges: DataFrame, custom: DataFrame, mapped: DataFrame
         F.coalesce("c_level", F.when(positive, F.lit(variable_level)), "s_level", F.lit(default_level)).cast("int").alias("level"),
         F.coalesce("c_max_value", F.when(positive, F.col("m_max_value")), "s_max_value", F.lit(default_max)).cast("double").alias("max_value"),
     )
-
-
-def latest_by_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auxograph.functions.values import first_non_null, joined_distinct, known, require
-from auxograph.operators.joins import many_to_one, missing_keys
+from auxograph.operators.joins import many_to_one, missing_keys, ranked, top_by
 from auxograph.operators.series import TIME_COLUMNS
+from auxograph.sources.plate_export import read_plate
+from auxograph.sources.protocol import read_protocol
 
-#: Order of the columns of a parsed plate; the value comes last.
+# The order of the columns of a parsed plate; the value comes last.
 PARSED = (
     "well", "well_row", "well_col", "content", "strain", "strain_well", "is_blank", "media_type", "supplements",
     "media_volume_uL", "water_volume_uL", "supplement_volume_uL", "volume_per_supplement_uL", "total_volume_uL",
     "time_label", "time_h", "time_min_int", "time_h_int", "time_min",
 )
-#: Columns of the protocol that replicates carry along.
+# Columns of the protocol that replicates carry along.
 METADATA = (
     "strain", "strain_well", "is_blank", "media_type", "supplements", "media_volume_uL", "water_volume_uL",
     "supplement_volume_uL", "volume_per_supplement_uL", "total_volume_uL", "content",
@@ -27,20 +29,35 @@ METADATA = (
 LISTED = 96
 
 
-def parse(readings: DataFrame, protocol: DataFrame, value: str = "od") -> DataFrame:
-    """Readings with the protocol of their well; a well that the protocol has twice is an error."""
+def parse(readings: DataFrame | str, protocol: DataFrame | str, value: str = "od") -> DataFrame:
+    """Readings with the protocol of their well; a well that the protocol has twice is an error.
+
+    Either may be the path of its file, which is read first.
+    """
+    if isinstance(readings, str):
+        readings = read_plate(SparkSession.active(), readings, value)
+    if isinstance(protocol, str):
+        protocol = read_protocol(SparkSession.active(), protocol)
     joined = many_to_one(readings, protocol, ["well"])
     return joined.select(*known(joined, [*PARSED, value]))
 
 
+def first_names(df: DataFrame, name: str, by: Sequence[str] = (), most: int = LISTED, out: str = "names") -> DataFrame:
+    """Per group of ``by`` its ``most`` smallest distinct names, in order, as one text.
+
+    Every task leaves out all but its own smallest names before they are gathered.
+    """
+    top = top_by(df.where(F.col(name).isNotNull()).select(*by, name).distinct(), by, [name], most, "_n")
+    return top.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", name))), lambda s: s[name]), ";").alias(out))
+
+
 def report(readings: DataFrame, protocol: DataFrame, value: str = "od") -> DataFrame:
     """Issues found: (issue, count, wells). Clean data has no rows."""
 
     def listed(df: DataFrame, issue: str) -> DataFrame:
-        wells = F.array_sort(F.collect_set("well"))
-        return df.agg(
-            F.lit(issue).alias("issue"), F.count("*").cast("int").alias("count"), F.array_join(F.slice(wells, 1, LISTED), ";").alias("wells")
-        )
+        counted = df.agg(F.count("*").cast("int").alias("count"), F.lit(None).cast("string").alias("wells"))
+        named = first_names(df, "well", out="wells").select(F.lit(None).cast("int").alias("count"), "wells")
+        return counted.unionByName(named).agg(F.lit(issue).alias("issue"), F.max("count").alias("count"), F.max("wells").alias("wells"))
 
     nothing = F.lit(None).cast("string").alias("wells")
     found = [
@@ -106,8 +123,8 @@ def _grouped(df: DataFrame, wells: DataFrame, value: str, ddof: int, lead: Seque
 def replicates_by_well(df: DataFrame, direction: str = "alphabetical", sample_size: int = 3, ddof: int = 1, value: str = "od") -> DataFrame:
     """Statistics of groups of ``sample_size`` neighbouring wells at each time.
 
-    Alphabetical: neighbours along a row, numerical: down a column. The wells (of one plate, at most
-    1536) are ranked in one window; the readings are grouped in one aggregate.
+    Alphabetical: neighbours along a row, numerical: down a column. The wells (a plate has at most
+    1536) are ranked in one order after a check of their number; the readings are grouped in one aggregate.
     """
     require(df, ["well", "well_row", "well_col", value], "replicates_by_well")
     if sample_size < 1:
@@ -118,8 +135,8 @@ def replicates_by_well(df: DataFrame, direction: str = "alphabetical", sample_si
     if n % sample_size:
         raise ValueError(f"{n} wells can't be divided into groups of {sample_size}")
     order = ["well_row", "well_col"] if alphabetical else ["well_col", "well_row"]
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    numbered = wells.withColumn("_place", place).withColumn("_number", F.floor(F.col("_place") / sample_size)).withColumn("_alpha", F.lit(alphabetical))
+    placed = ranked(wells, order).withColumn("_place", F.col("rank") - 1)
+    numbered = placed.withColumn("_number", F.floor(F.col("_place") / sample_size)).withColumn("_alpha", F.lit(alphabetical))
     return _grouped(df, _with_members(numbered, []), value, ddof, [])
 
 

@@ -27,7 +27,18 @@ def _filesystem(spark: SparkSession, path: str):
 def write_folder(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """A folder of part files, written by all tasks: for results of any size."""
     writer = df.write.mode("overwrite")
-    (writer.option("header", True).csv if fmt == "csv" else writer.json)(path)
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """One small file, through the file system of its path."""
+    files, p = _filesystem(spark, path)
+    out = files.create(p)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
 
 
 def write_file(df: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -53,29 +64,34 @@ def _plain(value: Any) -> Any:
     raise TypeError(f"{type(value).__name__} can't be written as JSON")
 
 
+def write_table(df: DataFrame, path: str) -> str:
+    """One CSV file; a path that ends in a slash is a folder of part files, in Parquet if it ends in ``.parquet/``."""
+    if not path.endswith("/"):
+        return write_file(df, path)
+    write_folder(df, path, "parquet" if path.endswith(".parquet/") else "csv")
+    return path
+
+
 def write_output(value: Any, path: str | Sequence[str]) -> list[str]:
     """Write a result: tables as CSV; of a tuple, the i-th element to the i-th path, tables as CSV and others as JSON.
 
-    None is skipped. Anything else is an error.
+    A table whose path ends in a slash is written by all tasks, as a folder. None is skipped. Anything
+    else is an error.
     """
     if value is None:
         return []
     if isinstance(path, str):
         if not isinstance(value, DataFrame):
             raise TypeError(f"only a table can be written to {path}, not {type(value).__name__}")
-        return [write_file(value, path)]
+        return [write_table(value, path)]
     if not isinstance(value, (tuple, list)) or len(value) != len(path):
         raise TypeError(f"{len(path)} paths need as many results")
-    done = []
-    for item, target in zip(value, path):
-        if isinstance(item, DataFrame):
-            done.append(write_file(item, target))
-            continue
-        os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-        with open(target, "w", encoding="utf-8") as f:
-            json.dump(item, f, indent=4, default=_plain)
-        done.append(target)
-    return done
+    return [
+        write_table(item, target)
+        if isinstance(item, DataFrame)
+        else write_text(SparkSession.active(), target, json.dumps(item, indent=4, default=_plain))
+        for item, target in zip(value, path)
+    ]
 
 
 def group_key(column: str, pattern: str | None, missing_as: str | None = "nan"):
@@ -157,3 +173,8 @@ def svg_plots(
         return pd.DataFrame([[*key, name, svg]], columns=schema.names)
 
     return without_null_keys(df, keys).select(*dict.fromkeys([*keys, *columns])).groupBy(*keys).applyInPandas(draw, schema)
+
+
+def save_plots(plots: DataFrame, folder: str) -> list[str]:
+    """Write the plots of ``svg_plots``, each under its name; they are fetched one at a time."""
+    return [write_text(plots.sparkSession, os.path.join(folder, r["file_name"]), r["svg"]) for r in plots.select("file_name", "svg").toLocalIterator()]

@@ -5,6 +5,7 @@ A plan names a package and a method; only registered methods can be called, neve
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -41,9 +42,16 @@ _SERIES = {"time_col": "time", "value_col": "value", "group_cols": "keys", "OD_0
 _MATRIX = {"growth_rates_df": "growth", "mappings_df": "mapping", "growth_rate_column": "growth_rate", "success_column": "success", "supplement_column": "column", "exchange_suffix": "suffix", "max_time_column": "max_time"}
 
 
-def _predict(df, params_df, save_plot_data=False, standard_deviation_column=None, **options):
-    """Prediction; the plot options of a plan are accepted and leave the table as it is."""
-    return gompertz.predict_gompertz(df, params_df, **options)
+def _predict(df, params_df, save_plot_data=False, output_dir=None, standard_deviation_column=None, **options):
+    """Prediction; with ``save_plot_data`` a plot of each fitted series goes to the folder ``plots`` of ``output_dir``."""
+    done = gompertz.predict_gompertz(df, params_df, **options)
+    if save_plot_data:
+        named = dict(zip(("time", "value", "keys", "fitted"), ("time_h", "log_od_od0", ("well",), "od600_fit"))) | options
+        spread = standard_deviation_column if standard_deviation_column in done.columns else None
+        fitted = done.where(done[named["fitted"]].isNotNull())
+        plots = sinks.svg_plots(fitted, list(named["keys"]), named["time"], named["value"], named["fitted"], spread)
+        sinks.save_plots(plots, os.path.join(output_dir or ".", "plots"))
+    return done
 
 
 def _build_mappings(growth_rates_df, supplement_to_exchange_map, custom_mapping_file=None, custom_mapping=None, fuzzy_threshold=0.6, halt_on_error=False, verbose=False, **options):

@@ -11,7 +11,8 @@
 A parameter whose text is the name of an input or of an earlier process is a reference, anything else is
 a value. Building checks methods, arguments and references before anything runs, and a reference to
 a later process is an error. Inputs and processes are lazy; a table that several later ones use, or
-that is marked ``is_cached``, is persisted while the outputs are written.
+that is marked ``is_cached``, is persisted while the outputs are written. An output path that ends in a
+slash is a folder, written by all tasks.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ class Plan:
     outputs: dict[str, str | list[str]]
     output_dir: str | None = None
     references: dict[str, list[str]] = field(default_factory=dict)
+    persisted: list[DataFrame] = field(default_factory=list)
 
     def evaluate(self, spark: SparkSession) -> dict[str, Any]:
-        """All results, as lazy tables and values; nothing is written."""
+        """All results, as lazy tables and values; nothing is written but plots that a process asks for."""
         results: dict[str, Any] = {}
         used = Counter(r for of in self.references.values() for r in of)
         for name, spec in self.inputs.items():
@@ -65,16 +67,23 @@ class Plan:
             self._persist(results[name], spec.get("is_cached"), used[name])
         return results
 
-    @staticmethod
-    def _persist(value: Any, asked: Any, uses: int) -> None:
+    def _persist(self, value: Any, asked: Any, uses: int) -> None:
         if isinstance(value, DataFrame) and (asked or uses > 1):
-            value.persist(StorageLevel.MEMORY_AND_DISK)
+            self.persisted.append(value.persist(StorageLevel.MEMORY_AND_DISK))
+
+    def release(self) -> None:
+        """Free what ``evaluate`` has persisted; the results stay valid and are computed anew."""
+        while self.persisted:
+            self.persisted.pop().unpersist()
 
     def run(self, spark: SparkSession) -> dict[str, Any]:
         """Evaluate and write the outputs; results that the plan doesn't have are skipped."""
-        results = self.evaluate(spark)
-        for name, path in self.outputs.items():
-            write_output(results.get(name), path)
+        try:
+            results = self.evaluate(spark)
+            for name, path in self.outputs.items():
+                write_output(results.get(name), path)
+        finally:
+            self.release()
         return results
 
 

@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 from auxograph.functions.time_labels import with_time
 from auxograph.functions.values import number, strip
 
+# How the header line of an export begins.
 HEADER = "Well Row,Well Col,Content,Raw Data"
 
 
+LINE_ENDS = r"\r\n|\r|\n"
+
+
+def _whole_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(value, source_file): each file as one value; exports are small files."""
+    paths = [path] if isinstance(path, str) else list(path)
+    return spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
+
+
 def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(source_file, line_no, line) of text files; lines are numbered within their file.
 
-    A file is read as one value and split, so numbers need no shuffle; exports are small files.
+    A file is read as one value and split, so numbers need no shuffle.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
-    return whole.select("source_file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
+    return _whole_files(spark, path).select("source_file", F.posexplode(F.split("value", LINE_ENDS)).alias("line_no", "line"))
 
 
 def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od") -> DataFrame:
@@ -28,27 +36,29 @@ def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od"
 
     Blank lines are skipped. The labels are the cells of the line after the header from the fourth on,
     without ``time`` and empty cells. A cell that isn't a number is null; a label that is no duration
-    has null times. A file without the header is an error.
+    has null times. A file without the header is an error. A file is taken apart within its own row,
+    so any number of files is read without a join or a shuffle.
     """
-    lines = text_lines(spark, path).where(F.trim("line") != "")
-    is_header = F.startswith(F.trim("line"), F.lit(HEADER))
-    starts = lines.groupBy("source_file").agg(F.min(F.when(is_header, F.col("line_no"))).alias("_header"))
+    lines = F.filter(F.split("value", LINE_ENDS), lambda x: F.trim(x) != "")
+    files = _whole_files(spark, path).select("source_file", lines.alias("_lines"))
+    header = F.array_position(F.transform("_lines", lambda x: F.startswith(F.trim(x), F.lit(HEADER))), True).cast("int")
     missing = F.raise_error(F.concat(F.lit(f"no line starts with '{HEADER}' in "), F.col("source_file"))).cast("int")
-    block = lines.join(F.broadcast(starts), "source_file").withColumn("_header", F.coalesce("_header", missing)).where("line_no > _header")
-    cells = F.transform(F.split("line", ","), lambda c: strip(c))
-    rows = block.select("source_file", "line_no", cells.alias("cells"))
+    cells = lambda line: F.transform(F.split(line, ","), lambda c: strip(c))
+    # a slice that begins after the end is empty
+    rest = lambda array, begin: F.slice(array, begin, F.greatest(F.size(array), F.lit(1)))
     label = lambda c: (c != "") & (F.lower(c) != "time")
-    labels = rows.groupBy("source_file").agg(F.min_by("cells", "line_no").alias("_first"), F.min("line_no").alias("_labels_at"))
-    labels = labels.select("source_file", "_labels_at", F.filter(F.slice("_first", 4, 100_000), label).alias("_labels"))
-    wells = rows.join(F.broadcast(labels), "source_file").where(F.col("line_no") > F.col("_labels_at"))
+    first = F.coalesce(cells(F.get("_lines", F.col("_header"))), F.array().cast("array<string>"))
+    found = files.withColumn("_header", F.when(header > 0, header).otherwise(missing)).select(
+        "source_file", rest(F.col("_lines"), F.col("_header") + 2).alias("_lines"), F.filter(rest(first, F.lit(4)), label).alias("_labels")
+    )
+    wells = found.select("source_file", "_labels", F.explode(F.transform("_lines", cells)).alias("cells"))
     values = F.slice("cells", F.lit(4), F.size("_labels"))
     tall = wells.select(
         F.try_element_at("cells", F.lit(1)).alias("well_row"),
         F.try_element_at("cells", F.lit(2)).try_cast("double").cast("int").alias("well_col"),
         F.try_element_at("cells", F.lit(3)).alias("content"),
         "source_file",
-        "line_no",
-        F.posexplode(F.arrays_zip(F.col("_labels").alias("label"), values.alias("value"))).alias("label_no", "_cell"),
+        F.explode(F.arrays_zip(F.col("_labels").alias("label"), values.alias("value"))).alias("_cell"),
     )
     readings = tall.select(
         "well_row",
@@ -58,11 +68,9 @@ def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od"
         number("_cell.value").alias(value),
         F.concat("well_row", F.coalesce(F.col("well_col").cast("string"), F.lit("<NA>"))).alias("well"),
         "source_file",
-        "line_no",
-        "label_no",
     )
     # an order only where it is asked for: readings are partitioned by well in all that follows
-    return with_time(readings.where(F.col("time_label").isNotNull())).drop("line_no", "label_no")
+    return with_time(readings.where(F.col("time_label").isNotNull()))
 
 
 def in_plate_order(df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from auxograph.functions.values import no_blank, number, strip
 from auxograph.sources.plate_export import text_lines
 
+# The title of the section that holds the table, its columns and their names here; the
+# first five are text, the others volumes.
 SECTION = "Experiment Data"
-#: Columns of the table and their names here; the first five are text, the others volumes.
 COLUMNS = {
     "Well": "well",
     "Strain": "strain",
