@@ -7,55 +7,33 @@ mappings and matrices. Floating-point results are rounded to 6 digits on both si
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from auxograph import catalogue_files
 from auxograph.functions import chemistry, growth, time_labels, values
-from auxograph.operators import gompertz, joins, mapping, matrices, plates, series, sinks
-from auxograph.sources.exchanges import MINIMAL_MEDIUM, SUPPLEMENT_EXCHANGES
+from auxograph.operators import gompertz, joins, mapping, matrices, plates, series
+from auxograph.registered import HOURS, ORACLES, QUERIES, Query, event_series, query, r6, table
+from auxograph.sources.compounds import Compound, CompoundTable
+from auxograph.sources.exchanges import MINIMAL_MEDIUM, supplement_exchanges
 from auxograph.sources.protocol import sections
 from auxograph.streaming import live
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_queries: dict[str, Query] = {}
-_oracles: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _oracles[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["catalogue_files", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Query]:
     """Each query by name; called with (spark, folder of the tables)."""
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the rows of the query of the same name."""
-    return dict(_oracles)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c: str | object, name: str):
-    return F.round(values.col(c), 6).alias(name)
+    return dict(ORACLES)
 
 
 # Series of events
 
-HOURS = "(unix_micros(cast(ts as timestamp)) - unix_micros(timestamp'2024-01-01 00:00:00')) / 3.6e9"
 _TS = "ts as (select user_id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as t, value as v, event_id from events)"
 _LOG = f"""{_TS}, nb as (
   select *, row_number() over (partition by user_id order by t, event_id) as rn from ts
@@ -66,14 +44,17 @@ _LOG = f"""{_TS}, nb as (
 )"""
 
 
-def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", F.expr(HOURS).alias("t"), F.col("value").alias("v"), "event_id")
-
-
 def log_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.log_ratio(event_series(spark, sf_dir), "v", "y", ["user_id"], "t", 4, "n0", ["event_id"])
 
 
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the value of one curve at its time."""
+    rows = event_series(spark, sf_dir)
+    params = rows.select("user_id").distinct().select("user_id", F.lit(0.05).alias("y0"), F.lit(2.0).alias("A"), F.lit(0.4).alias("mu_max"), F.lit(3.0).alias("lambda"))
+    return gompertz.predict_gompertz(rows, params, "t", "v", ["user_id"], fitted="fitted")
+
+
 def _smooth_sql(times: int) -> str:
     parts = ["s0 as (select user_id, t, event_id, v as y, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by t, event_id) as rn from ts)"]
     for i in range(times):
@@ -104,21 +85,29 @@ _MAX_RATE = f"""with {_LOG}, u as (
 )}, m as (
   select *, case when count(*) over w = 5 then regr_slope(y, t) over w end as slope,
          case when count(*) over w = 5 then case when regr_syy(y, t) over w = 0 then 0 else regr_r2(y, t) over w end end as r2,
+         case when count(*) over w = 5 then sqrt(greatest(0, regr_syy(y, t) over w - power(regr_sxy(y, t) over w, 2) / regr_sxx(y, t) over w) / 5) end as rmse,
          max(y) over (partition by user_id) - min(y) over (partition by user_id) as span
   from s4 window w as (partition by user_id order by t, event_id rows between current row and 4 following)
 ), best as (
   select *, row_number() over (partition by user_id order by slope desc nulls last, t) as rn from m
 ), top as (
   select user_id, exp(y) * n0 as max_value, t as max_time, row_number() over (partition by user_id order by round(y, 12) desc, t) as rn from s4
+), found as (
+  select best.user_id, best.n, best.n >= 5 and best.span > exp(0.1) as ok, slope, r2, rmse, best.t as began, max_value, max_time
+  from best join top using (user_id) where best.rn = 1 and top.rn = 1
 )
-select best.user_id, best.n::int as n, round(slope, 6) as mv_mu_max, round(r2, 6) as mv_r2, round(max_value, 6) as max_value, round(max_time, 6) as max_time
-from best join top using (user_id) where best.rn = 1 and top.rn = 1 and best.n >= 5 and best.span > exp(0.1)"""
+select user_id, coalesce(n, 0)::int as n, coalesce(ok, false) as success, case when ok then 'ok' else 'insufficient or flat data' end as message,
+  round(case when ok then slope end, 6) as mv_mu_max, round(case when ok then r2 end, 6) as mv_r2, round(case when ok then rmse end, 6) as mv_rmse,
+  round(case when ok then began end, 6) as window_start, round(case when ok then max_value end, 6) as max_value, round(case when ok then max_time end, 6) as max_time
+from (select distinct user_id from events) left join found using (user_id)"""
+
+_RATES = ("mv_mu_max", "mv_r2", "mv_rmse", "window_start", "max_value", "max_time")
 
 
 @query(_MAX_RATE)
 def max_growth_rate(spark, sf_dir):
     fits = series.max_growth_rate(log_series(spark, sf_dir), "t", "y", ["user_id"], window=5, smoothing=4, metadata=[], ties=["event_id"])
-    return fits.where("success").select("user_id", "n", r6("mv_mu_max", "mv_mu_max"), r6("mv_r2", "mv_r2"), r6("max_value", "max_value"), r6("max_time", "max_time"))
+    return fits.select("user_id", "n", "success", "message", *[r6(c, c) for c in _RATES])
 
 
 @query(f"with {_LOG} select event_id, round(n0, 6) as n0, round(y, 6) as y from lg")
@@ -150,26 +139,19 @@ def series_quality_gate(spark, sf_dir):
     f"""with {_LOG}, d as (
       select *, (lead(y) over w - y) / nullif(lead(t) over w - t, 0) as slope from lg where y is not null window w as (partition by user_id order by t, event_id)
     ), p as (
-      select user_id, quantile_cont(y, 0.05) as y0, quantile_cont(y, 0.95) as p95, max(slope) as top, min(t) as t0 from d group by user_id
+      select user_id, quantile_cont(y, 0.05) as y0, quantile_cont(y, 0.95) as p95, max(slope) as top, min(t) as t0, max(t) as t1, max(y) as y1 from d group by user_id
     ), l as (
       select d.user_id, min(d.t) as lag from d join p using (user_id) where d.slope = p.top group by d.user_id
     )
-    select user_id, round(y0, 6) as y0, round(greatest(p95 - y0, 1e-3), 6) as amplitude, round(coalesce(greatest(top, 1e-3), 0.1), 6) as mu_max,
-           round(coalesce(lag, t0), 6) as lag from p left join l using (user_id)"""
+    select user_id, round(greatest(0, least(greatest(2, 2 * y1), y0)), 6) as y0_start, round(greatest(1e-5, least(greatest(1e-3, 2 * y1), greatest(p95 - y0, 1e-3))), 6) as "A_start",
+           round(least(10, coalesce(greatest(top, 1e-3), 0.1)), 6) as mu_max_start, round(greatest(0, least(1.5 * t1 + 1, coalesce(lag, t0))), 6) as lambda_start,
+           0.0::double as y0_lower, 1e-5::double as "A_lower", 1e-5::double as mu_max_lower, 0.0::double as lambda_lower,
+           round(greatest(2, 2 * y1), 6) as y0_upper, round(greatest(1e-3, 2 * y1), 6) as "A_upper", 10.0::double as mu_max_upper, round(1.5 * t1 + 1, 6) as lambda_upper
+    from p left join l using (user_id)"""
 )
 def initial_guess(spark, sf_dir):
-    good = log_series(spark, sf_dir).where("y is not null")
-    sloped = series.differences(good, "y", ["user_id"], "t", "slope", ["event_id"])
-    spread = F.percentile("y", F.array(F.lit(0.05), F.lit(0.95)))
-    first = F.max_by("t", F.when(F.col("slope").isNotNull(), F.struct("slope", -F.col("t"))))
-    found = sloped.groupBy("user_id").agg(spread.alias("p"), F.max("slope").alias("top"), F.coalesce(first, F.min("t")).alias("lag"))
-    return found.select(
-        "user_id",
-        r6(F.col("p")[0], "y0"),
-        r6(F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-3)), "amplitude"),
-        r6(F.coalesce(F.when(F.col("top").isNotNull(), F.greatest("top", F.lit(1e-3))), F.lit(0.1)), "mu_max"),
-        r6("lag", "lag"),
-    )
+    found = gompertz.initial_guesses(log_series(spark, sf_dir), "t", "y", ["user_id"], ties=["event_id"])
+    return found.where("n > 0").select("user_id", *[r6(f"{p}_{k}", f"{p}_{k}") for k in ("start", "lower", "upper") for p in gompertz.PARAMETERS])
 
 
 @query(
@@ -177,26 +159,48 @@ def initial_guess(spark, sf_dir):
     round(v - (0.05 + 2.0 * exp(-exp(greatest(-50, least(50, 0.4 * exp(1) / 2.0 * (3.0 - t) + 1))))), 6) as residual from ts"""
 )
 def gompertz_predict(spark, sf_dir):
-    rows = event_series(spark, sf_dir)
-    params = rows.select("user_id").distinct().select("user_id", F.lit(0.05).alias("y0"), F.lit(2.0).alias("A"), F.lit(0.4).alias("mu_max"), F.lit(3.0).alias("lambda"))
-    done = gompertz.predict_gompertz(rows, params, "t", "v", ["user_id"], fitted="fitted")
-    return done.select("event_id", r6("fitted", "fitted"), r6("residual", "residual"))
+    return predicted(spark, sf_dir).select("event_id", r6("fitted", "fitted"), r6("residual", "residual"))
 
 
-@query()
+@query(
+    f"""with {_LOG}, g as (
+      select user_id, count(*) as n, max(y) - min(y) > exp(0.1) and count(*) >= 5 as ok, arg_max(t, (y, -t)) as top, max(y) as y, any_value(n0) as n0
+      from lg where y is not null group by user_id
+    ) select user_id, coalesce(n, 0)::int as n, coalesce(ok, false) as success, case when ok then 'ok' else 'insufficient or flat data' end as message,
+      case when ok then 0.0::double end as y0, round(case when ok then exp(y) * n0 end, 6) as max_value, round(case when ok then top end, 6) as max_time, ok as within_bounds
+    from (select distinct user_id from events) left join g using (user_id)"""
+)
 def gompertz_fit(spark, sf_dir):
-    return gompertz.fit_gompertz(log_series(spark, sf_dir), "t", "y", ["user_id"], fixed={"y0": 0.0}, metadata=[], ties=["event_id"])
+    # these series are no growth curves, so their parameters have no closed form: gompertz_recovery compares parameters
+    fits = gompertz.fit_gompertz(log_series(spark, sf_dir), "t", "y", ["user_id"], fixed={"y0": 0.0}, metadata=[], ties=["event_id"])
+    inside = F.col("A").between(1e-5, F.greatest(F.lit(1e-3), 2 * F.ln("max_value") + 40)) & F.col("mu_max").between(1e-5, 10.0) & (F.col("lambda") >= 0) & (F.col("rmse") >= 0)
+    return fits.select("user_id", "n", "success", "message", "y0", r6("max_value", "max_value"), r6("max_time", "max_time"), inside.alias("within_bounds"))
+
+
+_PLANTED = "0.25 * (user_id % 4) as y0, 1.5 + 0.25 * (user_id % 7) as a, 0.2 + 0.05 * (user_id % 9) as mu, 1 + 0.5 * (user_id % 5) as lag"
+
+
+@query(
+    f"""with u as (select distinct user_id from events), p as (select user_id, {_PLANTED} from u)
+    select user_id, 97 as n, true as success, y0::double as y0, a::double as "A", mu::double as mu_max, lag::double as "lambda", 1.0::double as r2, 0.0::double as rmse from p"""
+)
+def gompertz_recovery(spark, sf_dir):
+    """Curves of known parameters, a point every quarter of an hour: the fit must find them, whatever it starts from."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct().selectExpr("user_id", *_PLANTED.split(", "))
+    points = users.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(96)))).withColumn("t", F.col("t") / 4)
+    rows = points.withColumn("y", growth.gompertz("t", "y0", "a", "mu", "lag")).select("user_id", "t", "y")
+    fits = gompertz.fit_gompertz(rows, "t", "y", ["user_id"], log_transformed=False, metadata=[])
+    r4 = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return fits.select("user_id", "n", "success", *[r4(c) for c in (*gompertz.PARAMETERS, "r2", "rmse")])
 
 
 @query(
-    f"""with {_TS} select user_id, count(*) as n, round(regr_r2(v, t), 6) as r2,
-    round(sqrt((regr_syy(v, t) - regr_sxy(v, t) ** 2 / regr_sxx(v, t)) / count(*)), 6) as rmse, round(max(v), 6) as max_value from ts group by user_id"""
+    f"""with {_TS}, f as (select user_id, v, 0.05 + 2.0 * exp(-exp(greatest(-50, least(50, 0.4 * exp(1) / 2.0 * (3.0 - t) + 1)))) as fitted from ts)
+    select user_id, count(*)::int as n, round(1 - sum((v - fitted) ** 2) / nullif(regr_syy(v, 0), 0), 6) as r2,
+    round(sqrt(sum((v - fitted) ** 2) / greatest(1, count(*) - 4)), 6) as rmse from f group by user_id"""
 )
 def fit_quality_r2_rmse(spark, sf_dir):
-    g = event_series(spark, sf_dir).groupBy("user_id")
-    v, t = F.col("v"), F.col("t")
-    rest = (F.regr_syy(v, t) - F.pow(F.regr_sxy(v, t), F.lit(2)) / F.regr_sxx(v, t)) / F.count("*")
-    return g.agg(F.count("*").alias("n"), r6(F.regr_r2(v, t), "r2"), r6(F.sqrt(rest), "rmse"), r6(F.max("v"), "max_value"))
+    return gompertz.fit_quality(predicted(spark, sf_dir), "v", "fitted", ["user_id"], 4).select("user_id", "n", r6("r2", "r2"), r6("rmse", "rmse"))
 
 
 @query(
@@ -287,46 +291,39 @@ def replicate_stats_numerical_ddof0(spark, sf_dir):
     f"""with {_PLATE.replace(" where user_id < {users}", "")}, p as (
       select *, regexp_extract(strain, '[A-Za-z]+') as grp from plate where regexp_extract(strain, '[A-Za-z]+') in ('SLAB', 'WT')
     ), wells as (
-      select grp, well, well_row, well_col from (select distinct grp, well, well_row, well_col from p)
+      select *, count(*) over (partition by grp) as n, row_number() over (partition by grp order by case when grp = 'SLAB' then well_row end, well_col, well_row) - 1 as place
+      from (select distinct grp, well, well_row, well_col from p)
+    ), g as (
+      select *, place // ({_SIZE}) as num from wells
+    ), m as (
+      select grp, num, list(well order by place) as w, min(well_col) as lo, max(well_col) as hi from g group by grp, num
     )
-    select grp as strain, well_row || '_' || well_col as group_id, well as wells, well_row as well_rows, well_col::varchar as well_cols,
-           round(avg(od), 6) as od_mean, round(stddev_pop(od), 6) as od_std, count(od) as n_replicates, time_h
-    from p group by grp, well, well_row, well_col, time_h"""
+    select p.grp as strain, case when p.grp = 'SLAB' then w[1][1] || '_' || case when lo = hi then lo::varchar else lo || '-' || hi end
+        else list_aggregate(list_transform(w, lambda x: x[1]), 'string_agg', '') || '_' || regexp_extract(w[1], '[0-9]+$') end as group_id,
+      string_agg(distinct p.well, ',' order by p.well) as wells, string_agg(distinct p.well_row, ',' order by p.well_row) as well_rows,
+      string_agg(distinct p.well_col::varchar, ',' order by p.well_col::varchar) as well_cols,
+      round(avg(od), 6) as od_mean, round(stddev_pop(od), 6) as od_std, count(od) as n_replicates, time_h
+    from p join g on g.well = p.well join m on m.grp = g.grp and m.num = g.num group by p.grp, g.num, w, lo, hi, time_h"""
 )
 def replicate_stats_custom_rules(spark, sf_dir):
-    rules = {"SLAB": {"direction": "alphabetical", "sample_size": 1}, "WT": {"direction": "numerical", "sample_size": 1}}
-    return _stats(plates.replicates_by_rules(plate(spark, sf_dir), "[A-Za-z]+", rules, 0), "strain")
-
-
-@query(
-    """select l_orderkey, l_linenumber, 'l_quantity' as metric, l_quantity as v from lineitem
-    union all select l_orderkey, l_linenumber, 'l_extendedprice', l_extendedprice from lineitem
-    union all select l_orderkey, l_linenumber, 'l_discount', l_discount from lineitem"""
-)
-def wide_to_long(spark, sf_dir):
-    names = ["l_quantity", "l_extendedprice", "l_discount"]
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names).unpivot(["l_orderkey", "l_linenumber"], names, "metric", "v")
+    rows = plate(spark, sf_dir)
+    size = lambda s: _group_size(rows.where(F.startswith("strain", F.lit(s))))
+    rules = {"SLAB": {"direction": "alphabetical", "sample_size": size("SLAB")}, "WT": {"direction": "numerical", "sample_size": size("WT")}}
+    return _stats(plates.replicates_by_rules(rows, "[A-Za-z]+", rules, 0), "strain")
 
 
 EVENT_TYPES = ["click", "login", "logout", "purchase", "view"]
 
 
 @query(
-    "select user_id, " + ", ".join(f"coalesce(round(max(case when event_type = '{e}' then value end), 6), 0) as {e}" for e in EVENT_TYPES) + " from events group by user_id"
+    """select user_id, """ + ", ".join(f"""coalesce(bool_or(event_type = '{e}'), false)::int as "EX_{e}" """ for e in EVENT_TYPES) + """, 1 as "EX_water", count(*) as n from events group by user_id"""
 )
 def long_to_wide_matrix(spark, sf_dir):
-    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", EVENT_TYPES).agg(F.round(F.max("value"), 6))
-    return wide.na.fill(0.0)
-
-
-@query(
-    """select 'max_size' as name, max(case when p_brand = 'Brand#11' then p_size end)::double as b11, max(case when p_brand = 'Brand#12' then p_size end)::double as b12 from part
-    union all select 'max_price', round(max(case when p_brand = 'Brand#11' then p_retailprice end), 6), round(max(case when p_brand = 'Brand#12' then p_retailprice end), 6) from part"""
-)
-def transpose_template(spark, sf_dir):
-    long = table(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#11", "Brand#12")).groupBy("p_brand").agg(F.max("p_size").cast("double").alias("max_size"), F.round(F.max("p_retailprice"), 6).alias("max_price"))
-    tall = long.unpivot(["p_brand"], ["max_size", "max_price"], "name", "v")
-    return tall.groupBy("name").pivot("p_brand", ["Brand#11", "Brand#12"]).agg(F.first("v")).toDF("name", "b11", "b12")
+    """Types of events as supplements of a user."""
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat_ws(" ; ", F.collect_set("event_type")).alias("supplements"), F.count("*").alias("n"))
+    exchanges = spark.createDataFrame([(e, f"EX_{e}") for e in EVENT_TYPES], "name string, exchange_reaction string")
+    rows = users.withColumn("both", F.struct("user_id", "n"))
+    return matrices.supplement_matrix(rows, exchanges, ["EX_water"], growth_rate="both").select("both.user_id", "EX_water", *[f"EX_{e}" for e in EVENT_TYPES], "both.n")
 
 
 @query(
@@ -406,19 +403,6 @@ def first_match_join(spark, sf_dir):
     return found.select("o_orderkey", "o_totalprice", "l_linenumber", "l_quantity")
 
 
-@query(
-    """with r as (select s_name as name, s_acctbal as bal, 'supplier' as experiment from supplier union all select c_name, c_acctbal, 'customer' from customer)
-    select regexp_extract(name, '[A-Za-z]+') as grp, experiment, count(*) as n, round(sum(bal), 2) as total from r group by 1, 2"""
-)
-def collate_by_pattern(spark, sf_dir):
-    parts = [
-        table(spark, sf_dir, t).select(F.col(f"{t[0]}_name").alias("name"), F.col(f"{t[0]}_acctbal").alias("bal"), F.lit(t).alias("experiment"))
-        for t in ("supplier", "customer")
-    ]
-    grouped = joins.union_by_name(*parts).withColumn("grp", sinks.group_key("name", "[A-Za-z]+")).where("grp is not null").groupBy("grp", "experiment")
-    return grouped.agg(F.count("*").alias("n"), F.round(F.sum("bal"), 2).alias("total"))
-
-
 @query(
     """select l_partkey, l_orderkey, l_linenumber from (
       select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as rn from lineitem) where rn = 1"""
@@ -428,9 +412,9 @@ def dedup_keep_first(spark, sf_dir):
     return joins.keep_first(lines, ["l_partkey"], ["l_orderkey", "l_linenumber"])
 
 
-@query("select c_custkey from customer except select o_custkey from orders")
+@query("select c_custkey from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'")
 def set_difference(spark, sf_dir):
-    return joins.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return joins.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("select n_name as name, n_regionkey as region, null::double as bal from nation union all select s_name, null, s_acctbal from supplier")
@@ -451,23 +435,32 @@ def either_key_lookup(spark, sf_dir):
     return joins.by_either_key(nations, "word", part, ["p_brand", "p_type"], []).select("n_nationkey", "p_partkey")
 
 
-@query()
+@query(
+    """with t as (select distinct lower(unnest(string_split(p_name, ' '))) as token from part), w as (
+      select token as word, token as match, 1.0::double as score from t union all
+      select token || '7', token, 2.0 * length(token) / (2 * length(token) + 1) from t union all select '94', null, null)
+    select word, match, round(score, 6) as score from w"""
+)
 def fuzzy_top1(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    words = mapping.supplement_tokens(part, "p_name", " ").withColumnRenamed("token", "word")
-    types = mapping.supplement_tokens(part, "p_type", " ").withColumnRenamed("token", "kind")
-    return mapping.fuzzy_top(words, "word", types, "kind")
+    # a word with a digit more is most similar to the word itself; a number is similar to none
+    tokens = mapping.supplement_tokens(table(spark, sf_dir, "part"), "p_name", " ")
+    words = tokens.select(F.explode(F.array("token", F.concat("token", F.lit("7")))).alias("word")).unionByName(spark.createDataFrame([("94",)], "word string"))
+    return mapping.fuzzy_top(words, "word", tokens, "token").select("word", "match", r6("score", "score"))
 
 
 @query(
-    """with m as (select l_partkey, max(l_discount) as d, max(l_quantity) as q from lineitem group by l_partkey)
-    select p_partkey, round(coalesce(case when p_size > 40 then p_size * 1.0 end, case when d > 0.05 then d end, q, 0), 6) as v from part left join m on l_partkey = p_partkey"""
+    """with t as (select distinct lower(unnest(string_split(p_name, ' '))) as token from part), m as (select token, 'EX_' || token as e, row_number() over (order by token) % 2 = 0 as known from t)
+    select token || case when known then '' else '7' end as token, case when known then 'exact' else 'fuzzy' end as result, token as match,
+           round(case when known then 1 else 2.0 * length(token) / (2 * length(token) + 1) end, 6) as score, e as exchange_reaction from m
+    union all select '94', 'unmapped', null, null, null"""
 )
-def precedence_override(spark, sf_dir):
-    top = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_discount").alias("d"), F.max("l_quantity").alias("q"))
-    joined = table(spark, sf_dir, "part").join(top, "p_partkey", "left")
-    chosen = F.coalesce(F.when(F.col("p_size") > 40, F.col("p_size").cast("double")), F.when(F.col("d") > 0.05, F.col("d")), "q", F.lit(0.0))
-    return joined.select("p_partkey", r6(chosen, "v"))
+def mapping_audit(spark, sf_dir):
+    tokens = mapping.supplement_tokens(table(spark, sf_dir, "part"), "p_name", " ")
+    exact = F.col("rank") % 2 == 0
+    rows = joins.ranked(tokens, ["token"]).select(F.when(exact, F.col("token")).otherwise(F.concat("token", F.lit("7"))).alias("supplements"))
+    rows = rows.unionByName(spark.createDataFrame([("94",)], "supplements string"))
+    exchanges = tokens.select(F.col("token").alias("name"), F.concat(F.lit("EX_"), "token").alias("exchange_reaction"))
+    return matrices.mapping_audit(rows, exchanges).select("token", "result", "match", r6("score", "score"), "exchange_reaction")
 
 
 # Mappings and matrices: order priorities as supplements
@@ -490,8 +483,8 @@ def small_mapping(spark: SparkSession) -> DataFrame:
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as experiments: two supplements each, the time of the maximum, and whether the fit succeeded."""
-    orders = table(spark, sf_dir, "orders")
+    """Orders, shuffled, as experiments: two supplements each, the time of the maximum, and whether the fit succeeded."""
+    orders = table(spark, sf_dir, "orders").repartition(7)
     return orders.select(
         "o_orderkey",
         F.concat_ws(" ; ", "o_orderpriority", F.lit("2-HIGH")).alias("supplements"),
@@ -551,27 +544,93 @@ def bounds_precedence(spark, sf_dir):
 
 
 @query(
-    """select l_partkey, count(*) as n, count(distinct l_returnflag) as sources from lineitem group by l_partkey
-    having count(*) > 1 and count(distinct l_returnflag) <> count(*)"""
+    f"""with {_EXPERIMENT} select o_orderkey, exchange_reaction, round(value::double, 6) as value, present from (
+      select o_orderkey, unnest(['EX_a_e', 'EX_b_e', 'EX_c_e', 'EX_d_e', 'EX_e_e']) as exchange_reaction,
+        unnest([case when s = '1-urgent' and t > 0 then 4.0 / t else 0 end, case when t > 0 then 2.0 / t else 0 end, case when s = '3-medium' and t > 0 then 1.5 / t else 0 end,
+                case when t > 0 then 6.0 / t else 0 end, 1000.0]) as value,
+        unnest([(s = '1-urgent')::int, 1, (s = '3-medium')::int, 1, 1]) as present from x)"""
+)
+def long_matrices(spark, sf_dir):
+    rows, mapped = experiments(spark, sf_dir), small_mapping(spark)
+    present = matrices.presence_long(rows, mapped).select("o_orderkey", "exchange_reaction", F.col("value").alias("present"))
+    return matrices.flux_long(rows, mapped).join(present, ["o_orderkey", "exchange_reaction"]).select("o_orderkey", "exchange_reaction", r6("value", "value"), "present")
+
+
+@query(
+    """select 'EX_' || l_partkey as exchange_reaction, count(*) filter (l_returnflag = 'A') as fixed, count(*) as stated, count(distinct l_returnflag = 'A') as sources
+    from lineitem where l_returnflag <> 'R' group by l_partkey having count(*) filter (l_returnflag = 'A') > 1 or count(distinct l_returnflag = 'A') <> count(*)"""
 )
 def source_sanity_having(spark, sf_dir):
-    grouped = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_distinct("l_returnflag").alias("sources"))
-    return grouped.where("n > 1 and sources <> n")
+    source = F.when(F.col("l_returnflag") == "A", mapping.FIXED).when(F.col("l_returnflag") == "N", mapping.MEDIUM).otherwise(mapping.SUPPLEMENT)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("EX_"), F.col("l_partkey").cast("string")).alias("exchange_reaction"), source.alias("source"), F.lit(mapping.UPDATED).alias("record_origin")
+    )
+    return mapping.mapping_conflicts(rows)
+
+
+#: name, molecular weight, of substances that media are made of
+SUBSTANCES = [("nation_0", 180.0), ("nation_1", 90.0), ("nation_2", 45.0), ("nation_3", 20.0)]
+
+
+def nation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as metabolites of a model, those of suppliers as supplements, and a medium of three entries and a compound."""
+    nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), F.concat(F.lit("EX_"), F.col("n_nationkey").cast("string")).alias("exchange_reaction"))
+    growth_rows = table(spark, sf_dir, "supplier").select(F.concat_ws("; ", F.lit("NATION_7 "), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string"))).alias("supplements"))
+    custom = {
+        "NATION_0": {"exchange_name": "EX_0", "mass_per_litre": 3.6, "source": "medium", "other_names": ["zero"]},
+        "nation_1 ": {"exchange_name": "EX_1", "flux_upper_bound": 77, "source": "fixed"},
+        "broth": {"exchange_name": "EX_24", "mass_per_litre": 9, "source": "medium", "pubchem_name": "nation_2"},
+        "lost": {"exchange_name": "EX_99", "source": "medium"},
+        "salt": {"is_compound": True, "compounds": ["nation_2", "nation_3"], "mass_per_litre": 13.0, "source": "medium"},
+    }
+    nothing = "/dev/null"
+    return mapping.build_mappings(growth_rows, nations, CompoundTable([Compound(n, molecular_weight=w) for n, w in SUBSTANCES]), custom_file=nothing, custom=custom)
+
+
+_NATIONS = """s as (select distinct s_nationkey as k from supplier union select 7), m as (
+  select lower(n_name) as name, 'EX_' || n_nationkey as exchange_reaction, n_nationkey as k, n_nationkey in (select k from s) as given from nation
+), w as (
+  select name, exchange_reaction, given, k, case k when 0 then 3.6 when 2 then 9.0 when 3 then 4.0 else 0.0 end as mass, case k when 0 then 20.0 when 2 then 200.0 when 3 then 200.0 else 0.0 end as mmol,
+    case when k = 1 then 77.0 else 0.0 end as bound, case when given then 'supplement' when k in (0, 2, 3) then 'medium' when k = 1 then 'fixed' else 'unstated' end as source,
+    case when given or k <= 3 then 'updated' else 'smbl' end as origin,
+    array_to_string(list_sort(list_distinct(case when k = 0 then ['zero', name] when given or k <= 3 then [name] else [] end)), ';') as others from m
+), mapped as (
+  select name, '' as iupac_name, others as other_names, exchange_reaction, mass::double as mass_per_litre, mmol::double as mmol_concentration, bound::double as flux_upper_bound, source, origin as record_origin from w
+  union all select 'broth', '', '', 'EX_24', 9.0, 200.0, 0.0, 'medium', 'updated'
+)"""
 
 
-@query("select l_partkey, arg_max(l_quantity, (l_orderkey, l_linenumber)) as l_quantity from lineitem group by l_partkey")
-def last_wins_map(spark, sf_dir):
-    return joins.last_wins(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", ["l_orderkey", "l_linenumber"])
+@query(f"with {_NATIONS} select * replace (round(mass_per_litre, 6) as mass_per_litre, round(mmol_concentration, 6) as mmol_concentration) from mapped")
+def build_mappings(spark, sf_dir):
+    done = nation_mapping(spark, sf_dir)
+    return done.withColumns({c: F.round(c, 6) for c in ("mass_per_litre", "mmol_concentration")})
+
+
+@query(f"with {_NATIONS} select name, exchange_reaction, source from mapped where record_origin = 'updated' and source <> 'unstated'")
+def mapping_report(spark, sf_dir):
+    return mapping.mapping_report(nation_mapping(spark, sf_dir)).select("name", "exchange_reaction", "source")
+
+
+#: What experiments are given in ``supplement_table_lookup``; the oracle states the exchanges by itself.
+GIVEN = ("Glucose; uracil", "l-alanine;ALANINE", "d-lactate ;nothing known", "glycerol", "")
 
 
-@query("select name, exchange_reaction from (values " + ", ".join(f"('{n}', '{e}')" for n, e in SUPPLEMENT_EXCHANGES.items()) + ") as t(name, exchange_reaction)")
-def supplement_exchange_table(spark, sf_dir):
-    return spark.createDataFrame(list(SUPPLEMENT_EXCHANGES.items()), "name string, exchange_reaction string")
+@query(
+    """select o_orderkey, (k = 0)::int as "EX_glc__D_e", (k = 0)::int as "EX_ura_e", (k = 1)::int as "EX_ala__L_e_i", (k = 2)::int as "EX_lac__D_e_i", (k = 3)::int as "EX_glyc_e_i",
+    0 as "EX_fru_e_i", 1 as "EX_h2o_e_i", 1 as "EX_nh4_e_i", 45 as columns from (select o_orderkey, o_orderkey % 5 as k from orders)"""
+)
+def supplement_table_lookup(spark, sf_dir):
+    """The table of supplements and the minimal medium that come with the package."""
+    given = F.element_at(F.array(*[F.lit(g) for g in GIVEN]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", given.alias("supplements"))
+    done = matrices.supplement_matrix(rows, supplement_exchanges(spark), list(MINIMAL_MEDIUM), growth_rate="o_orderkey")
+    shown = ("EX_glc__D_e", "EX_ura_e", "EX_ala__L_e_i", "EX_lac__D_e_i", "EX_glyc_e_i", "EX_fru_e_i", "EX_h2o_e_i", "EX_nh4_e_i")
+    return done.select("o_orderkey", *shown, F.lit(len(done.columns)).alias("columns"))
 
 
-@query("select exchange_reaction from (values " + ", ".join(f"('{e}')" for e in MINIMAL_MEDIUM) + ") as t(exchange_reaction)")
-def minimal_medium_table(spark, sf_dir):
-    return spark.createDataFrame([(e,) for e in MINIMAL_MEDIUM], "exchange_reaction string")
+@query("select l_partkey, arg_max(l_quantity, (l_orderkey, l_linenumber)) as l_quantity from lineitem group by l_partkey")
+def last_wins_map(spark, sf_dir):
+    return joins.last_wins(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", ["l_orderkey", "l_linenumber"])
 
 
 # Chemistry and units
@@ -611,8 +670,7 @@ def unit_conversions(spark, sf_dir):
 
 @query("select c_mktsegment, array_to_string(list_slice(list(distinct c_name order by c_name), 1, 96), ';') as names from customer group by c_mktsegment")
 def ordered_limit_agg(spark, sf_dir):
-    names = F.array_join(F.slice(F.array_sort(F.collect_set("c_name")), 1, plates.LISTED), ";")
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(names.alias("names"))
+    return plates.first_names(table(spark, sf_dir, "customer"), "c_name", ["c_mktsegment"])
 
 
 @query(
@@ -635,13 +693,6 @@ def section_carry_forward(spark, sf_dir):
     return sections(lines).select("source_file", "line_no", "section", "title")
 
 
-@query("select n_name, r_name from nation, region where n_regionkey <> r_regionkey and n_nationkey % 2 = 0")
-def cross_then_filter(spark, sf_dir):
-    # 25 nations by 5 regions: both sides are dimensions of fixed size
-    nations = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
-    return nations.crossJoin(F.broadcast(table(spark, sf_dir, "region"))).where("n_regionkey <> r_regionkey").select("n_name", "r_name")
-
-
 @query(
     """select l_orderkey, l_linenumber, case when l_extendedprice > 10000 then 1000 else trunc(l_extendedprice)::int end as bound,
     'EX_' || lower(trim(replace(replace(l_returnflag || '_e', '_e', ''), '_', ' '))) as name from lineitem"""
@@ -659,8 +710,36 @@ def hourly_windows(spark, sf_dir):
     return done.select("event_type", F.col("start").cast("timestamp_ntz").alias("hour"), "n", r6("mean", "mean"), r6("top", "top"))
 
 
-@query("select event_type, user_id, n, rank from (select *, row_number() over (partition by event_type order by n desc, user_id) as rank from (select event_type, user_id, count(*) as n from events group by 1, 2)) where rank <= 3")
+@query("select event_type, user_id, n, rank::int as rank from (select *, row_number() over (partition by event_type order by n desc, user_id) as rank from (select event_type, user_id, count(*) as n from events group by 1, 2)) where rank <= 3")
 def top_users(spark, sf_dir):
     counted = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")
-    return counted.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return joins.top_by(counted, ["event_type"], [F.desc("n"), "user_id"], 3)
+
+
+@query(
+    """with b as (select range as i from range(0, 2)), w as (
+      select event_type, value, time_bucket(interval '30 minutes', ts) - i * interval '30 minutes' as start from events, b)
+    select event_type, start, count(*) as n, round(avg(value), 6) as mean, round(max(value), 6) as top from w group by 1, 2"""
+)
+def sliding_windows(spark, sf_dir):
+    done = live.windowed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "1 hour", "30 minutes")
+    return done.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("mean", "mean"), r6("top", "top"))
+
+
+@query(
+    """with e as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) >= interval '6 hours' as gap from events),
+    s as (select user_id, ts, sum(coalesce(gap, true)::int) over (partition by user_id order by ts) as session from e)
+    select user_id, min(ts) as start, max(ts) + interval '6 hours' as end, count(*) as n from s group by user_id, session"""
+)
+def sessions(spark, sf_dir):
+    done = live.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id"], "6 hours")
+    return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(
+    """select p_partkey, case p_type when 'SMALL' then 10.5 when 'LARGE' then 20.25 end::double as molecular_weight from part"""
+)
+def molecular_weights(spark, sf_dir):
+    known = [("Small", 3, None, None, 99.0), ("Small", 1, None, None, 10.5), ("large", 2, None, None, 20.25)]
+    compounds = spark.createDataFrame(known, chemistry.COMPOUND_COLUMNS)
+    return chemistry.molecular_weights(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", compounds).select("p_partkey", "molecular_weight")

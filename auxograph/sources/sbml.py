@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auxograph.functions.growth import capped_bound, exchange_name
 
 _SPECIES = "_id string, _name string"
-_PARAMETER = "_id string, _value double"
+_PARAMETER = "_id string, _value string"
 _REACTION = """_id string, _name string, _upperFluxBound string, `_fbc:upperFluxBound` string,
   listOfReactants struct<speciesReference: array<struct<_species: string>>>,
-  kineticLaw struct<listOfParameters: struct<parameter: array<struct<_id: string, _value: double>>>,
-                    listOfLocalParameters: struct<localParameter: array<struct<_id: string, _value: double>>>>"""
+  kineticLaw struct<listOfParameters: struct<parameter: array<struct<_id: string, _value: string>>>,
+                    listOfLocalParameters: struct<localParameter: array<struct<_id: string, _value: string>>>>"""
 #: Bound of reactions that name none.
 DEFAULT_BOUND = 1000
 
@@ -21,6 +21,12 @@ def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+def _value(c) -> Column:
+    """A number of a model, where ``INF`` and ``-INF`` are infinite."""
+    text = F.upper(F.trim(c))
+    return F.when(text == "INF", float("inf")).when(text == "-INF", float("-inf")).otherwise(text.try_cast("double"))
+
+
 def _exchanges(spark: SparkSession, path: str) -> DataFrame:
     """Reactions whose id, without a leading ``R_``, begins with ``EX_``; ``_n`` is the order in the file."""
     rows = _rows(spark, path, "reaction", _REACTION).withColumn("_n", F.monotonically_increasing_id())
@@ -50,12 +56,12 @@ def read_bounds(spark: SparkSession, path: str, default_level: int = 1) -> DataF
     """
     reactions = _exchanges(spark, path)
     named = F.coalesce("`_fbc:upperFluxBound`", "_upperFluxBound")
-    parameters = _rows(spark, path, "parameter", _PARAMETER).groupBy(F.col("_id").alias("_bound")).agg(F.max("_value").alias("_named"))
+    parameters = _rows(spark, path, "parameter", _PARAMETER).groupBy(F.col("_id").alias("_bound")).agg(F.max(_value(F.col("_value"))).alias("_named"))
     local = F.concat(
-        F.coalesce("kineticLaw.listOfParameters.parameter", F.array().cast("array<struct<_id:string,_value:double>>")),
-        F.coalesce("kineticLaw.listOfLocalParameters.localParameter", F.array().cast("array<struct<_id:string,_value:double>>")),
+        F.coalesce("kineticLaw.listOfParameters.parameter", F.array().cast("array<struct<_id:string,_value:string>>")),
+        F.coalesce("kineticLaw.listOfLocalParameters.localParameter", F.array().cast("array<struct<_id:string,_value:string>>")),
     )
     upper = F.filter(local, lambda p: F.lower(p["_id"]).rlike("upper|ub"))
-    joined = reactions.withColumn("_bound", named).withColumn("_local", F.try_element_at(upper, F.lit(-1))["_value"]).join(parameters, "_bound", "left")
+    joined = reactions.withColumn("_bound", named).withColumn("_local", _value(F.try_element_at(upper, F.lit(-1))["_value"])).join(parameters, "_bound", "left")
     bound = F.coalesce("_named", "_local", F.lit(float(DEFAULT_BOUND)))
     return joined.select("exchange_reaction", F.lit(default_level).alias("level"), capped_bound(bound).alias("max_value"))

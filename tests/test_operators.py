@@ -73,7 +73,7 @@ def test_ddof(spark):
 def test_chemistry(spark):
     vectors = {
         "[Na+]": ({"Na": 1}, 1), "[Cl-]": ({"Cl": 1}, -1), "[NH4+]": ({"N": 1, "H": 4}, 1), "[Ca++]": ({"Ca": 1}, 2),
-        "[Fe(CN)6]4-": ({"Fe": 1, "C": 1, "N": 6}, -4), "OP(=O)([O-])[O-]": ({"O": 4, "P": 1}, -2),
+        "[Fe(CN)6]4-": ({"Fe": 1, "C": 1, "N": 6}, -4), "[Ca+2]": ({"Ca": 1}, 2), "CC(=O)[O-]": ({"C": 2, "O": 2}, -1), "[13CH4]": ({"C": 1, "H": 4}, 0), "OP(=O)([O-])[O-]": ({"O": 4, "P": 1}, -2),
     }
     df = frame(spark, "s string", *[(k,) for k in vectors])
     for r in df.select("s", chemistry.composition("s").alias("c"), chemistry.charge("s").alias("q")).collect():
@@ -171,6 +171,41 @@ def test_matrices(spark):
     assert [tuple(r) for r in matrices.supplement_matrix(growth, table, ["EX_w"]).collect()] == [(1, 1, 1, 0.5), (0, 0, 1, 0.25)]
 
 
+def test_matrices_over_shuffled_rows(spark):
+    mapped = frame(
+        spark, MAPPED, ("a", "", "EX_a", 2.0, 0.0, "supplement"), ("bee", "b", "EX_b", 3.0, 0.0, "supplement"), ("salt", "", "EX_m", 6.0, 0.0, "medium"),
+    )
+    given = F.expr("case id % 4 when 0 then 'A; b' when 1 then 'b' when 2 then 'zzz' end")
+    growth = spark.range(200_000).select(given.alias("supplements"), (F.col("id") % 5).cast("double").alias("max_time"), F.lit(True).alias("success"), F.col("id").alias("mu_max")).repartition(7)
+    flux = matrices.flux_matrix(growth, mapped)
+    wrong = "EX_a <> if(mu_max % 5 > 0 and mu_max % 4 = 0, 2.0 / (mu_max % 5), 0) or EX_b <> if(mu_max % 5 > 0 and mu_max % 4 < 2, 3.0 / (mu_max % 5), 0) or EX_m <> if(mu_max % 5 > 0, 6.0 / (mu_max % 5), 0)"
+    assert flux.count() == 200_000 and flux.where(wrong).count() == 0
+    present = matrices.presence_matrix(growth, mapped)
+    assert present.where("EX_a <> cast(mu_max % 4 = 0 as int) or EX_b <> cast(mu_max % 4 < 2 as int) or EX_m <> 1").count() == 0
+    straight = spark.read.schema(GROWTH).csv(spark.conf.get("spark.checkpoint.dir"))
+    for made in (matrices.flux_matrix(straight, mapped), matrices.presence_matrix(straight, mapped), matrices.flux_long(straight, mapped)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert matrices.flux_long(growth.limit(40), mapped).count() == 120
+    with pytest.raises(ValueError, match="more than"):
+        matrices.reference_rows(spark.range(11), "a table", 10)
+
+
+def test_conflicts(spark):
+    rows = frame(spark, "exchange_reaction string, source string, record_origin string", *[("a", "fixed", "updated")] * 2, ("b", "fixed", "updated"), ("b", "medium", "updated"), ("c", "medium", "smbl"), ("c", "medium", "updated"))
+    assert [tuple(r) for r in mapping.mapping_conflicts(rows).collect()] == [("a", 2, 2, 1)]
+
+
+def test_names_and_ranks(spark):
+    df = frame(spark, "g int, name string", *[(i % 2, f"n{i:03d}") for i in range(300)], (0, None), (1, "n001"))
+    got = {r.g: r.names.split(";") for r in plates.first_names(df, "name", ["g"], 3).collect()}
+    assert got == {0: ["n000", "n002", "n004"], 1: ["n001", "n003", "n005"]}
+    assert len(plates.first_names(df, "name").first().names.split(";")) == 96
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        joins.ranked(df, ["name"], most=10)
+    assert joins.smart_join(df, df, ["name"], differing=["g"]).columns == ["name", "g", "g_right"]
+
+
 def test_sinks(spark, tmp_path):
     df = frame(spark, "a int, b string", (1, "x"), (2, None))
     path = sinks.write_output(df, str(tmp_path / "out.csv"))[0]
@@ -179,6 +214,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(TypeError):
         sinks.write_output({"a": 1}, path)
     sinks.write_output((df, {"s": {2, 1}}), [str(tmp_path / "1.csv"), str(tmp_path / "2.json")])
+    assert sinks.write_output(df, f"{tmp_path}/t.parquet/") and spark.read.parquet(str(tmp_path / "t.parquet")).count() == 2
     assert '"s": [' in (tmp_path / "2.json").read_text()
     for e, rows in (("e1", "strain,mu\nSLAB1,0.5\nWT1,1\n"), ("e2", "strain,mu\nSLAB7,0.25\n12,3\n")):
         os.makedirs(tmp_path / "all" / e)
@@ -193,3 +229,16 @@ def test_plots(spark):
     df = spark.range(10).select(F.lit("A/1").alias("well"), F.col("id").cast("double").alias("t"), (F.col("id") * 2.0).alias("v"), (F.col("id") * 2.1).alias("f"))
     row = sinks.svg_plots(df, ["well"], "t", "v", "f").first()
     assert row.file_name == "A-1.svg" and row.svg.count("<circle") == 10 and "polyline" in row.svg
+
+
+def test_saved_plots(spark, tmp_path):
+    from auxograph.plans.registry import OPERATORS
+
+    df = spark.range(8).select(F.explode(F.array(F.lit("A1"), F.lit("B1"))).alias("well"), F.col("id").cast("double").alias("t"), F.lit(0.5).alias("v"), F.lit(0.1).alias("sd"))
+    params = frame(spark, "well string, y0 double, A double, mu_max double, lambda double", ("A1", 0.0, 1.0, 0.5, 1.0))
+    arguments = dict(df=df, params_df=params, time_col="t", value_col="v", group_cols=["well"], save_plot_data=True, output_dir=str(tmp_path), standard_deviation_column="sd")
+    done = OPERATORS["predict_modified_gompertz_per_series"].call(spark, arguments)
+    assert done.where("od600_fit is null").count() == 8
+    assert os.listdir(tmp_path / "plots") == ["A1.svg"] or set(os.listdir(tmp_path / "plots")) == {"A1.svg", ".A1.svg.crc"}
+    text = (tmp_path / "plots" / "A1.svg").read_text()
+    assert text.count("<circle") == text.count("<line") == 8

@@ -126,3 +126,44 @@ def test_order_does_not_matter(spark, readings):
 
     df = spark.createDataFrame(readings)
     assert fitted(df) == fitted(df.repartition(7)) == fitted(df.orderBy(F.rand(3)))
+
+
+def test_many_curves_at_once(spark):
+    """Curves of unlike lengths and parameters, on exact points, are found to 1e-6; odd series do not disturb them."""
+    planted = {f"w{i}": (0.1 * (i % 3), 1.5 + 0.3 * (i % 5), 0.25 + 0.1 * (i % 4), 1.0 + i % 6) for i in range(60)}
+    rows = [(w, t / 4, float(curve(np.array([t / 4]), p, 50)[0])) for w, p in planted.items() for t in range(50 + 7 * int(w[1:]) % 90 + 30)]
+    rows += [("short", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 2.0, None)] + [("same time", 1.0, float(i)) for i in range(9)] + [("gaps", float(i), float("nan") if i % 2 else float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "well string, t double, y double")
+    got = {r.well: r for r in gompertz.fit_gompertz(df, "t", "y", log_transformed=False).collect()}
+    assert len(got) == 64
+    for w, p in planted.items():
+        assert got[w].success and [got[w][k] for k in gompertz.PARAMETERS] == pytest.approx(p, rel=1e-6, abs=1e-6)
+    assert not got["short"].success and not got["flat"].success and got["same time"].n == 9 and got["gaps"].n == 10 and got["gaps"].success
+    assert gompertz.fit_gompertz(df.where("false"), "t", "y", log_transformed=False).count() == 0
+    all_fixed = gompertz.fit_gompertz(df.where("well = 'w1'"), "t", "y", fixed=dict(zip(gompertz.PARAMETERS, planted["w1"])), log_transformed=False).first()
+    assert all_fixed.rmse == pytest.approx(0, abs=1e-12)
+
+
+def test_fit_is_a_minimum(spark, readings):
+    """No parameter, moved a little within its bounds, makes the fit better."""
+    log = series.log_ratio(spark.createDataFrame(readings), "od", window=4).where("well in ('A1', 'B1')")
+    for r in gompertz.fit_gompertz(log).collect():
+        rows = log.where(log.well == r.well).orderBy("time_h").toPandas().dropna(subset=["log_od_od0"])
+        t, y, p = rows.time_h.to_numpy(), rows.log_od_od0.to_numpy(), np.array([r[k] for k in gompertz.PARAMETERS])
+        cost = ((y - curve(t, p, 50)) ** 2).sum()
+        for i in range(4):
+            for step in (-1e-3, 1e-3):
+                moved = p.copy()
+                moved[i] = max(0.0, moved[i] + step)
+                assert ((y - curve(t, moved, 50)) ** 2).sum() >= cost - 1e-9
+
+
+def test_quality_and_guesses(spark, readings):
+    log = series.log_ratio(spark.createDataFrame(readings), "od", window=4)
+    fits = gompertz.fit_gompertz(log, fixed={"y0": 0.0})
+    quality = {r.well: r for r in gompertz.fit_quality(gompertz.predict_gompertz(log, fits), parameters=3).collect()}
+    for r in fits.where("success").collect():
+        assert (quality[r.well].r2, quality[r.well].rmse) == pytest.approx((r.r2, r.rmse), rel=1e-9)
+    a1 = gompertz.initial_guesses(log).where("well = 'A1'").first()
+    y = log.where("well = 'A1' and log_od_od0 is not null").toPandas().log_od_od0
+    assert a1.usable and a1.y0_start == pytest.approx(max(0, np.percentile(y, 5))) and a1.A_start == pytest.approx(np.percentile(y, 95) - np.percentile(y, 5))

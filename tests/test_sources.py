@@ -144,3 +144,21 @@ def test_literal_tables(spark):
     assert exchanges.supplement_exchanges(spark).count() == 25 and exchanges.minimal_medium(spark).count() == 23
     custom = exchanges.load_custom_mapping()
     assert len(custom) == 69 and custom["na2hpo4"]["compounds"].count("sodium") == 2
+
+
+def test_infinite_bounds_and_long_plates(spark, tmp_path):
+    model = '<sbml><model><parameter id="u" value="INF"/>\n<reaction id="R_EX_a_e" upperFluxBound="u"/>\n<reaction id="R_EX_b_e" upperFluxBound="v"/></model></sbml>'
+    (tmp_path / "m.xml").write_text(model)
+    assert {tuple(r) for r in sbml.read_bounds(spark, str(tmp_path / "m.xml")).collect()} == {("EX_a_e", 1, 1000), ("EX_b_e", 1, 1000)}
+    n = 100_500
+    head = "Well Row,Well Col,Content" + ",Raw Data" * n + "\n,,Time," + ",".join(f"{i} min" for i in range(n))
+    (tmp_path / "p.csv").write_text(head + "\nA,1,X," + ",".join(map(str, range(n))) + "\n")
+    (tmp_path / "q.csv").write_text("Well Row,Well Col,Content,Raw Data")
+    plate = read_plate(spark, [str(tmp_path / "p.csv"), str(tmp_path / "q.csv")])
+    assert plate.count() == n and plate.where("od <> time_min").count() == 0
+    assert "Exchange" not in plate._jdf.queryExecution().executedPlan().toString()
+
+
+def test_static_table(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("name,iupac,exchange\nwater,oxidane,EX_h2o_e\nair,,EX_o2_e\n")
+    assert [tuple(r) for r in exchanges.read_name_exchanges(spark, str(tmp_path / "n.csv")).collect()] == [("water", "oxidane", "EX_h2o_e"), ("air", None, "EX_o2_e")]
