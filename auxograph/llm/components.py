@@ -1,52 +1,65 @@
 """Connected components of a graph given as a table of edges.
 
-First every task replaces the edges it reads by a spanning forest of them, which loses no connection.
-What is left of a graph with up to ``ONE_TASK`` edges (16 bytes each) is finished by a union-find in
-one task, in one pass. A larger graph goes through alternating stars: every round links each
-node's larger neighbours to its smallest one (large star), then its smaller neighbours and itself to
-the smallest of them (small star), until each component is a star around its smallest node. There a
+First every task replaces the edges it reads, in runs of bounded size, by spanning forests of them,
+which loses no connection. What is left goes through alternating stars: every round links each node's
+larger neighbours to its smallest one (large star), then its smaller neighbours and itself to the
+smallest of them (small star), until each component is a star around its smallest node. There a
 node's neighbours are never gathered: a minimum is aggregated and joined back, so a node with very
 many neighbours is pre-aggregated, and the join's large side can be split. Each round is written to
-the shared folder, which cuts lineage. Both ways give the same result.
+the shared folder, which cuts lineage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auxograph.llm.shared import Scratch
 
+#: Edges that a task joins at once: some 100 MB of memory.
+TOGETHER = 1_000_000
 
-#: Edges of forests that one task may finish: some 300 MB of memory.
-ONE_TASK = 1_000_000
 
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v): each node that isn't the smallest of its component, with the smallest."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
-        while (up := parent.get(x, x)) != top:
-            parent[x] = top
-            x = up
-        return top
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that isn't the smallest of its component, with the smallest."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        # every root takes the smallest root across its edges, then paths are halved until they are flat
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+    inner = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[inner], nodes[parent[inner]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+    size = 0
+
+    def done() -> pa.RecordBatch:
+        nodes, roots = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["u", "v"])
 
     for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            a, b = root(u), root(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 100_000):
-        some = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_pydict({"u": pa.array(some, pa.int64()), "v": pa.array([root(x) for x in some], pa.int64())})
+        us.append(batch.column("u").to_numpy())
+        vs.append(batch.column("v").to_numpy())
+        size += batch.num_rows
+        if size >= TOGETHER:
+            yield done()
+            us, vs, size = [], [], 0
+    if size:
+        yield done()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -62,22 +75,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node that has an edge and is not itself the smallest of its component.
 
     ``edges``: columns u, v of type long, without nulls; loops and repeated edges do no harm.
     """
-    stars = scratch.keep(edges.select("u", "v").mapInArrow(_forest, "u long, v long"), f"{name}-0")
-    if stars.count() <= one_task:
-        done = scratch.keep(stars.coalesce(1).mapInArrow(_forest, "u long, v long"), f"{name}-1")
-        scratch.drop(f"{name}-0")
-        return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    state, n = None, 0
+    stars, n = scratch.keep(edges.select("u", "v").mapInArrow(_forests, "u long, v long"), f"{name}-0"), 0
     while True:
+        # they are done when no end of an edge has two middles or is a middle itself
+        middles = stars.select(F.col("v").alias("u")).distinct().withColumn("is_middle", F.lit(True))
+        ends = stars.groupBy("u").agg(F.count("*").alias("n")).join(middles, "u", "left")
+        if not ends.where("n > 1 or is_middle").head(1):
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         n += 1
         stars = scratch.keep(_small_star(_large_star(stars)), f"{name}-{n}")
-        found = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{n - 1}")
-        if tuple(found) == state or not found[0]:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(found)

@@ -22,9 +22,17 @@ inside a known component needs no look, so the search goes by rounds:
 
 The third round is exhaustive, so no link between components is lost. A large group of near copies has
 its stragglers, each of which may meet thousands of others in buckets and be similar to none of them;
-so this round makes no table of pairs. Documents that are connected by buckets form a group, a group is
-cut into blocks of bounded size, and a task takes two blocks (or one) with their full sets and counts
-common shingles by an inverted index of the two, between components only. It returns links.
+so this round makes no table of pairs either. It goes by blocks: a node's home is its largest open
+bucket, a home is cut into blocks of at most ``BLOCK_ROWS`` rows and ``BLOCK_SHINGLES`` shingles, and
+
+* the Hamming join tells which blocks meet: the rows of an open bucket are compared by signature, the
+  ones outside its most frequent component with all, in cells of at most ``CELL_ROWS`` rows a side. What
+  leaves a cell are pairs of blocks that hold a pair within the radius and between components;
+* for such a pair of blocks the shingle sets, 8 bytes a shingle, are compared by an inverted index of the
+  two, between components only. That returns links.
+
+Buckets, cells and blocks are all bounded, whatever the size of a group; the work grows with the number
+of pairs between a group's stragglers and its members, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -32,14 +40,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auxograph.llm.components import components
-from auxograph.llm.shared import Scratch, importable
+from auxograph.llm.shared import Scratch, importable, spread
 from auxograph.llm.words import Words, chunks, mixed, windows
 
 SHINGLE = 5
@@ -47,8 +54,15 @@ POSITIONS = 64
 CHUNKS = 16
 WIDTH = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
-#: Shingles of one block of the exhaustive round.
-BLOCK_SHINGLES = 1_000_000
+#: Rows and shingles of one block of the exhaustive round.
+BLOCK_ROWS = 1_000
+BLOCK_SHINGLES = 250_000
+#: Rows of an open bucket that are compared with as many others at once.
+CELL_ROWS = 2_000
+#: Rows of a bucket in which neighbours are looked for together.
+BUCKET_ROWS = 100_000
+#: Nodes (24 bytes each) up to which the wanted ones are sent to where the texts are, and not the texts to them.
+SENT_NODES = 500_000
 
 _random = np.random.default_rng(7)
 _FACTORS = _random.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,25 +170,84 @@ def _similar(least_percent: int):
     return rows
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles): the shingle set of each text, 8 bytes a shingle."""
+    for batch in batches:
+        for a, b, data, offsets in chunks(batch.column("text")):
+            shingles, n = shingle_sets(data, offsets)
+            edges = np.concatenate([[0], np.cumsum(n)])
+            raw = shingles.tobytes()
+            sets = pa.array([raw[8 * x : 8 * y] for x, y in zip(edges[:-1], edges[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets], names=["node", "shingles"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A stream sorted by ``keys`` in whole cells: a table of some of them, and where each begins and the last ends."""
+    left: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([left, rows]) if left is not None else rows
+        edges = _edges(rows, keys)
+        if len(edges) > 1:
+            yield rows.slice(0, int(edges[-1])).combine_chunks(), edges
+        left = rows.slice(int(edges[-1]))
+    if left is not None and left.num_rows:
+        yield left.combine_chunks(), np.append(_edges(left, keys), left.num_rows)
+
+
+def _edges(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where cells begin."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        values = rows.column(k).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j): pairs of blocks with rows within the radius and of two roots, from cells (key, p, q) of buckets."""
+    for rows, edges in _cells(batches, ["key", "p", "q"]):
+        signature = rows.column("signature").combine_chunks().flatten().to_numpy().astype(np.uint16).reshape(-1, POSITIONS)
+        root, block, left = (rows.column(c).to_numpy() for c in ("root", "block", "straggler"))
+        found: set[tuple[int, int]] = set()
+        # cells of a few rows, all of them at once: each row with the d-th after it
+        size = np.diff(edges)
+        cell = np.repeat(np.arange(len(size)), size)
+        few = size <= 16
+        for d in range(1, int(size[few].max(initial=1))):
+            a = np.flatnonzero(few[cell[:-d]] & (cell[:-d] == cell[d:]) & (root[:-d] != root[d:]))
+            near = (signature[a] == signature[a + d]).sum(1) >= POSITIONS - RADIUS
+            found.update(zip(block[a[near]].tolist(), block[a[near] + d].tolist()))
+        for c in np.flatnonzero(~few):
+            at = slice(int(edges[c]), int(edges[c + 1]))
+            own, r, b = signature[at], root[at], block[at]
+            for x in np.flatnonzero(left[at]):
+                known = [j for i, j in found if i == b[x]] if len(found) < 10_000 else []
+                others = np.flatnonzero((r != r[x]) & ~np.isin(b, known))
+                near = (own[others] == own[x]).sum(1) >= POSITIONS - RADIUS
+                found.update((int(b[x]), int(j)) for j in np.unique(b[others[near]]))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        low, high = pairs.min(1), pairs.max(1)
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["i", "j"])
+
+
 def _links_between(least_percent: int):
-    """Links (a, b) between different roots, for rows (i, j, block, node, root, text) of one or two blocks."""
+    """Links (a, b) between roots, from cells (i, j) of two blocks or one, with the sets of their rows."""
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets: list[np.ndarray] = []
-        for _, _, data, offsets in chunks(pa.array(pdf["text"], pa.large_string())):
-            shingles, n = shingle_sets(data, offsets)
-            sets += np.split(shingles, np.cumsum(n)[:-1])
+    def links(node: np.ndarray, root: np.ndarray, block: np.ndarray, sets: list[np.ndarray], two: bool) -> list[tuple[int, int]]:
+        values, counts = np.unique(root, return_counts=True)
+        if len(values) == 1:
+            return []
         size = np.array([len(x) for x in sets])
-        root, node, block = (pdf[c].to_numpy() for c in ("root", "node", "block"))
         begin = np.cumsum(size) - size
-        flat = np.concatenate(sets)
-        _, term, spread = np.unique(flat, return_inverse=True, return_counts=True)
+        _, term, spread = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         posting = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
         at = np.cumsum(spread) - spread
-        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        # pairs inside the most frequent component need no look, and every other pair has an end outside of it
-        values, counts = np.unique(root, return_counts=True)
         found = []
+        # pairs inside the most frequent component need no look, and every other pair has an end outside of it
         for x in np.flatnonzero(root != values[counts.argmax()]):
             own = term[begin[x] : begin[x] + size[x]]
             own = own[spread[own] > 1]
@@ -188,8 +261,18 @@ def _links_between(least_percent: int):
                 good &= block != block[x]
             hits = np.flatnonzero(good)
             _, first = np.unique(root[hits], return_index=True)
-            found += [(node[x], node[y]) for y in hits[first]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found += [(int(node[x]), int(node[y])) for y in hits[first]]
+        return found
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _cells(batches, ["i", "j"]):
+            i, j, node, root, block = (table.column(c).to_numpy() for c in ("i", "j", "node", "root", "block"))
+            shingles = table.column("shingles").combine_chunks()
+            found = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingles.slice(int(a), int(b - a))]
+                found += links(node[a:b], root[a:b], block[a:b], sets, i[a] != j[a])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return rows
 
@@ -230,13 +313,14 @@ class _Search:
         pairs = self.scratch.keep(pairs.select("a", "b"), f"pairs-{self.n}")
         if not pairs.head(1):
             return
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = self.scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"wanted-{self.n}")
         texts = self.scratch.keep(self.texts(wanted), f"texts-{self.n}")
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        good = pairs.join(left, "a").join(right, "b").mapInArrow(_similar(self.least_percent), "a long, b long")
+        # texts of b first: a is the smallest of a bucket, whose text would be copied for each of its pairs
+        good = pairs.join(right, "b").join(left, "a").mapInArrow(_similar(self.least_percent), "a long, b long")
         links = self.scratch.keep(good, f"links-{self.n}")
-        self.scratch.drop(f"texts-{self.n}")
+        self.scratch.drop(f"texts-{self.n}", f"wanted-{self.n}")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         self.join(links)
 
@@ -244,8 +328,10 @@ class _Search:
         return pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in ``wanted``."""
+        """(node, text) of the nodes in ``wanted``, a table that has been written."""
         named = wanted.join(self.nodes.select("node", "rep_id", "text_hash"), "node").withColumnRenamed("text_hash", "named_hash")
+        if wanted.limit(SENT_NODES + 1).count() <= SENT_NODES:
+            named = F.broadcast(named)
         same = self.docs["doc_id"].eqNullSafe(F.col("rep_id")) & (self.docs["text_hash"] == F.col("named_hash"))
         return self.docs.join(named, same).dropDuplicates(["node"]).select("node", "text")
 
@@ -266,24 +352,46 @@ class _Search:
             rows = rows.join(self.roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         else:
             rows = rows.withColumn("root", F.col("node"))
-        several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("u"))
-        several = several.where("low <> high").select("key", "u")
-        rows = self.scratch.keep(rows.join(several, "key").select("u", "node", "root").distinct(), "open")
+        by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+        several = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+        several = several.where("roots > 1").select("key", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("others"))
+        rows = self.scratch.keep(rows.join(several, "key"), "open")
         if not rows.head(1):
             return
-        groups = components(rows.select("u", F.col("node").alias("v")), self.scratch, "groups")
-        members = rows.select("node", "root").distinct().join(groups.withColumnRenamed("root", "group"), "node", "left")
-        members = members.join(self.nodes.select("node", "n_shingles"), "node").withColumn("group", F.coalesce("group", "node"))
-        sizes = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        members = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        members = self.scratch.keep(members.select("group", "blocks", "block", "node", "root"), "members")
-        cells = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
-        )
-        placed = members.join(self.texts(members.select("node")), "node").withColumn("cell", F.explode(cells))
-        placed = placed.select("group", "cell.i", "cell.j", "block", "node", "root", "text")
-        links = placed.groupBy("group", "i", "j").applyInPandas(_links_between(self.least_percent), "a long, b long")
-        self.join(self.scratch.keep(links, f"links-{self.n}"))
+        nodes = rows.groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home"), F.first("root").alias("root"))
+        nodes = nodes.join(self.nodes.select("node", "n_shingles", "signature"), "node")
+        parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+        homes = nodes.groupBy("home").agg(parts.cast("int").alias("parts"))
+        own = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")))
+        members = self.scratch.keep(nodes.join(homes, "home").select("node", "root", own.alias("block"), "signature"), "members")
+
+        # a bucket's rows outside of its main component, by p, meet all of its rows, by q
+        part = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
+        of = lambda count: F.pmod(F.xxhash64("node", F.lit("cell")), F.col(count)).cast("int")
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        cell = lambda p, q, straggler: F.struct(p.alias("p"), q.alias("q"), straggler.alias("straggler"))
+        straggler = F.col("root") != F.col("main")
+        right = F.transform(upto("ps"), lambda p: cell(p, of("qs"), F.lit(False)))
+        left = F.when(straggler, F.transform(upto("qs"), lambda q: cell(of("ps"), q, F.lit(True))))
+        cells = F.when(F.col("ps") * F.col("qs") == 1, F.array(cell(F.lit(0), F.lit(0), straggler)))
+        cells = cells.when(straggler, F.concat(left, right)).otherwise(right)
+        placed = rows.select("key", "node", "main", part("others").alias("ps"), part("n").alias("qs")).join(members, "node")
+        placed = placed.select("key", F.inline(cells), "root", "block", "signature")
+        tasks = spread(self.scratch.spark)
+        sorted_cells = placed.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+        meeting = self.scratch.keep(sorted_cells.mapInArrow(_near_blocks, "i long, j long").distinct(), "meeting")
+        if not meeting.head(1):
+            return
+        blocks = meeting.select(F.explode(F.array("i", "j")).alias("block")).distinct()
+        wanted = self.scratch.keep(members.join(blocks, "block", "left_semi").select("node"), "wanted")
+        sets = self.texts(wanted).mapInArrow(_sets, "node long, shingles binary")
+        sets = self.scratch.keep(sets.join(members.drop("signature"), "node"), "sets")
+        ends = meeting.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        placed = ends.join(sets, "block").repartition(tasks, "i", "j").sortWithinPartitions("i", "j")
+        links = placed.select("i", "j", "block", "node", "root", "shingles").mapInArrow(_links_between(self.least_percent), "a long, b long")
+        links = self.scratch.keep(links, f"links-{self.n}")
+        self.scratch.drop("open", "members", "meeting", "wanted", "sets")
+        self.join(links)
 
 
 def near_duplicates(
@@ -318,25 +426,22 @@ def near_duplicates(
     nodes = classes.join(profiles.select("row", "doc_id", "text_hash", "signature"), "row")
     nodes = scratch.keep(nodes.select(F.col("row").alias("node"), F.col("doc_id").alias("rep_id"), "text_hash", "signature", *CLASS), "nodes")
 
-    in_bucket = Window.partitionBy("key").orderBy("node")
+    # a bucket of many rows is cut for its neighbours, so no task holds a bucket; its smallest row joins the parts
     keyed = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long")
-    keyed = keyed.select(
-        "key",
-        "node",
-        F.first("node").over(in_bucket).alias("head"),
-        F.lag("node").over(in_bucket).alias("previous"),
-        F.lead("node").over(in_bucket).alias("following"),
-    )
-    shared = keyed.where("previous is not null or following is not null").select("key", "node", "head", "previous")
-    buckets = scratch.keep(shared, "buckets")
+    sizes = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / BUCKET_ROWS)
+    shared = keyed.join(sizes, "key").select("key", "node", "head", F.pmod(F.xxhash64("node"), parts).alias("part"))
+    in_part = Window.partitionBy("key", "part").orderBy("node")
+    buckets = scratch.keep(shared.select("key", "node", "head", F.lag("node").over(in_part).alias("previous")), "buckets")
 
     search = _Search(read, nodes, scratch, least_percent)
-    stars = buckets.where("previous is not null").select(F.explode(F.array("head", "previous")).alias("a"), F.col("node").alias("b"))
+    stars = buckets.select(F.explode(F.array_compact(F.array("head", "previous"))).alias("a"), F.col("node").alias("b")).where("a <> b")
     near = scratch.keep(search.with_distance(stars.distinct()), "near")
     best = near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
     search.confirm(best)
     search.confirm(search.unseen(search.apart(near)))
     search.exhaust(buckets)
+    scratch.drop("buckets", "near")
 
     roots = nodes.select("node", "rep_id", *CLASS)
     if search.roots is not None:
@@ -368,14 +473,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near_duplicates(docs, id_col, text_col, **options)
     # a null identifier and the least long share a key; with equal texts they are one component anyway
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    stay = found.groupBy(key("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum(F.col("kept").cast("long")).alias("_stay"))
-    numbered = (
-        docs.withColumn("_id", key(id_col))
-        .withColumn("_hash", F.xxhash64(text_col))
-        .join(stay.where("_stay > 0"), ["_id", "_hash"])
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id")))
+    stay = found.groupBy(key("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.sum(F.col("kept").cast("long")).alias("_stay"), F.count("*").alias("_rows")
     )
-    return numbered.where("_n <= _stay").select(*docs.columns)
+    marked = docs.withColumn("_id", key(id_col)).withColumn("_hash", F.xxhash64(text_col)).join(stay.where("_stay > 0"), ["_id", "_hash"])
+    # of rows that agree in both, all stay (texts without words) or one does: a first row is taken of a
+    # key that is the row's own in the first case, and every task leaves out all but its first rows
+    alone = F.when(F.col("_stay") == F.col("_rows"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    first = F.row_number().over(Window.partitionBy("_id", "_hash", "_alone").orderBy("_id"))
+    return marked.withColumn("_alone", alone).withColumn("_n", first).where("_n = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 from auxograph.llm import near_dedup
-from auxograph.llm.components import components
+from auxograph.llm.components import components, forest
 from auxograph.llm.near_dedup import deduplicated, near_duplicates
 from auxograph.llm.shared import Scratch
 
@@ -64,10 +64,29 @@ def test_like_brute_force(documents, seed, edits):
 
 
 def test_blocks_of_the_exhaustive_round(documents, monkeypatch):
-    """With tiny blocks a group is compared block by block, with the same result."""
+    """With tiny blocks, cells and buckets a group is compared part by part, with the same result."""
     rows = variants(3, 90, 14)
+    want = brute(rows)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
-    assert found(near_duplicates(documents(rows))) == brute(rows)
+    assert found(near_duplicates(documents(rows))) == want
+    for name, size in (("BLOCK_ROWS", 3), ("CELL_ROWS", 4), ("BUCKET_ROWS", 2), ("SENT_NODES", 0)):
+        monkeypatch.setattr(near_dedup, name, size)
+    assert found(near_duplicates(documents(rows))) == want
+
+
+def test_large_group_of_near_copies(documents):
+    """2,000 near copies of one text, many of them with more changes than a link allows: no link is lost."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(r.randrange(7)):
+            words[r.randrange(60)] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    got, want = found(near_duplicates(documents(rows))), brute(rows)
+    # two texts at the limit may lie outside of the radius with a chance of 2e-5, but here all have many links
+    assert got == want and len({c for _, c in want.values()}) > 20
 
 
 def test_chain_is_one_component(documents):
@@ -110,11 +129,14 @@ def test_components(spark):
     for a, b in pairs:
         x, y = sorted((root(a), root(b)))
         label[y] = x
-    for one_task in (10**6, -1):
-        graph = spark.createDataFrame(pairs, "u long, v long").repartition(3)
-        got = components(graph, Scratch(spark, "test"), "c", one_task).collect()
-        assert {(g.node, g.root) for g in got} == {(i, root(i)) for i in range(1100) if root(i) != i}
-        assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), "c", one_task).count() == 0
+    want = {(i, root(i)) for i in range(1100) if root(i) != i}
+    for tasks in (1, 3, 40):
+        graph = spark.createDataFrame(pairs, "u long, v long").repartition(tasks)
+        got = components(graph, Scratch(spark, "test"), "c").collect()
+        assert len(got) == len(want) and {(g.node, g.root) for g in got} == want
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), "c").count() == 0
+    u, v = forest(*(np.array(x) for x in zip(*pairs)))
+    assert set(zip(u.tolist(), v.tolist())) == want
 
 
 def test_radius_is_guaranteed():
