@@ -5,8 +5,8 @@ begins (13 = 2 * 7 - 1). So if a window occurs in two documents, one of the alig
 document occurs in the other one, at any position.
 
 1. Anchors. Each document's non-overlapping blocks are the index, and every rolling run of 7 words is
-   a probe. Both go to buckets by hash, packed many to a row. A bucket is read as a stream, blocks
-   first: of each block it keeps the smallest and the largest document that has it, so its memory
+   a probe. Both go to buckets by hash, packed many to a row; a task gathers texts until its packs are
+   of some thousand runs each. A bucket is read as a stream, blocks first: of each block it keeps the smallest and the largest document that has it, so its memory
    is bounded by its distinct blocks, however many documents share one. A run that is a block of
    another document is a mark of its document, and so is the block that was hit.
 2. Extension. Around its marks each document is extended to all windows that hold a marked run: the
@@ -15,13 +15,13 @@ document occurs in the other one, at any position.
    has it, and any later one has a repeat.
 3. Repeats that overlap or touch run together to maximal repeats, whose words are removed.
 
-Marks and repeats meet the texts in streams sorted by document, so no task holds more than a batch.
+Marks and repeats meet the texts in streams sorted by document, so no task holds more than a batch. The
+rows of an identifier that many rows share (or of null) are cut into parts, each of which meets all of
+its marks.
 """
 
 from __future__ import annotations
 
-import gc
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +36,17 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 #: Runs of words that one bucket is meant to hold.
 BUCKET_RUNS = 4_000_000
-#: Bytes of text that are packed together.
-PACK_BYTES = 2 << 20
+#: Bytes of text that are worked on together.
+PACK_BYTES = 1 << 20
 #: Entries of a bucket that are worked on together.
 TOGETHER = 500_000
-#: Stands for a null identifier: after all others.
-NULL_ID = 2**63 - 1
+#: Runs that a pack is meant to hold, and runs that a task gathers for its packs at most (some 100 MB).
+PACK_RUNS = 2_000
+MOST_RUNS = 2_000_000
+#: Stands for a null identifier: after all others, which are moved down by one if one of them is as large.
+NULL_KEY = 2**63 - 1
+#: Bytes of text that one part of an identifier's rows holds.
+PART_BYTES = 128 << 20
 
 PACKED = "bucket int, kind int, first_doc long, hashes binary, docs binary"
 _packed = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("first_doc", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
@@ -68,18 +73,38 @@ def _packs(bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray, kind: int)
     order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     bucket, hashes, docs = bucket[order], hashes[order], docs[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(edges[1:], len(bucket))
-    rows = [
-        {
-            "bucket": int(bucket[a]),
-            "kind": kind,
-            "first_doc": int(docs[a]),
-            "hashes": hashes[a:b].tobytes(),
-            "docs": _squeezed(docs[a:b]),
-        }
-        for a, b in zip(edges, ends)
-    ]
-    return pa.RecordBatch.from_pylist(rows, schema=_packed)
+    ends = np.append(edges[1:], len(bucket)) if len(bucket) else edges
+    at = (np.append(edges, len(bucket)) * hashes.itemsize).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[edges], pa.int32()),
+            pa.array(np.full(len(edges), kind, np.int32)),
+            pa.array(docs[edges]),
+            pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(at), pa.py_buffer(hashes)]),
+            pa.array([_squeezed(docs[a:b]) for a, b in zip(edges, ends)], pa.binary()),
+        ],
+        schema=_packed,
+    )
+
+
+class _Packer:
+    """Gathers entries until there are enough for good packs."""
+
+    def __init__(self, buckets: int, kind: int):
+        self.kind, self.enough = kind, min(MOST_RUNS, buckets * PACK_RUNS)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.waiting.append((bucket.astype(np.int32), hashes, docs))
+        self.n += len(docs)
+        if self.n >= self.enough:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield _packs(*(np.concatenate(x) for x in zip(*self.waiting)), self.kind)
+        self.waiting, self.n = [], 0
 
 
 def _run_key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +117,7 @@ def _run_key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packers = [_Packer(buckets, kind) for kind in (0, 1)]
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for a, b, data, offsets in chunks(batch.column("text"), PACK_BYTES):
@@ -101,9 +127,12 @@ def _anchors(buckets: int):
                 inside = _inside(of, len(runs), BLOCK)
                 owner = of[: len(runs)]
                 aligned = inside & ((np.arange(len(runs)) - words.of[owner]) % BLOCK == 0)
-                for kind, chosen in ((0, aligned), (1, inside)):
-                    bucket, low = _run_key(runs[chosen], buckets)
-                    yield _packs(bucket, low, ids[a:b][owner[chosen]], kind)
+                bucket, low = _run_key(runs, buckets)
+                docs = ids[a:b][owner]
+                for packer, chosen in zip(packers, (aligned, inside)):
+                    yield from packer.add(bucket[chosen], low[chosen], docs[chosen])
+        for packer in packers:
+            yield from packer.rest()
 
     return rows
 
@@ -216,6 +245,7 @@ def _candidates(buckets: int):
     """Windows that hold a marked run, packed by bucket; documents come in ascending order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets, 2)
         for texts, pairs in _with_texts(batches):
             if not len(pairs):
                 continue
@@ -237,8 +267,8 @@ def _candidates(buckets: int):
                 owner = ids[a:b][of[chosen]]
                 _, first = np.unique(_pair(owner, full.view(np.int64)), return_index=True)
                 first.sort()
-                if len(first):
-                    yield _packs((second[first] % np.uint64(buckets)).astype(np.int64), full[first], owner[first], 2)
+                yield from packer.add((second[first] % np.uint64(buckets)).astype(np.int64), full[first], owner[first])
+        yield from packer.rest()
 
     return rows
 
@@ -281,7 +311,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield worked()
 
 
-OUT = "doc long, text_hash long, n_words long, n_removed long, spans array<array<int>>, kept_text string"
+OUT = "doc_id long, text_hash long, n_words long, n_removed long, spans array<array<int>>, kept_text string"
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +320,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in OUT.split(", ")]
     for texts, pairs in _with_texts(batches):
         ids = texts.column("doc").to_numpy()
-        marks = texts.column("text_hash").to_pylist()
+        names_of, marks = (texts.column(c).to_pylist() for c in ("doc_id", "text_hash"))
         for a, b, data, offsets in chunks(texts.column("text"), PACK_BYTES):
             words = Words(data, offsets, "not_blank")
             of = words.text_of_word()
@@ -312,16 +342,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
                 cut = raw[offsets[i] : offsets[i + 1]].split()
                 kept = [w for w, gone in zip(cut, own.tolist()) if not gone] if len(edges) else cut
-                out.append((int(ids[a + i]), marks[a + i], hi - lo, int(own.sum()), edges.reshape(-1, 2).tolist(), b" ".join(kept).decode()))
+                out.append((names_of[a + i], marks[a + i], hi - lo, int(own.sum()), edges.reshape(-1, 2).tolist(), b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now, and not when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, n_removed, spans, kept_text.
 
@@ -332,41 +356,52 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * A null, empty or blank text has no words and an empty ``kept_text``; texts of fewer than 13
       words keep them all.
     * A null identifier is after all others. Rows that share an identifier are not smaller than
-      each other, so repeated rows keep what they share; each has a row in the result.
+      each other, so repeated rows keep what they share; each has a row in the result. (Only where the
+      least and the largest long and null are all identifiers, rows with the last two count as one.)
     * An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     importable(spark)
     scratch = Scratch(spark, "substring-dedup")
     tasks = spread(spark)
-    read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * tasks, size // 6 // BUCKET_RUNS)
-
-    packed = read.mapInArrow(_anchors(buckets), PACKED)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    sizes = scratch.keep(named.groupBy("doc_id").agg(size.alias("size")), "sizes")
+    known = sizes.agg(F.sum("size").alias("size"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    down = int(known["most"] == NULL_KEY and known["least"] != -NULL_KEY - 1)
+    doc = F.coalesce(F.col("doc_id") - F.lit(down), F.lit(NULL_KEY)).alias("doc")
+    read = named.select("doc_id", doc, "text")
+    buckets = max(4 * tasks, (known["size"] or 0) // 6 // BUCKET_RUNS)
+    # identifiers whose rows hold more text than one part: each has PART_BYTES of text, so there are few
+    parts = F.ceil(F.col("size") / PART_BYTES).cast("int")
+    large = F.broadcast(sizes.where(F.col("size") > PART_BYTES).select(doc, parts.alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+
+    packed = read.select("doc", "text").mapInArrow(_anchors(buckets), PACKED)
     streams = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind")
-    marks = scratch.keep(streams.mapInArrow(_marks, "doc long, key long"), "marks")
-    _release(spark)
-
-    empty = F.lit(None)
-    texts = read.select("doc", F.lit(1).alias("kind"), empty.cast("long").alias("key"), "text")
-    keyed = marks.distinct().select("doc", F.lit(0).alias("kind"), "key", empty.cast("string").alias("text"))
-    ordered = texts.unionByName(keyed).repartitionByRange(tasks, "doc").sortWithinPartitions("doc", "kind")
+    marks = scratch.keep(streams.mapInArrow(_marks, "doc long, key long").distinct(), "marks")
+
+    def met(texts: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows with a key (kind 0) and with a text (kind 1); every part of a document has all its keys."""
+        nothing = F.lit(None)
+        part = F.pmod(F.coalesce(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(0)), parts).cast("int")
+        texts = texts.join(large, "doc", "left").withColumn("part", F.when(parts > 1, part).otherwise(0)).drop("parts")
+        texts = texts.withColumn("kind", F.lit(1)).withColumn("key", nothing.cast("long"))
+        every = F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+        keys = keys.join(large, "doc", "left").withColumn("part", every).drop("parts").withColumn("kind", F.lit(0))
+        return texts.unionByName(keys, allowMissingColumns=True)
+
+    ordered = met(read.select("doc", "text"), marks).repartitionByRange(tasks, "doc", "part").sortWithinPartitions("doc", "part", "kind")
     candidates = scratch.keep(ordered.mapInArrow(_candidates(buckets), PACKED), "candidates")
     scratch.drop("marks")
-    _release(spark)
 
     streams = candidates.select("bucket", "first_doc", "hashes", "docs").repartition(tasks, "bucket").sortWithinPartitions("bucket", "first_doc")
     repeats = scratch.keep(streams.mapInArrow(_repeats, "doc long, key long"), "repeats")
     scratch.drop("candidates")
-    _release(spark)
 
-    hashed = read.select("doc", F.lit(1).alias("kind"), empty.cast("long").alias("key"), "text", F.xxhash64("text").alias("text_hash"))
-    keyed = repeats.select("doc", F.lit(0).alias("kind"), "key", empty.cast("string").alias("text"), empty.cast("long").alias("text_hash"))
-    ordered = hashed.unionByName(keyed).repartition(tasks, "doc").sortWithinPartitions("doc", "kind")
-    return ordered.mapInArrow(_removed, OUT).select(
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "text_hash", "n_words", "n_removed", "spans", "kept_text"
-    )
+    texts = read.select("doc", "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    ordered = met(texts, repeats).repartition(tasks, "doc", "part").sortWithinPartitions("doc", "part", "kind")
+    return ordered.mapInArrow(_removed, OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

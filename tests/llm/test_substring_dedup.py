@@ -67,6 +67,20 @@ def test_small_batches(documents, monkeypatch):
     assert found(repeated_substrings(documents(rows))) == brute(rows)
 
 
+def test_packs_and_parts(documents, monkeypatch):
+    """Small packs, and rows of one identifier in many parts, give the same result."""
+    monkeypatch.setattr(substring_dedup, "MOST_RUNS", 50)
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 200)
+    rows = passages(4, 60) + [(None if i % 2 else 40, t) for i, t in passages(5, 60)]
+    assert found(repeated_substrings(documents(rows))) == brute(rows)
+
+
+def test_largest_identifier_and_null(documents):
+    text = " ".join(f"w{i}" for i in range(30))
+    for rows in ([(None, text), (2**63 - 1, text)], [(2**63 - 1, text), (2**63 - 2, text), (None, text)], [(-(2**63), text), (5, text), (None, text)]):
+        assert found(repeated_substrings(documents(rows))) == brute(rows)
+
+
 def test_repetition_inside_a_document(documents):
     rows = [(1, "a b " * 40), (2, "a b " * 30 + "c"), (3, "z " * 13), (4, "y " * 5 + "z " * 12)]
     assert found(repeated_substrings(documents(rows))) == brute(rows)
