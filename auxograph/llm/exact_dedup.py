@@ -3,8 +3,8 @@
 Each document becomes one entry (digest of its normalised text, its normalised length, its rank).
 Entries start in ``fan ** rounds`` runs, chosen by a hash of their identifier. In round r the runs
 whose addresses differ only in digit r form one merge group, and each of them sends its entries to
-the member whose digit r equals digit r of the digest; the receiver merges what it gets from all
-``fan`` members. This is the binomial exchange with radix ``fan`` in place of 2. At every level a
+the member whose digit r equals digit r of the digest's hash; the receiver merges what it gets from
+all ``fan`` members. This is the binomial exchange, for which ``fan`` is 2. At every level a
 digest keeps one entry: the best one seen below it and the number of documents below it. After the
 last round the address is a function of the digest alone, so all equal texts have met.
 
@@ -13,10 +13,12 @@ in a merge group, so no join sees more than ``fan`` rows of a key, whatever the
 copies; only at the leaves do documents look their run's entry up, and a group with a third of all
 rows is spread over all runs there.
 
-The merge of one level is a ``groupBy`` of (address, digest) with ``min`` of a struct, which Spark
-runs as a sort-based aggregate on both sides of the exchange: the senders sort and pre-merge their
-runs, the receivers merge them, and both spill. Equality is verified, not assumed: the key of a
-merge is SHA-256 of the normalised text together with its length and an independent 64-bit hash.
+Every level is written, so a round reads the one below it and nothing else: as many exchanges up and
+down as there are rounds, and a lost executor costs a part of one round. The merge of one level is a
+``groupBy`` of (address, digest) with ``min`` of a struct, which Spark runs as a sort-based aggregate
+on both sides of the exchange: the senders sort and pre-merge their runs, the receivers merge them,
+and both spill. Equality is verified, not assumed: the key of a merge is SHA-256 of the normalised
+text together with its length and an independent 64-bit hash.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from auxograph.llm.shared import BLANKS, Scratch, spread
 
-KEY = ["text_sha256", "n_bytes", "check"]
+KEY = ["digest", "n_bytes", "check"]
 
 
 def normalised(text: Column) -> Column:
@@ -36,18 +38,19 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", "")
 
 
-def _rerouted(address: Column, digit: int, fan: int) -> Column:
-    """``address`` with its digit number ``digit`` replaced by that of the digest."""
-    place = fan**digit
-    own = F.expr(f"({fan} + cast(conv(substr(text_sha256, {3 * digit + 1}, 3), 16, 10) as bigint)) % {fan}")
-    return address - (address / F.lit(place)).cast("long") % fan * place + own * place
+def _rerouted(digit: int, fan: int) -> Column:
+    """The address with its digit number ``digit`` replaced by that of the digest's hash."""
+    bits, address = fan.bit_length() - 1, F.col("address")
+    own = F.shiftrightunsigned("check", digit * bits).bitwiseAND(F.lit(fan - 1))
+    old = F.shiftright(address, digit * bits).bitwiseAND(F.lit(fan - 1))
+    return address + (own - old) * fan**digit
 
 
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    fan: int = 8,
+    fan: int = 2,
     leaves: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points.
@@ -76,7 +79,7 @@ def exact_groups(
     ).select(
         "doc_id",
         "n_points",
-        F.sha2(F.col("_flat").cast("binary"), 256).alias("text_sha256"),
+        F.unhex(F.sha2(F.col("_flat").cast("binary"), 256)).alias("digest"),
         F.octet_length("_flat").cast("long").alias("n_bytes"),
         F.xxhash64("_flat").alias("check"),
         # tells repeated rows apart; the table is written, so a later read sees the same numbers
@@ -87,22 +90,25 @@ def exact_groups(
     level = entries.groupBy("address", *KEY).agg(F.min(rank).alias("best"), F.count("*").alias("n"))
     levels = []
     for digit in range(rounds):
-        routed = level.withColumn("up", _rerouted(F.col("address"), digit, fan))
+        level = scratch.keep(level, f"level-{digit}")
+        routed = level.withColumn("up", _rerouted(digit, fan))
         levels.append(routed.select("address", "up", *KEY))
         level = (
             routed.groupBy(F.col("up").alias("address"), *KEY)
             .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
             .select("address", *KEY, "best", "n")
         )
-    winners = level
-    for below in reversed(levels):
-        winners = below.join(winners.withColumnRenamed("address", "up"), ["up", *KEY]).select("address", *KEY, "best", "n")
+    winners = scratch.keep(level, "winners")
+    for digit in reversed(range(rounds)):
+        found = levels[digit].join(winners.withColumnRenamed("address", "up"), ["up", *KEY])
+        winners = scratch.keep(found.select("address", *KEY, "best", "n"), f"down-{digit}")
+        scratch.drop(f"level-{digit}", f"down-{digit + 1}" if digit + 1 < rounds else "winners")
     return entries.join(winners, ["address", *KEY]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("best._row") == F.col("_row")).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("digest")).alias("text_sha256"),
         "n_points",
     )
 

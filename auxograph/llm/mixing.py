@@ -24,6 +24,8 @@ from auxograph.llm.shared import BLANKS, Scratch, prefix_sums, spread, word_coun
 
 #: Rows that one key range is meant to hold.
 RANGE_ROWS = 50_000
+#: Keys at which sources are cut, one a source, up to which they are sent to the texts.
+SENT_KEYS = 10_000
 _KEY = ["_src_null", "_src"]
 
 
@@ -65,26 +67,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int)
     )
 
 
-def mixture(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = (5, 2, 1),
-    max_epochs: int = 3,
-    seed: str = "mix",
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, weight, target, epochs, cut, taken.
+def _random_key(id_col: str, text_col: str, seed: str) -> Column:
+    """The hash-random key of a row: of its identifier and its text, so that rows of one identifier spread."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), of(id_col), F.lit(":"), F.md5(of(text_col).cast("binary"))).cast("binary"))
 
-    ``epochs`` whole copies of the document and the first ``cut`` words of one more are in the mix;
-    ``taken = epochs * size + cut``. The taken words of a source sum to ``floor(target)``.
 
-    * A null text has size 0, as have empty and blank texts; they are returned with nothing taken.
-    * A null source is a source of its own, after all others. Null identifiers share one key.
-    * Rows of equal key are ordered by size; rows equal in all of these are interchangeable.
-    * An empty table gives an empty result; if all sizes are 0 all targets are 0.
-    * Other columns of ``docs`` are not read. Reruns agree: keys depend on seed and identifier.
-    """
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_epochs: int, seed: str) -> DataFrame:
+    """The rows of ``mixture`` with their source and random key."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     spark = docs.sparkSession
@@ -94,7 +84,7 @@ def mixture(
             F.col(id_col).alias("doc_id"),
             *_source_key(source_col),
             word_count(text_col).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_key"),
+            _random_key(id_col, text_col, seed).alias("_key"),
         ),
         "slim",
     )
@@ -115,40 +105,80 @@ def mixture(
         .withColumn("epochs", share.cast("long"))
         .withColumn("_rest", budget - F.col("epochs") * F.col("source_size"))
         .withColumn("cut", F.greatest(F.lit(0), F.least(F.col("_rest") - F.col("_before"), F.col("size"))).cast("long"))
-        .select(
-            "doc_id",
-            F.when(~F.col("_src_null"), F.col("_src")).alias("source"),
-            "size",
-            "source_size",
-            "weight",
-            "target",
-            "epochs",
-            "cut",
-            (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"),
-        )
+        .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long"))
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix consists of, with all their columns.
+def mixture(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: str = "mix",
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, weight, target, epochs, cut, taken.
+
+    ``epochs`` whole copies of the document and the first ``cut`` words of one more are in the mix;
+    ``taken = epochs * size + cut``. The taken words of a source sum to ``floor(target)``.
+
+    * A null text has size 0, as have empty and blank texts; they are returned with nothing taken.
+    * A null source is a source of its own, after all others.
+    * Rows that agree in identifier and text share one key and are interchangeable.
+    * An empty table gives an empty result; if all sizes are 0 all targets are 0.
+    * Other columns of ``docs`` are not read. Reruns agree: keys depend on seed, identifier and text.
+    """
+    planned = _planned(docs, id_col, text_col, source_col, weights, max_epochs, seed)
+    source = F.when(~F.col("_src_null"), F.col("_src")).alias("source")
+    return planned.select("doc_id", source, "size", "source_size", "weight", "target", "epochs", "cut", "taken")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``docs`` that the mix consists of, with all their columns: the words that ``mixture`` takes.
 
     A document comes once per epoch; the document at a source's cut comes once more with its first
-    ``cut`` words, joined by one space. Documents of which nothing is taken do not come. Identifiers
-    are expected to be unique; rows that share one are each given what the first of them is given,
-    and a null identifier is matched like any value.
+    ``cut`` words, joined by one space. Documents of which nothing is taken do not come. Rows that
+    agree in identifier, text and source are given as much as such rows are given together; null
+    identifiers, texts and sources are matched like any value.
     """
-    taken = mixture(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_mix_id"))
-    taken = taken.agg(F.max("epochs").alias("_epochs"), F.max("cut").alias("_cut"), F.max("size").alias("_size"))
-    taken = taken.where((F.col("_epochs") > 0) | (F.col("_cut") > 0))
-    whole = F.when(F.col("_cut") == F.col("_size"), F.col("_epochs") + 1).otherwise(F.col("_epochs"))
-    part = (F.col("_cut") > 0) & (F.col("_cut") < F.col("_size"))
+    scratch = Scratch(docs.sparkSession, "mixed")
+    alike = [*_KEY, "_key"]
+    planned = scratch.keep(_planned(docs, id_col, text_col, source_col, weights, max_epochs, seed).select(*alike, "size", "epochs", "cut"), "planned")
+    taken = planned.groupBy(*alike).agg(
+        F.max("size").alias("_size"),
+        F.max("epochs").alias("_epochs"),
+        F.count_if(F.col("cut") == F.col("size")).alias("_full"),
+        F.max(F.when(F.col("cut") < F.col("size"), F.col("cut"))).alias("_part"),
+        F.count("*").alias("_rows"),
+    )
+    taken = taken.where("_size > 0 and (_epochs > 0 or _full > 0 or _part > 0)")
+    # rows of one key all get the same but where the source's cut falls among them: one key a source
+    uneven = (F.col("_rows") > 1) & (F.col("_full") < F.col("_rows")) & ((F.col("_full") > 0) | (F.col("_part") > 0))
+    keyed = docs.withColumns({c: k for c, k in zip(alike, [*_source_key(source_col), _random_key(id_col, text_col, seed)])})
+    even = keyed.join(taken.where(~uneven), alike).withColumn("_nth", F.lit(1).cast("long"))
+    given, cut_keys = even, scratch.keep(taken.where(uneven), "uneven")
+    if n := cut_keys.limit(SENT_KEYS + 1).count():
+        few = keyed.join(F.broadcast(cut_keys) if n <= SENT_KEYS else cut_keys, alike)
+        few = scratch.keep(few.withColumns({"_place": F.spark_partition_id(), "_one": F.lit(1)}), "cut")
+        numbered = prefix_sums(few, alike, "_place", [F.col("_key")], "_one", "_nth").withColumn("_nth", F.col("_nth") + 1)
+        given = even.unionByName(numbered.drop("_place", "_one"))
+    whole = F.col("_epochs") + (F.col("_nth") <= F.col("_full")).cast("long")
+    part = (F.col("_nth") == F.col("_full") + 1) & (F.coalesce("_part", F.lit(0)) > 0)
     words = F.split(F.regexp_replace(F.col(text_col), f"^[{BLANKS}]+", ""), f"[{BLANKS}]+")
-    first = F.array_join(F.slice(words, 1, F.col("_cut").cast("int")), " ")
-    copies = F.sequence(F.lit(1), (whole + part.cast("int")).cast("int"))
+    first = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
+    given = given.withColumns({"_whole": whole, "_copies": whole + part.cast("long")}).where("_copies > 0")
     return (
-        docs.join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-        .withColumn("_copy", F.explode(copies))
-        .withColumn(text_col, F.when(F.col("_copy") > whole, first).otherwise(F.col(text_col)))
+        given.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        .withColumn(text_col, F.when(F.col("_copy") > F.col("_whole"), first).otherwise(F.col(text_col)))
         .select(*docs.columns)
     )
 
@@ -162,7 +192,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-         md5('mix:' || coalesce(cast(doc_id as varchar), '')) as key
+         md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as n

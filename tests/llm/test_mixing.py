@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from auxograph.llm import mixing
 from auxograph.llm.mixing import mixed_documents, mixture
 
 
@@ -39,7 +40,8 @@ def test_targets_and_cut(documents, counts):
     want = targets(sizes)
     taken = defaultdict(int)
     before = defaultdict(int)
-    for r in sorted(got, key=lambda r: hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()):
+    text = {i: hashlib.md5(t.encode()).hexdigest() for i, t, _ in rows}
+    for r in sorted(got, key=lambda r: hashlib.md5(f"mix:{r.doc_id}:{text[r.doc_id]}".encode()).hexdigest()):
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
         assert 0 <= r.taken <= 3 * r.size
         budget = int(r.target + 1e-9)
@@ -63,6 +65,22 @@ def test_documents_of_the_mix(documents):
     assert sum(map(words, (r.text for r in mixed))) == sum(r.taken for r in got)
 
 
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_repeated_identifiers(documents, monkeypatch, sent):
+    """Rows of one identifier, or of none, are given the words that the mix takes, alike or not."""
+    monkeypatch.setattr(mixing, "SENT_KEYS", sent)
+    same = [(5, "five words are in here", "a")] * 40 + [(None, "and of these there are six", "b")] * 30 + [(5, f"n{i} " * 3, "a") for i in range(20)]
+    rows = [*same, *((None, None, "a"),) * 3, *((i, "z " * (i % 7), "c") for i in range(60)), (7, "a b c", None), (7, "a b c", None)]
+    for weights in ((5, 2, 1), (1, 1, 9), (3, 7, 2)):
+        plan = mixture(documents(rows), weights=weights).collect()
+        taken, made = defaultdict(int), defaultdict(int)
+        for r in plan:
+            taken[r.doc_id, r.source] += r.taken
+        for r in mixed_documents(documents(rows).repartition(3), weights=weights).collect():
+            made[r.doc_id, r.source] += words(r.text)
+        assert {k: v for k, v in taken.items() if v} == {k: v for k, v in made.items() if v}
+
+
 def test_awkward_rows(awkward, documents):
     got = mixture(awkward).collect()
     assert len(got) == awkward.count()
