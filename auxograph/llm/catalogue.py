@@ -32,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
         "op2_mixing": mixing.SQL,
+        "op3_sharding": sharding.SQL,
         "op6_chat": chat.SQL,
         "op7_near_dedup": near_dedup.SQL,
         "op8_substring_dedup": substring_dedup.SQL,

@@ -122,8 +122,8 @@ def format_conversations(
     ``token_start`` is the turn's first position in its conversation. The mask is 1 on the tokens of
     the texts whose role is ``loss_role``.
 
-    * Turns come by number (null last); equal numbers by role, then text, so repeated rows are
-      formatted as often as they come. A null conversation id is a conversation of its own.
+    * Turns come by number (null last); equal numbers by a hash of role and text, so repeated rows are
+      formatted as often as they come and a rerun gives the same order. A null conversation id is a conversation of its own.
     * A null text or role is empty: the turn has its marks and nothing between them.
     * An empty table gives an empty result. Other columns are not read.
     """

@@ -5,7 +5,7 @@ text at a time, into an index segment: for each term the ascending list of its p
 segment, where consecutive documents are set apart by a gap that no window can bridge. Segments are
 written to the shared folder, one row each; postings never move between tasks, so common terms make
 no hot key. The benchmark is the query set: its windows go to every segment in blocks of bounded
-size. In a segment a window starts from the posting list of its rarest term, shifted by the term's
+size, and what comes back are the documents with matches. In a segment a window starts from the posting list of its rarest term, shifted by the term's
 offset in the window, and is intersected with the shifted lists of its other terms in order of
 rarity until a list is exhausted or all agree: what is left are the exact phrase matches. With
 ``slop`` set, windows whose terms all lie near a rarest term's position are returned as well.
@@ -44,10 +44,8 @@ SEGMENT = T.StructType(
 )
 HITS = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text_hash", T.LongType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
+        T.StructField("segment", T.LongType()),
+        T.StructField("place", T.IntegerType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
         T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("near_items", T.ArrayType(T.StringType())),
@@ -55,15 +53,11 @@ HITS = T.StructType(
 )
 
 
-def _segment(doc_ids: list, text_hashes: list, counts: list[np.ndarray], terms: list[np.ndarray], gap: int, vocabulary: np.ndarray | None):
+def _segment(doc_ids: list, text_hashes: list, counts: list[np.ndarray], terms: list[np.ndarray], gap: int):
     """One row of the index. ``terms``: the words of all documents, in order."""
     n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     words = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
     at = np.arange(len(words)) + np.repeat(np.arange(len(n_words)) * gap, n_words)
-    if vocabulary is not None:
-        place = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
-        known = vocabulary[place] == words if len(vocabulary) else np.zeros(len(words), bool)
-        words, at = words[known], at[known]
     order = np.argsort(words, kind="stable")
     words, at = words[order], at[order]
     first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
@@ -83,16 +77,11 @@ def build_index(
     docs: DataFrame,
     scratch: Scratch,
     gap: int,
-    vocabulary: np.ndarray | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     segment_bytes: int = SEGMENT_BYTES,
 ) -> DataFrame:
-    """The stored index: one row per segment.
-
-    ``vocabulary``: sorted term hashes of the queries; postings of other terms are left out. None
-    keeps all postings.
-    """
+    """The stored index of all words: one row per segment."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -102,7 +91,7 @@ def build_index(
         size = 0
 
         def row():
-            made = _segment(ids, marks, counts, terms, gap, vocabulary)
+            made = _segment(ids, marks, counts, terms, gap)
             kinds = {"doc_ids": pa.int64(), "text_hashes": pa.int64(), "n_words": pa.int32(), "terms": pa.int64(), "lengths": pa.int32(), "gaps": pa.int32()}
             arrays = []
             for name, kind in kinds.items():
@@ -127,7 +116,7 @@ def build_index(
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = read.withColumn("text_hash", F.xxhash64("text"))
-    return scratch.keep(read.mapInArrow(segments, SEGMENT), "index")
+    return scratch.keep(read.mapInArrow(segments, SEGMENT).withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
 class Queries:
@@ -153,10 +142,6 @@ class Queries:
                 items_of[window].add(owners[owner])
             self.by_length.append((distinct, [sorted(x) for x in items_of]))
 
-    def terms(self) -> np.ndarray:
-        found = [w.reshape(-1) for w, _ in self.by_length]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
 
 def _without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Values of ascending ``a`` that are in ascending ``b``."""
@@ -179,24 +164,30 @@ def _near(lists: list[np.ndarray], reach: int) -> np.ndarray:
 
 
 def search_segment(row: dict, queries: Queries, gap: int, slop: int | None):
-    """Per document of a segment: words hit, spans hit, items found, items found nearby."""
+    """(place, spans hit, items found, items found nearby) of the documents of a segment that have any."""
     n_words = np.asarray(row["n_words"], np.int64)
     base = np.concatenate([[0], np.cumsum(n_words + gap)])
     terms = np.asarray(row["terms"], np.int64).view(np.uint64)
     lengths = np.asarray(row["lengths"], np.int64)
     ends = np.cumsum(lengths)
     gaps = np.asarray(row["gaps"], np.int64)
-    positions = [np.cumsum(gaps[e - n : e]) for e, n in zip(ends, lengths)]
+    lists: dict[int, np.ndarray] = {}
+
+    def positions(term: int) -> np.ndarray:
+        if term not in lists:
+            lists[term] = np.cumsum(gaps[ends[term] - lengths[term] : ends[term]])
+        return lists[term]
+
     covered = np.zeros(base[-1] + 1, np.int32)
-    items: list[set] = [set() for _ in n_words]
-    near: list[set] = [set() for _ in n_words]
+    items: dict[int, set] = {}
+    near: dict[int, set] = {}
     for wanted, owners in queries.by_length if len(terms) else []:
         place = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
         for i in np.flatnonzero((terms[place] == wanted).all(axis=1)):
             offsets = np.argsort(lengths[place[i]], kind="stable")
             found = None
             for j in offsets:
-                shifted = positions[place[i, j]] - j
+                shifted = positions(place[i, j]) - j
                 found = shifted if found is None else _without(found, shifted)
                 if not len(found):
                     break
@@ -204,36 +195,38 @@ def search_segment(row: dict, queries: Queries, gap: int, slop: int | None):
                 found = found[found >= 0]
                 np.add.at(covered, found, 1)
                 np.add.at(covered, found + wanted.shape[1], -1)
-                for d in np.unique(np.searchsorted(base, found, side="right") - 1):
-                    items[d].update(owners[i])
+                for d in np.unique(np.searchsorted(base, found, side="right") - 1).tolist():
+                    items.setdefault(d, set()).update(owners[i])
             if slop is not None:
                 rare = list(dict.fromkeys(place[i, j] for j in offsets))
-                for d in np.unique(np.searchsorted(base, _near([positions[t] for t in rare], wanted.shape[1] - 1 + slop), side="right") - 1):
-                    near[d].update(owners[i])
+                hits = _near([positions(t) for t in rare], wanted.shape[1] - 1 + slop)
+                for d in np.unique(np.searchsorted(base, hits, side="right") - 1).tolist():
+                    near.setdefault(d, set()).update(owners[i])
     hit = np.cumsum(covered[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    spans: list[list] = [[] for _ in n_words]
+    spans: dict[int, list] = {}
     for a, b in edges.reshape(-1, 2):
         d = int(np.searchsorted(base, a, side="right")) - 1
-        spans[d].append([int(a - base[d]), int(b - base[d])])
-    for d, doc_id in enumerate(row["doc_ids"]):
-        yield doc_id, row["text_hashes"][d], int(n_words[d]), sum(b - a for a, b in spans[d]), spans[d], sorted(items[d]), sorted(near[d] - items[d])
+        spans.setdefault(d, []).append([int(a - base[d]), int(b - base[d])])
+    for d in sorted({*items, *near}):
+        own = items.get(d, set())
+        yield d, spans.get(d, []), sorted(own), sorted(near.get(d, set()) - own)
 
 
 def search(index: DataFrame, queries: Queries, gap: int, slop: int | None = None) -> DataFrame:
-    """The matches of one block of queries, a row per indexed document."""
+    """The matches of one block of queries: a row per document that has any."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
+        schema = pa.schema(list(zip(HITS.names, [pa.int64(), pa.int32(), *lists])))
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].values for n in batch.schema.names}
-                row = {n: v.to_pylist() if n in ("doc_ids", "text_hashes") else v.to_numpy(zero_copy_only=False) for n, v in row.items()}
-                columns = list(zip(*search_segment(row, queries, gap, slop)))
-                lists = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *lists]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=HITS.names)
+                row = {n: batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("n_words", "terms", "lengths", "gaps")}
+                segment = batch.column("segment")[i].as_py()
+                rows = [dict(zip(HITS.names, (segment, *x))) for x in search_segment(row, queries, gap, slop)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return index.mapInArrow(found, HITS)
+    return index.select("segment", "n_words", "terms", "lengths", "gaps").mapInArrow(found, HITS)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -279,20 +272,25 @@ def contamination(
     * An empty benchmark hits nothing; empty documents give an empty result.
     * Columns of the same name in the two tables do not meet.
 
-    A benchmark of up to ``block_words`` words is searched in one block, and only postings of its
-    words are stored. A larger one is searched block by block in an index of all words.
+    The index holds all words, whatever the benchmark; a benchmark of more than ``block_words`` words is
+    searched block by block in it.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontamination")
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    first = Queries(next(blocks, []), window)
-    second = next(blocks, None)
-    index = build_index(docs, scratch, window, first.terms() if second is None else None, id_col, text_col, segment_bytes)
-    if second is None:
-        hits = search(index, first, window, slop)
-    else:
-        index = scratch.keep(index.withColumn("segment", F.monotonically_increasing_id()), "numbered")
-        hits = _merged(index, [first, Queries(second, window)], (Queries(b, window) for b in blocks), window, slop, scratch)
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    index = build_index(docs, scratch, window, id_col, text_col, segment_bytes)
+    hits = None
+    for n, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
+        part = scratch.keep(search(index, Queries(block, window), window, slop), f"hits-{n}")
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        hits = docs.sparkSession.createDataFrame([], HITS)
+    columns = F.arrays_zip("doc_ids", "text_hashes", "n_words")
+    documents = index.select("segment", F.posexplode(columns).alias("place", "doc")).select(
+        "segment", "place", F.col("doc.doc_ids").alias("doc_id"), F.col("doc.text_hashes").alias("text_hash"), F.col("doc.n_words").cast("long").alias("n_words")
+    )
+    found = documents.join(_merged(hits), ["segment", "place"], "left")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    hits = found.select("doc_id", "text_hash", "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), empty("spans", "array<array<int>>"), empty("items", "array<string>"), empty("near_items", "array<string>"))
     share = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return hits.withColumn("contaminated", share)
 
@@ -305,58 +303,20 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return docs.join(bad, same, "left_anti")
 
 
-def _merged(index: DataFrame, two: list[Queries], rest: Iterator[Queries], gap: int, slop: int | None, scratch: Scratch) -> DataFrame:
-    """The matches of several blocks, joined per document of the index."""
-    parts = []
-    for n, queries in enumerate([*two]):
-        parts.append(_numbered(index, queries, gap, slop, scratch, n))
-    for n, queries in enumerate(rest, len(two)):
-        parts.append(_numbered(index, queries, gap, slop, scratch, n))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    grouped = every.groupBy("segment", "place").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("text_hash").alias("text_hash"),
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-    )
-    ordered = F.array_sort("spans")
+def _merged(hits: DataFrame) -> DataFrame:
+    """The matches of all blocks, a row per document: spans that overlap or touch are one."""
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    grouped = hits.groupBy("segment", "place").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), together("items"), together("near_items"))
+    last = lambda done: F.element_at(done, -1)
     union = F.aggregate(
-        ordered,
+        "spans",
         F.array().cast("array<array<int>>"),
         lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)[1] >= s[0]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], s[1]))),
-            ),
+            (F.size(done) > 0) & (last(done)[1] >= s[0]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last(done)[0], F.greatest(last(done)[1], s[1])))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    joined = grouped.withColumn("spans", union)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    near = F.array_except("near_items", "items")
-    return joined.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "spans", "items", near.alias("near_items"))
-
-
-def _numbered(index: DataFrame, queries: Queries, gap: int, slop: int | None, scratch: Scratch, n: int) -> DataFrame:
-    """One block's matches with the segment and the place of the document in it."""
-    schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("place", T.IntegerType()), *HITS.fields])
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = [
-                    dict(zip(schema.names, (row["segment"], i, *x)))
-                    for i, x in enumerate(search_segment(row, queries, gap, slop))
-                ]
-                lists = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *lists]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(schema.names, kinds))))
-
-    return scratch.keep(index.mapInArrow(found, schema), f"block-{n}")
+    return grouped.select("segment", "place", union.alias("spans"), "items", F.array_except("near_items", "items").alias("near_items"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in chunks(batch.column("text")):
+        for a, b, data, offsets in chunks(batch.column("text")):
             seen = Measured(data, offsets)
             of, entry, weight = seen.features()
             key, inverse = np.unique(of * FEATURES + entry, return_inverse=True)
@@ -241,11 +241,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(key // FEATURES, np.arange(len(offsets))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("h").slice(a, b - a),
                     pa.array(seen.votes()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array((key % FEATURES).astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(total.astype(np.float32))),
                 ],
-                names=["pattern", "entries", "weights"],
+                names=["h", "pattern", "entries", "weights"],
             )
 
 
@@ -267,7 +268,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     """The scorer, the patterns' weak labels and the labellers' accuracies.
 
     Vote patterns are counted over all documents. ``train_docs`` bounds the documents the scorer is
-    fitted on; they are chosen by a hash of the identifier.
+    fitted on; they are chosen by a hash of the identifier, and at most twice as many are fetched.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -278,8 +279,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     million = 1_000_000
     share = int(million * train_docs / max(total, 1)) + 1
     chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(million)) < share)
-    sample = chosen.select(F.col(text_col).alias("text")).mapInArrow(_featured, "pattern long, entries array<int>, weights array<float>")
-    sample = sample.limit(2 * train_docs).toArrow().combine_chunks()
+    # about train_docs rows are left; where a chosen identifier has many, the first by a hash of the text count
+    chosen = chosen.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("order")).alias("h"))
+    sample = chosen.mapInArrow(_featured, "h long, pattern long, entries array<int>, weights array<float>")
+    sample = sample.orderBy("h").limit(2 * train_docs).toArrow().combine_chunks()
     if not sample.num_rows:
         return Scorer(*fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))), junk, accuracy
     lists = sample.column("entries").combine_chunks()

@@ -76,6 +76,10 @@ def shards(
     bytes plus 1; a null text counts as empty. Rows are numbered by identifier (null last), then
     crc32 and size; rows equal in all three are interchangeable. An empty table gives an empty
     result; with fewer rows than shards some shards are empty. Other columns are not read.
+
+    A number that has not come back inside after ``STEPS`` steps of its cycle walk is an error; a step
+    leaves it outside with a chance below N ** -0.5, so that does not happen to any table of some
+    hundred rows or more, and smaller ones have as many steps as there are numbers outside.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -116,3 +120,44 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op3: ``documents`` in shards 0 to 7."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shards(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _sql() -> str:
+    """The same in SQL: a CRC table and a reduction over bytes, the network as nested selects, the walk as a recursion."""
+    table = "".join(f", s{k + 1} as (select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from s{k})" for k in range(8))
+
+    def mixed(value: str, key: int, size: str) -> str:
+        y = f"(({value} + {key}) % {PRIME})"
+        y = f"(({y} * {y} + {key}) % {PRIME})"
+        return f"(({y} * {key % 65_521 + 1}) % {PRIME}) % {size}"
+
+    once = "select n, a, b, row_number, place % a as l, place // a as r, steps from walk where place >= n or steps = 0"
+    for even, odd in zip(ROUND_KEYS[::2], ROUND_KEYS[1::2]):
+        once = f"select n, a, b, row_number, (l + {mixed('r', even, 'a')}) % a as l, r, steps from ({once})"
+        once = f"select n, a, b, row_number, l, (r + {mixed('l', odd, 'b')}) % b as r, steps from ({once})"
+    return f"""
+with recursive s0 as (
+  select range as i, range::bigint as c from range(0, 256)
+){table}, t as (
+  select list(c order by i) as t from s8
+), d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)),
+                         lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32
+  from documents, t
+), numbered as (
+  select *, row_number() over (order by doc_id nulls last, text_crc32, size) - 1 as row_number, count(*) over () as n from d
+), sized as (
+  select n, a, greatest(1, (n + a - 1) // a) as b
+  from (select any_value(n) as n, case when any_value(n) > 1 then floor(sqrt(any_value(n) - 1))::bigint + 1 else 1 end as a from numbered)
+), walk as (
+  select sized.n, a, b, row_number, row_number as place, 0 as steps from numbered, sized
+  union all
+  select n, a, b, row_number, r * a + l as place, steps + 1 as steps from ({once})
+)
+select doc_id, size::bigint as size, text_crc32, 'rows' as law, (place % 8)::int as shard, (place // 8)::bigint as slot, null::int as grown_shard
+from numbered join (select row_number, place from walk where place < n and steps > 0) using (row_number)
+"""
+
+
+SQL = _sql()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auxograph.llm.shared import Scratch, importable, prefix_sums, spread
+from auxograph.llm.shared import Scratch, importable, prefix_sums, shuffles_freed, spread
 
 #: Words that a worker remembers; the memory is emptied when it is full, which changes no result.
 REMEMBERED_WORDS = 400_000
@@ -36,6 +36,9 @@ CHUNK_CHARS = 1_000_000
 WORDS_TOGETHER = 1_000
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1_000
+#: Rows of one identifier that need not be cut, and characters of a text that tell where they may be.
+RANGE_ROWS = 100_000
+BOUND_CHARS = 64
 
 SCHEMA = T.StructType(
     [
@@ -182,25 +185,22 @@ def write_tokens(
 
     * A null or empty text is written as the end id alone.
     * Null identifiers come last; rows that share an identifier come by text, so repeated rows are
-      written as often as they come. Other columns of ``docs`` are not read.
+      written as often as they come. Where more than ``RANGE_ROWS`` rows share one, files are also cut
+      between the beginnings of their texts. Other columns of ``docs`` are not read.
     * An empty table writes a readable store without rows.
     """
     spark = docs.sparkSession
     importable(spark)
-    by_id = F.col("doc_id").asc_nulls_last()
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = ranged.repartitionByRange(files or spread(spark), by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
+    by_id, by_text = F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared = named.groupBy("doc_id").count().where(F.col("count") > RANGE_ROWS).head(1)
+    bounds = [by_id, F.substring("text", 1, BOUND_CHARS).asc_nulls_first()] if shared else [by_id]
+    ranged = named.repartitionByRange(files or spread(spark), *bounds).sortWithinPartitions(by_id, by_text)
     stored = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_writer_rows(tokenizer_path, end_id), SCHEMA)
-    (
-        stored.write.mode("errorifexists")
-        .format("orc")
-        .option("compression", "zstd")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", str(INDEX_STRIDE))
-        .option("orc.stripe.size", str(stripe_bytes))
-        .save(path)
-    )
+    writer = stored.write.mode("errorifexists").format("orc").option("compression", "zstd").option("orc.stripe.size", str(stripe_bytes))
+    writer = writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(INDEX_STRIDE))
+    with shuffles_freed(spark):
+        writer.save(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:

@@ -30,9 +30,9 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5, 6)
 SPAN = 32
-#: Bounds of the training sample: documents of each class, and characters of a document.
-TRAIN_PER_CLASS = 2_000
-TRAIN_CHARS = 20_000
+#: Bounds of the training sample, for each class: documents, and bytes of their texts together.
+TRAIN_PER_CLASS = 2_500
+TRAIN_BYTES = 8 << 20
 EPOCHS = 60
 WARM_EPOCHS = 5
 THRESHOLD = 0.3
@@ -138,7 +138,7 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
                 per_word.append(counts[f])
             number[i] = vocabulary[h]
         kept, begin, of = _spans(words)
-        members.append(number[inverse][kept])
+        members.append(number[inverse][kept].astype(np.int32))
         span_lengths.append(np.diff(np.append(begin, len(kept))))
         span_of.append(of + a)
     if not members:
@@ -164,7 +164,7 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
     for epoch in range(EPOCHS):
         direction = softmax[:, 1] - softmax[:, 0]
         word = np.add.reduceat((table @ direction)[entry], word_begin) / per_word
-        span = np.add.reduceat(word[member], span_begin) / SPAN
+        span = np.add.reduceat(word.astype(np.float32)[member], span_begin) / np.float32(SPAN)
         if epoch < WARM_EPOCHS:
             weight = np.repeat(1 / doc_spans, doc_spans)
         else:
@@ -176,7 +176,10 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
         # a span without words is clean: the bias alone must not come near to a verdict
         nothing = EMPTY_SHARE / (1 + np.exp(bias[0] - bias[1]))
         span_off = np.repeat(off, doc_spans) * weight / SPAN
-        word_off = np.bincount(member, np.repeat(span_off, length), len(per_word)) / per_word
+        # after the start only the most toxic spans have a weight, and only their words are looked at
+        some = np.flatnonzero(weight)
+        words_of = np.repeat(span_begin[some] - np.cumsum(length[some]) + length[some], length[some]) + np.arange(length[some].sum())
+        word_off = np.bincount(member[words_of], np.repeat(span_off[some], length[some]), len(per_word)) / per_word
         entry_off = np.bincount(entry, np.repeat(word_off, per_word), BUCKETS)
         toward = entry_off @ table
         gradients = [scale * np.outer(entry_off, direction), np.stack([-toward, toward], 1), np.array([-1.0, 1.0]) * (off.sum() + nothing)]
@@ -190,29 +193,44 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, most_chars: int = TRAIN_CHARS
+    docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES
 ) -> tuple[list[tuple[str, int]], float]:
-    """At most ``per_class`` labelled documents of each class, and the share of class 1 among all.
+    """Labelled documents of each class, whole, and the share of class 1 among all labels.
 
-    ``docs``: doc_id, text; ``labels``: doc_id, toxic. The sample is taken by a hash of the
-    identifier, from documents of at most ``most_chars`` characters: a bound on what the driver
-    holds (80 MB at worst by default). A document with several labels counts with the largest.
+    ``docs``: doc_id, text; ``labels``: doc_id, toxic. A class gives the first documents in the order
+    of a hash of identifier and text: at most ``per_class``, and as many as have ``most_bytes`` of
+    text together (one at least), however long each is. That bounds what the driver holds. A document
+    with several labels counts with the largest; a document that comes several times counts once.
     """
     classes = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in classes.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
         return [], 0.0
-    million = 1_000_000
-    taken = F.lit(False)
+    # by a hash of the identifier somewhat more of each class than is asked for, whatever the number of labels
+    million, wanted = 1_000_000, F.lit(False)
     for c, n in sizes.items():
-        taken |= (F.col("toxic") == c) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(million)) < int(1.1 * million * per_class / n) + 1)
-    rows = docs.join(classes.where(taken), "doc_id").where(F.length("text") <= most_chars)
-    sample: list[tuple[str, int]] = []
+        wanted |= (F.col("toxic") == c) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(million)) < int(1.2 * million * per_class / n) + 1)
+    some = classes.where(wanted)
+    if some.limit(4 * per_class + 1).count() <= 4 * per_class:
+        some = F.broadcast(some)
+    order = F.xxhash64("doc_id", "text", F.lit("order"))
+    found = docs.join(some, "doc_id").where(F.col("text").isNotNull())
+    slim = found.select("toxic", order.alias("h"), F.octet_length("text").alias("bytes")).distinct()
+    first = [slim.where(F.col("toxic") == c).orderBy("h").limit(per_class) for c in sorted(sizes)]
+    chosen: list[tuple[int, int]] = []
     for c in sorted(sizes):
-        some = rows.where(F.col("toxic") == c).select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit("order")), "text").limit(per_class)
-        sample += [(t, c) for t in some.toArrow().column("text").to_pylist()]
-    return sample, min(max(sizes.get(1, 0) / total, 1e-6), 1 - 1e-6)
+        used = 0
+        for r in first[sorted(sizes).index(c)].collect():
+            used += r["bytes"]
+            if used > most_bytes and chosen and chosen[-1][1] == c:
+                break
+            chosen.append((r["h"], c))
+    hashes = docs.sparkSession.createDataFrame([(h,) for h, _ in chosen], "h long")
+    texts = found.withColumn("h", order).join(F.broadcast(hashes), "h").dropDuplicates(["h"]).select("h", "toxic", "text")
+    table = texts.toArrow()
+    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("toxic", "h", "text"))))
+    return [(t, c) for c, _, t in rows], min(max(sizes.get(1, 0) / total, 1e-6), 1 - 1e-6)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

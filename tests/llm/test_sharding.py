@@ -61,3 +61,8 @@ def test_awkward_rows(awkward, documents):
     assert sorted(r.row_number for r in got) == list(range(awkward.count()))
     assert all(r.size == 1 for r in got if r.doc_id in (2, 3))
     assert shards(documents([])).count() == 0
+
+
+def test_no_python_in_the_plan(documents):
+    plan = shards(documents([(1, "a b"), (2, None)]))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "BatchEval", "ExternalRDD"))

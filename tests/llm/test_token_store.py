@@ -1,8 +1,10 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from auxograph.llm import token_store
 from auxograph.llm.shared import Scratch
 from auxograph.llm.token_store import WordEncoder, read_tokens, token_offsets, write_tokens
 from hypothesis import given, settings
@@ -66,3 +68,60 @@ def test_awkward_rows(spark, awkward, documents, plain):
     path = Scratch(spark, "test-tokens").path("store")
     write_tokens(documents([]), path, PATH)
     assert token_offsets(spark, path).count() == 0
+
+
+def test_rows_of_one_identifier_are_cut(spark, documents, plain, monkeypatch):
+    """An identifier with many rows is spread over files, and the order stays."""
+    monkeypatch.setattr(token_store, "RANGE_ROWS", 20)
+    rows = [(7, f"text {i * 37 % 100:03d}") for i in range(100)] + [(None, f"none {i % 50}") for i in range(80)] + [(i, "x") for i in range(10)]
+    path = check(spark, documents(rows), rows, plain)
+    assert read_tokens(spark, path).where("doc_id = 7").select("part").distinct().count() > 1
+
+
+def test_metadata(spark, documents):
+    """Files have stripes, row indexes with statistics of identifiers and Bloom filters, and a reader prunes by them."""
+    from pyarrow import orc
+
+    path = Scratch(spark, "test-tokens").path("store")
+    base = 1 << 40
+    odd = [(base + 2 * i, " ".join(f"w{(i * j) % 977}" for j in range(60))) for i in range(12_000)]
+    write_tokens(documents(odd), path, PATH, files=2, stripe_bytes=1 << 16)
+    files = sorted(f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".orc"))
+    assert len(files) == 2
+    for name in files:
+        file = os.path.join(path.removeprefix("file:"), name)
+        found = orc.ORCFile(file)
+        assert found.nstripes > 1 and found.compression == "ZSTD" and found.row_index_stride == token_store.INDEX_STRIDE
+        # stripes are read alone and in parallel; together they are the file
+        stripes = [found.read_stripe(i, columns=["doc_id", "n_tokens"]) for i in range(found.nstripes)]
+        ids = [x for t in stripes for x in t.column("doc_id").to_pylist()]
+        assert ids == sorted(ids) and len(ids) == found.nrows
+        reader = spark._jvm.org.apache.orc.OrcFile.createReader(
+            spark._jvm.org.apache.hadoop.fs.Path(file), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration())
+        )
+        assert reader.getStatistics()[3].getMinimum() == ids[0] and reader.getStatistics()[3].getMaximum() == ids[-1]
+        rows = reader.rows(reader.options())
+        for i, stripe in enumerate(reader.getStripes()):
+            streams = {(s.getColumn(), s.getKind().toString()) for s in rows.readStripeFooter(stripe).getStreamsList()}
+            assert {(3, "ROW_INDEX"), (3, "BLOOM_FILTER_UTF8")} <= streams
+            kinds = [e.getKind().toString() for e in rows.readStripeFooter(stripe).getColumnsList()]
+            assert kinds[3] == "DIRECT_V2" and kinds[6] == "DIRECT_V2"
+        rows.close()
+        # a search argument on the identifier reads whole row groups only where it may be
+        build = lambda v: spark._jvm.org.apache.hadoop.hive.ql.io.sarg.SearchArgumentFactory.newBuilder().equals("doc_id", spark._jvm.org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf.Type.LONG, v).build()
+
+        def rows_read(value):
+            columns = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 1)
+            columns[0] = "doc_id"
+            some = reader.rows(reader.options().searchArgument(build(value), columns))
+            batch, n = reader.getSchema().createRowBatch(), 0
+            while some.nextBatch(batch):
+                n += batch.size
+            some.close()
+            return n
+
+        assert 0 < rows_read(ids[len(ids) // 2]) <= token_store.INDEX_STRIDE
+        assert rows_read(base - 5) == 0
+        # an odd identifier lies between the statistics' ends, so it is the Bloom filter that skips
+        assert sum(rows_read(ids[k] + 1) for k in range(50, 5_000, 500)) <= 2 * token_store.INDEX_STRIDE
+    assert [r.doc_id for r in read_tokens(spark, path, [base + 24, base + 25, base + 600]).orderBy("doc_id").collect()] == [base + 24, base + 600]
