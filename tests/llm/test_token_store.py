@@ -80,6 +80,7 @@ def test_rows_of_one_identifier_are_cut(spark, documents, plain, monkeypatch):
 
 def test_metadata(spark, documents):
     """Files have stripes, row indexes with statistics of identifiers and Bloom filters, and a reader prunes by them."""
+    from py4j.java_gateway import get_field
     from pyarrow import orc
 
     path = Scratch(spark, "test-tokens").path("store")
@@ -116,7 +117,7 @@ def test_metadata(spark, documents):
             some = reader.rows(reader.options().searchArgument(build(value), columns))
             batch, n = reader.getSchema().createRowBatch(), 0
             while some.nextBatch(batch):
-                n += batch.size
+                n += get_field(batch, "size")
             some.close()
             return n
 
