@@ -33,6 +33,9 @@ SPAN = 32
 #: Bounds of the training sample, for each class: documents, and bytes of their texts together.
 TRAIN_PER_CLASS = 2_500
 TRAIN_BYTES = 8 << 20
+#: Bytes of the sample that are cut into n-grams together, and words that are worked on together.
+TRAIN_CHUNK = 1 << 17
+TRAIN_WORDS = 20_000
 EPOCHS = 60
 WARM_EPOCHS = 5
 THRESHOLD = 0.3
@@ -123,27 +126,32 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 20.0 if share == 1 else -20.0)
     vocabulary: dict[int, int] = {}
     entries, per_word, members, span_lengths, span_of = [], [], [], [], []
-    for a, _, data, offsets in chunks(column):
+    for a, _, data, offsets in chunks(column, TRAIN_CHUNK):
         words = Words(data, offsets, "alnum")
         if not len(words):
             continue
         entry, counts = _grams(words)
         first_entry = np.cumsum(counts) - counts
         distinct, first, inverse = np.unique(words.hashes(7, lower=True), return_index=True, return_inverse=True)
-        number = np.empty(len(distinct), np.int64)
+        number = np.empty(len(distinct), np.int32)
+        new = []
         for i, (h, f) in enumerate(zip(distinct.tolist(), first.tolist())):
             if h not in vocabulary:
                 vocabulary[h] = len(vocabulary)
-                entries.append(entry[first_entry[f] : first_entry[f] + counts[f]])
-                per_word.append(counts[f])
+                new.append(f)
             number[i] = vocabulary[h]
+        if new:
+            # copies of the new words' entries, so that the chunk's can go
+            n = counts[new]
+            entries.append(entry[np.repeat(first_entry[new] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            per_word.append(n)
         kept, begin, of = _spans(words)
-        members.append(number[inverse][kept].astype(np.int32))
+        members.append(number[inverse[kept]])
         span_lengths.append(np.diff(np.append(begin, len(kept))))
         span_of.append(of + a)
     if not members:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
-    entry, per_word = np.concatenate(entries), np.array(per_word)
+    entry, per_word = np.concatenate(entries), np.concatenate(per_word)
     member, length, of = np.concatenate(members), np.concatenate(span_lengths), np.concatenate(span_of)
     word_begin = np.concatenate([[0], np.cumsum(per_word)[:-1]])
     span_begin = np.concatenate([[0], np.cumsum(length)[:-1]])
@@ -159,11 +167,21 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
     moments = [(np.zeros_like(p), np.zeros(())) for p in parameters]
     # gradients grow with an n-gram's frequency, their noise with its root: dividing by the root lets
     # n-grams that recur in one class move most, and not those of every document or of a single one
-    frequency = np.bincount(entry, np.repeat(np.bincount(member, minlength=len(per_word)) / per_word, per_word), BUCKETS)
+    # words are taken some at a time, so that nothing as long as all their n-grams is made
+    parts = [slice(a, a + TRAIN_WORDS) for a in range(0, len(per_word), TRAIN_WORDS)]
+    grams = [entry[word_begin[w][0] : word_begin[w][-1] + per_word[w][-1]] for w in parts]
+
+    def to_entries(of_words: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(g, np.repeat(of_words[w], per_word[w]), BUCKETS) for w, g in zip(parts, grams))
+
+    def to_words(of_entries: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(of_entries[g], word_begin[w] - word_begin[w][0]) for w, g in zip(parts, grams)])
+
+    frequency = to_entries(np.bincount(member, minlength=len(per_word)) / per_word)
     scale = (1 / np.sqrt(frequency + SMOOTHING))[:, None]
     for epoch in range(EPOCHS):
         direction = softmax[:, 1] - softmax[:, 0]
-        word = np.add.reduceat((table @ direction)[entry], word_begin) / per_word
+        word = to_words(table @ direction) / per_word
         span = np.add.reduceat(word.astype(np.float32)[member], span_begin) / np.float32(SPAN)
         if epoch < WARM_EPOCHS:
             weight = np.repeat(1 / doc_spans, doc_spans)
@@ -177,10 +195,13 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 5) -> Model:
         nothing = EMPTY_SHARE / (1 + np.exp(bias[0] - bias[1]))
         span_off = np.repeat(off, doc_spans) * weight / SPAN
         # after the start only the most toxic spans have a weight, and only their words are looked at
-        some = np.flatnonzero(weight)
-        words_of = np.repeat(span_begin[some] - np.cumsum(length[some]) + length[some], length[some]) + np.arange(length[some].sum())
-        word_off = np.bincount(member[words_of], np.repeat(span_off[some], length[some]), len(per_word)) / per_word
-        entry_off = np.bincount(entry, np.repeat(word_off, per_word), BUCKETS)
+        if epoch < WARM_EPOCHS:
+            word_off = np.bincount(member, np.repeat(span_off, length), len(per_word)) / per_word
+        else:
+            some = np.flatnonzero(weight)
+            words_of = np.repeat(span_begin[some] - np.cumsum(length[some]) + length[some], length[some]) + np.arange(length[some].sum())
+            word_off = np.bincount(member[words_of], np.repeat(span_off[some], length[some]), len(per_word)) / per_word
+        entry_off = to_entries(word_off)
         toward = entry_off @ table
         gradients = [scale * np.outer(entry_off, direction), np.stack([-toward, toward], 1), np.array([-1.0, 1.0]) * (off.sum() + nothing)]
         for p, g, (m, v), rate in zip(parameters, gradients, moments, RATES):
@@ -228,8 +249,7 @@ def training_sample(
             chosen.append((r["h"], c))
     hashes = docs.sparkSession.createDataFrame([(h,) for h, _ in chosen], "h long")
     texts = found.withColumn("h", order).join(F.broadcast(hashes), "h").dropDuplicates(["h"]).select("h", "toxic", "text")
-    table = texts.toArrow()
-    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("toxic", "h", "text"))))
+    rows = sorted((r["toxic"], r["h"], r["text"]) for r in texts.toLocalIterator())
     return [(t, c) for c, _, t in rows], min(max(sizes.get(1, 0) / total, 1e-6), 1 - 1e-6)
 
 
