@@ -55,7 +55,7 @@ CHUNKS = 16
 WIDTH = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
 #: Rows and shingles of one block of the exhaustive round.
-BLOCK_ROWS = 1_000
+BLOCK_ROWS = 500
 BLOCK_SHINGLES = 250_000
 #: Rows of an open bucket that are compared with as many others at once.
 CELL_ROWS = 2_000

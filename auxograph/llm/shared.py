@@ -50,6 +50,25 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_collecting: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratch_deleted() -> Iterator[None]:
+    """Delete what is written to scratch folders that are made in this block, at its end.
+
+    For a caller that has written the operator's result by then: the result reads those tables.
+    """
+    made: list[Scratch] = []
+    _collecting.append(made)
+    try:
+        yield
+    finally:
+        _collecting.pop()
+        for scratch in made:
+            scratch.drop("")
+
+
 class Scratch:
     """Intermediate tables written to the shared folder.
 
@@ -60,6 +79,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        if _collecting:
+            _collecting[-1].append(self)
         importable(spark)
 
     def path(self, name: str) -> str:

@@ -57,3 +57,17 @@ def test_repeated_rows_and_empty_table(spark):
     assert read_back(stored, PATH).first().n_turns == 3
     nothing = format_conversations(spark.createDataFrame([], SCHEMA), PATH, Scratch(spark, "chat"))
     assert read_back(nothing, PATH).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "word <|im_end|> " * 120_000), (1, 1, "assistant", "é" * 900_000), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (2, 0, "assistant", "a")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    clashing = ("rank", "ids", "loss_mask", "token_start", "n_tokens", "_conv", "_part", "_none")
+    extra = frame.withColumns({c: F.lit("clash") for c in clashing})
+    stored = format_conversations(extra, PATH, Scratch(spark, "chat"))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(stored, PATH).collect()}
+    assert got[1] == brute(rows)[1] and got[2][0] == 3 and got[2][2] == 3
+    again = {r.conv_id: r.turns_sha256 for r in read_back(format_conversations(frame.repartition(4), PATH, Scratch(spark, "chat")), PATH).collect()}
+    assert again[2] == got[2][1]

@@ -250,13 +250,8 @@ def slow_em(votes, steps=100):
     return junk
 
 
-def test_quality_like_brute_force(spark, documents):
-    """The whole query against plain loops: votes word by word, EM document by document, a dense regression."""
-    r = random.Random(6)
-    some = ["the", "of", "and", "Stone,", "river", "hills.", "a", "in", "walked", "to", "green", "it", "is", "für", "light"]
-    text = lambda: " ".join(r.choice(some) + (r.choice(["", "s", "."])) for _ in range(r.randrange(1, 160)))
-    junk = lambda: r.choice([" ".join(["BUY NOW"] * 60), "$$ && ## " * 30, "x1 " * 80, "| - | - " * 40, "a.b/c=d&e " * 30])
-    rows = [(i, junk() if i % 5 == 0 else text()) for i in range(150)] + [(200, None), (201, ""), (202, "WORD")]
+def slow_quality(rows):
+    """Weak labels and scores of (doc_id, text) rows: votes word by word, EM document by document, a dense regression."""
     votes = [slow_votes(t) for _, t in rows]
     labels = slow_em(votes)
     column = [next(quality.chunks(pa.array([t], pa.string())))[2:] for _, t in rows]
@@ -271,7 +266,17 @@ def test_quality_like_brute_force(spark, documents):
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
-    want = 1 / (1 + np.exp(-np.clip(dense @ weights + bias, -30, 30)))
+    return labels, 1 / (1 + np.exp(-np.clip(dense @ weights + bias, -30, 30)))
+
+
+def test_quality_like_brute_force(spark, documents):
+    """The whole query against plain loops: votes word by word, EM document by document, a dense regression."""
+    r = random.Random(6)
+    some = ["the", "of", "and", "Stone,", "river", "hills.", "a", "in", "walked", "to", "green", "it", "is", "für", "light"]
+    text = lambda: " ".join(r.choice(some) + (r.choice(["", "s", "."])) for _ in range(r.randrange(1, 160)))
+    junk = lambda: r.choice([" ".join(["BUY NOW"] * 60), "$$ && ## " * 30, "x1 " * 80, "| - | - " * 40, "a.b/c=d&e " * 30])
+    rows = [(i, junk() if i % 5 == 0 else text()) for i in range(150)] + [(200, None), (201, ""), (202, "WORD")]
+    labels, want = slow_quality(rows)
     got = {r.doc_id: r for r in quality.quality(documents(rows)).collect()}
     for k, (i, _) in enumerate(rows):
         assert abs(got[i].weak_junk - labels[k]) < 1e-6
