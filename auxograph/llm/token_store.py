@@ -33,7 +33,7 @@ REMEMBERED_WORDS = 400_000
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 1_000_000
 #: Words that are given to the tokenizer as one text.
-WORDS_TOGETHER = 1_000
+WORDS_TOGETHER = 100
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1_000
 #: Rows of one identifier that need not be cut, and characters of a text that tell where they may be.
@@ -97,7 +97,7 @@ class WordEncoder:
         if (
             text[0] in " \n"
             or text[-1] in " \n"
-            or any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0", *self.special))
+            or any(map(text.__contains__, ("  ", "\n\n", " \n", "\n ", "\0", *self.special)))
             or self.other_space.search(text)
         ):
             return None
@@ -109,8 +109,9 @@ class WordEncoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = words.difference(young)
-        young.update((w, old[w]) for w in missing if w in old)
-        new = [w for w in missing if w not in young and w != "\n"]
+        seen = list(filter(old.__contains__, missing))
+        young.update(zip(seen, map(old.__getitem__, seen)))
+        new = list(missing.difference(seen, "\n"))
         young.update(zip(new, self._encode_words(new), strict=True))
         young["\n"] = np.array([self.line_feed], "<u4").tobytes()
         return young
@@ -118,10 +119,10 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._pieces(t) if t else [] for t in texts]
-        known = self._known({w for pieces in cut if pieces for w in pieces})
+        known = self._known(set().union(*filter(None, cut))).__getitem__
         odd = [i for i, pieces in enumerate(cut) if pieces is None]
         whole = dict(zip(odd, self._encode([texts[i] for i in odd]), strict=True))
-        return [whole[i] if pieces is None else b"".join([known[w] for w in pieces]) for i, pieces in enumerate(cut)]
+        return [whole[i] if pieces is None else b"".join(map(known, pieces)) for i, pieces in enumerate(cut)]
 
 
 def encoder(path: str) -> WordEncoder:
