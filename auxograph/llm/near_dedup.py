@@ -55,7 +55,7 @@ CHUNKS = 16
 WIDTH = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
 #: Rows and shingles of one block of the exhaustive round.
-BLOCK_ROWS = 500
+BLOCK_ROWS = 250
 BLOCK_SHINGLES = 250_000
 #: Rows of an open bucket that are compared with as many others at once.
 CELL_ROWS = 2_000
@@ -361,9 +361,13 @@ class _Search:
         nodes = rows.groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home"), F.first("root").alias("root"))
         nodes = nodes.join(self.nodes.select("node", "n_shingles", "signature"), "node")
         parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-        homes = nodes.groupBy("home").agg(parts.cast("int").alias("parts"))
-        own = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")))
-        members = self.scratch.keep(nodes.join(homes, "home").select("node", "root", own.alias("block"), "signature"), "members")
+        # homes of several blocks; they are sent to their rows where they are few enough, as any is a hot key
+        homes = nodes.groupBy("home").agg(parts.cast("int").alias("parts")).where("parts > 1")
+        homes = self.scratch.keep(homes, "homes")
+        if homes.limit(SENT_NODES + 1).count() <= SENT_NODES:
+            homes = F.broadcast(homes)
+        own = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit("block")), F.coalesce("parts", F.lit(1))))
+        members = self.scratch.keep(nodes.join(homes, "home", "left").select("node", "root", own.alias("block"), "signature"), "members")
 
         # a bucket's rows outside of its main component, by p, meet all of its rows, by q
         part = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
@@ -390,7 +394,7 @@ class _Search:
         placed = ends.join(sets, "block").repartition(tasks, "i", "j").sortWithinPartitions("i", "j")
         links = placed.select("i", "j", "block", "node", "root", "shingles").mapInArrow(_links_between(self.least_percent), "a long, b long")
         links = self.scratch.keep(links, f"links-{self.n}")
-        self.scratch.drop("open", "members", "meeting", "wanted", "sets")
+        self.scratch.drop("open", "homes", "members", "meeting", "wanted", "sets")
         self.join(links)
 
 
