@@ -171,7 +171,7 @@ def test_matrices(spark):
     assert [tuple(r) for r in matrices.supplement_matrix(growth, table, ["EX_w"]).collect()] == [(1, 1, 1, 0.5), (0, 0, 1, 0.25)]
 
 
-def test_matrices_over_shuffled_rows(spark):
+def test_matrices_over_shuffled_rows(spark, tmp_path):
     mapped = frame(
         spark, MAPPED, ("a", "", "EX_a", 2.0, 0.0, "supplement"), ("bee", "b", "EX_b", 3.0, 0.0, "supplement"), ("salt", "", "EX_m", 6.0, 0.0, "medium"),
     )
@@ -182,7 +182,7 @@ def test_matrices_over_shuffled_rows(spark):
     assert flux.count() == 200_000 and flux.where(wrong).count() == 0
     present = matrices.presence_matrix(growth, mapped)
     assert present.where("EX_a <> cast(mu_max % 4 = 0 as int) or EX_b <> cast(mu_max % 4 < 2 as int) or EX_m <> 1").count() == 0
-    straight = spark.read.schema(GROWTH).csv(spark.conf.get("spark.checkpoint.dir"))
+    straight = spark.read.schema(GROWTH).csv(str(tmp_path))
     for made in (matrices.flux_matrix(straight, mapped), matrices.presence_matrix(straight, mapped), matrices.flux_long(straight, mapped)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
