@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auxograph.llm import chat, decontamination, exact_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_store, toxicity
+from auxograph.llm import chat, conversation_repair, decontamination, exact_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": substring_dedup.query,
         "op9_decontamination": decontamination.query,
         "op10_token_store": token_store.query,
+        "op11_conversation_repair": conversation_repair.query,
     }
 
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dedup": near_dedup.SQL,
         "op8_substring_dedup": substring_dedup.SQL,
         "op9_decontamination": decontamination.SQL,
+        "op11_conversation_repair": conversation_repair.SQL,
     }

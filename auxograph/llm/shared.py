@@ -128,3 +128,17 @@ def prefix_sums(df: DataFrame, group: list[str], part: str, order: list[Column],
         .withColumn(out, (F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
         .drop("_offset")
     )
+
+
+#: SQL of the table that CRC-32 looks bytes up in: a chain of common table expressions, the last of which is ``crc`` (t).
+CRC32_TABLE = (
+    "s0 as (select range as i, range::bigint as c from range(0, 256))"
+    + "".join(f", s{k + 1} as (select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from s{k})" for k in range(8))
+    + ", crc as (select list(c order by i) as t from s8)"
+)
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an expression's UTF-8 bytes, where ``crc`` is joined."""
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {values}), lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295)"
