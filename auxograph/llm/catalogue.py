@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auxograph.llm import chat, conversation_repair, decontamination, exact_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_store, toxicity
+from auxograph.llm import chat, conversation_repair, decontamination, exact_dedup, mixing, near_dedup, quality, quality_rules, sharding, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": decontamination.query,
         "op10_token_store": token_store.query,
         "op11_conversation_repair": conversation_repair.query,
+        "op12_quality_rules": quality_rules.query,
     }
 
 
@@ -39,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": substring_dedup.SQL,
         "op9_decontamination": decontamination.SQL,
         "op11_conversation_repair": conversation_repair.SQL,
+        "op12_quality_rules": quality_rules.SQL,
     }

@@ -25,8 +25,10 @@ _NOT_BLANK = np.ones(256, bool)
 _NOT_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _ALNUM = np.zeros(256, bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x41:0x5B] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
-#: Which bytes belong to a word: all but blanks; or digits, ASCII letters and all beyond ASCII.
-WORD_BYTES = {"not_blank": _NOT_BLANK, "alnum": _ALNUM}
+_LINE = np.ones(256, bool)
+_LINE[0x0A] = False
+#: Which bytes belong to a word: all but blanks; or digits, ASCII letters and all beyond ASCII; or, for lines, all but line feeds.
+WORD_BYTES = {"not_blank": _NOT_BLANK, "alnum": _ALNUM, "line": _LINE}
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
