@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auxograph.llm import chat, conversation_repair, decontamination, exact_dedup, mixing, near_dedup, quality, quality_rules, sharding, substring_dedup, token_store, toxicity
+from auxograph.llm import chat, conversation_repair, decontamination, exact_dedup, mixing, near_dedup, quality, quality_rules, sharding, spelling, substring_dedup, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op10_token_store": token_store.query,
         "op11_conversation_repair": conversation_repair.query,
         "op12_quality_rules": quality_rules.query,
+        "op13_spelling_variants": spelling.query,
     }
 
 
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": decontamination.SQL,
         "op11_conversation_repair": conversation_repair.SQL,
         "op12_quality_rules": quality_rules.SQL,
+        "op13_spelling_variants": spelling.SQL,
     }
