@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auxograph import catalogue_files
 from auxograph.functions import chemistry, growth, time_labels, values
-from auxograph.operators import gompertz, joins, mapping, matrices, plates, series
+from auxograph.operators import gompertz, joins, mapping, matrices, plates, ranking, series
 from auxograph.registered import HOURS, ORACLES, QUERIES, Query, event_series, query, r6, table
 from auxograph.sources.compounds import Compound, CompoundTable
 from auxograph.sources.exchanges import MINIMAL_MEDIUM, supplement_exchanges
@@ -312,6 +312,24 @@ def replicate_stats_custom_rules(spark, sf_dir):
     return _stats(plates.replicates_by_rules(rows, "[A-Za-z]+", rules, 0), "strain")
 
 
+@query(
+    f"""with {_PLATE.replace(" where user_id < {users}", "")}, p as (
+      select * replace (case when content in ('view', 'login') then 'WT' else 'SLAB' end as strain) from plate
+    ), wells as (
+      select *, row_number() over (partition by strain order by case when strain = 'SLAB' then well_row end, well_col, well_row) - 1 as place
+      from (select distinct strain, well, well_row, well_col from p)
+    )
+    select strain, case when strain = 'SLAB' then well_row || '_' || well_col else well_row || '_' || well_col end as group_id, well as wells, well_row as well_rows, well_col::varchar as well_cols,
+      round(avg(od), 6) as od_mean, round(stddev_pop(od), 6) as od_std, count(od) as n_replicates, time_h
+    from p join wells using (strain, well, well_row, well_col) group by strain, well, well_row, well_col, time_h"""
+)
+def replicate_stats_two_strains(spark, sf_dir):
+    """Every well is under two strains, with rules of their own."""
+    rows = plate(spark, sf_dir).withColumn("strain", F.when(F.col("content").isin("view", "login"), "WT").otherwise("SLAB"))
+    rules = {"SLAB": {"direction": "alphabetical", "sample_size": 1}, "WT": {"direction": "numerical", "sample_size": 1}}
+    return _stats(plates.replicates_by_rules(rows, "[A-Za-z]+", rules, 0), "strain")
+
+
 EVENT_TYPES = ["click", "login", "logout", "purchase", "view"]
 
 
@@ -457,7 +475,7 @@ def fuzzy_top1(spark, sf_dir):
 def mapping_audit(spark, sf_dir):
     tokens = mapping.supplement_tokens(table(spark, sf_dir, "part"), "p_name", " ")
     exact = F.col("rank") % 2 == 0
-    rows = joins.ranked(tokens, ["token"]).select(F.when(exact, F.col("token")).otherwise(F.concat("token", F.lit("7"))).alias("supplements"))
+    rows = ranking.ranked(tokens, ["token"]).select(F.when(exact, F.col("token")).otherwise(F.concat("token", F.lit("7"))).alias("supplements"))
     rows = rows.unionByName(spark.createDataFrame([("94",)], "supplements string"))
     exchanges = tokens.select(F.col("token").alias("name"), F.concat(F.lit("EX_"), "token").alias("exchange_reaction"))
     return matrices.mapping_audit(rows, exchanges).select("token", "result", "match", r6("score", "score"), "exchange_reaction")
@@ -678,7 +696,7 @@ def ordered_limit_agg(spark, sf_dir):
     select rank::int as rank, s_name, n_name from s join n using (rank)"""
 )
 def rank_pairing(spark, sf_dir):
-    return joins.paired_by_rank(table(spark, sf_dir, "supplier"), "s_name", table(spark, sf_dir, "nation"), "n_name").select("rank", "s_name", "n_name")
+    return joins.paired_by_rank(table(spark, sf_dir, "supplier"), "s_name", table(spark, sf_dir, "nation"), "n_name").select(F.col("rank").cast("int").alias("rank"), "s_name", "n_name")
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from auxograph.operators import plates, sinks
 from auxograph.plans.yaml_plans import build
 from auxograph.registered import event_series, folder, query, r6, table
-from auxograph.sources import exchanges, plate_export, protocol, sbml, tables
+from auxograph.sources import exchanges, experiments, plate_export, protocol, sbml, tables
 
 HOURS_OF_DAY = range(24)
 
@@ -100,6 +100,66 @@ def parse_plate(spark, sf_dir):
     return done.withColumns({c: F.round(c, 6) for c in ("media_volume_uL", "od")})
 
 
+def experiment_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Plates of 12 users and a protocol for each, with columns of its own; some plates and protocols are broken.
+
+    Plate 5k + 1 lacks its header, the protocol of plate 5k + 2 its wells; protocols of odd plates have their columns turned round.
+    """
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum("value"), 2).alias("v"), F.count("*").alias("c"))
+    rows = users.select(F.floor(F.col("user_id") / 12).cast("int").alias("plate"), (10 + F.col("user_id")).alias("n"), (F.col("user_id") % 12 + 1).alias("k"), "v", "c")
+    raw = rows.select("plate", "n", _cells(F.lit("A"), F.col("k"), F.lit("X"), F.col("v"), F.col("c")).alias("line"))
+    # fixed values: the header of an export, titles and columns of protocols
+    head = F.when(F.col("plate") % 5 == 1, "nothing").otherwise("Well Row,Well Col,Content,Raw Data (600),Raw Data (600)")
+    title = F.lit("=== Experiment Data ===")
+    columns = F.when(F.col("plate") % 5 == 2, "Strain,Total Volume (µL)").when(F.col("plate") % 2 == 1, "Total Volume (µL),Note,Strain,Well").otherwise("Well,Strain")
+    strain = F.concat(F.lit("S"), (F.col("plate") % 7).cast("string"), F.lit("x"), F.col("k").cast("string"))
+    well = F.concat(F.lit("A"), F.col("k").cast("string"))
+    said = F.when(F.col("plate") % 2 == 1, _cells(F.col("k"), F.lit("note"), strain, well)).otherwise(_cells(well, strain))
+    body = rows.where("k <> 12").select("plate", "n", said.alias("line"))
+
+    def written(lines: list, body: DataFrame, label: str) -> str:
+        heads = F.array(*[F.struct(F.lit(i).cast("long").alias("n"), x.alias("line")) for i, x in enumerate(lines)])
+        return _write_lines(rows.select("plate").distinct().select("plate", F.inline(heads)).unionByName(body), folder(spark, label), "plate")
+
+    return written([head, F.lit(",,Time,0 h 0 min,1 h 30 min")], raw, "raws"), written([title, columns], body, "protocols")
+
+
+_EXPERIMENTS = """u as (
+  select user_id, (user_id // 12)::int as plate, (user_id % 12 + 1)::int as k, round(sum(value), 2) as v, count(*) as c from events group by 1
+)"""
+
+
+def _experiments(spark: SparkSession, sf_dir: str) -> experiments.Experiments:
+    raw, protocols = experiment_files(spark, sf_dir)
+    number = lambda root: spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", "plate=([0-9]+)/", 1).alias("experiment"), "path")
+    pairs = number(raw).withColumnRenamed("path", "raw_file").join(number(protocols).withColumnRenamed("path", "protocol_file"), "experiment")
+    missing = spark.createDataFrame([("none", "no/such.csv", "neither.csv")], experiments.PAIRS)
+    return experiments.read_experiments(spark, raw, protocols, pairs.select(missing.columns).unionByName(missing))
+
+
+@query(
+    f"""with {_EXPERIMENTS} select plate::varchar as experiment, 'A' || k as well, case when k < 12 then 'S' || (plate % 7) || 'x' || k end as strain,
+      case when k < 12 and plate % 2 = 1 then k::double end as "total_volume_uL", t as time_h, case when t = 0 then round(v, 6) else c::double end as od
+    from u, unnest([0.0::double, 1.5::double]) as x(t) where plate % 5 not in (1, 2)"""
+)
+def parse_experiments(spark, sf_dir):
+    """Many plates in one job, each with the protocol of its own; broken ones are left out."""
+    done = _experiments(spark, sf_dir).parsed
+    return done.select("experiment", "well", "strain", "total_volume_uL", "time_h", r6("od", "od"))
+
+
+@query(
+    f"""with {_EXPERIMENTS}, p as (select distinct plate from u)
+    select plate::varchar as experiment, 'raws' as kind, 'no line starts with ' || chr(39) || 'Well Row,Well Col,Content,Raw Data' || chr(39) as error from p where plate % 5 = 1
+    union all select plate::varchar, 'protocols', 'the section "Experiment Data" has no column "Well"' from p where plate % 5 = 2
+    union all select 'none', '', 'no such file' union all select 'none', '', 'no such file'"""
+)
+def experiment_errors(spark, sf_dir):
+    """What is wrong with the others."""
+    errors = _experiments(spark, sf_dir).errors
+    return errors.select("experiment", F.regexp_extract("file", "/(raws|protocols)-", 1).alias("kind"), "error")
+
+
 def model_file(spark: SparkSession, sf_dir: str) -> str:
     """Parts as reactions of a model: every third exchanges nothing; bounds by name, by the law's own parameters, or none."""
     k = F.col("p_partkey")

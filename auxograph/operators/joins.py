@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auxograph.functions.values import require
-
-#: Rows that may be numbered in one order by one task.
-MOST_RANKED = 1_000_000
-
+from auxograph.operators.ranking import ranked
 
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """A join in which a key may come once on the right; a key that comes twice is an error."""
@@ -61,14 +58,6 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return top_by(df, keys, order, 1, "_n").drop("_n")
 
 
-def ranked(df: DataFrame, order: Sequence[str], rank: str = "rank", most: int = MOST_RANKED) -> DataFrame:
-    """All rows numbered from 1 in one order: lists of wells and files, by one task after a check of their number."""
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} rows to be ranked in one order")
-    return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
-
-
 def last_wins(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """(key, value) with the last row's value of each key."""
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
@@ -89,10 +78,7 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def paired_by_rank(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """Pair the n-th of one side with the n-th of the other; what is left over is dropped.
-
-    Ranks take one order over each side: meant for lists of files and the like.
-    """
+    """Pair the n-th of one side with the n-th of the other; what is left over is dropped."""
     return ranked(left.select(left_key), [left_key]).join(ranked(right.select(right_key), [right_key]), "rank")
 
 

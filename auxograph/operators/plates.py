@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from auxograph.functions.values import first_non_null, joined_distinct, known, require
-from auxograph.operators.joins import many_to_one, missing_keys, ranked, top_by
+from auxograph.functions.values import first_non_null, joined_distinct, known, require, without_null_keys
+from auxograph.operators.joins import many_to_one, missing_keys, top_by
+from auxograph.operators.ranking import ranked
 from auxograph.operators.series import TIME_COLUMNS
 from auxograph.sources.plate_export import read_plate
 from auxograph.sources.protocol import read_protocol
@@ -102,7 +102,7 @@ def _group_id(alphabetical: Column) -> Column:
 def _grouped(df: DataFrame, wells: DataFrame, value: str, ddof: int, lead: Sequence[str]) -> DataFrame:
     """Statistics of ``df`` by the groups that ``wells`` (well, lead, _number, _alpha, _wells) defines."""
     times = known(df, TIME_COLUMNS)
-    rows = df.join(wells, "well")
+    rows = df.join(wells, ["well", *lead])
     for t in times:
         rows = rows.where(F.col(t).isNotNull())
     order = F.struct("well_row", "well_col")
@@ -120,24 +120,27 @@ def _grouped(df: DataFrame, wells: DataFrame, value: str, ddof: int, lead: Seque
     return named.select(*lead, "group_id", "wells", "well_rows", "well_cols", f"{value}_mean", f"{value}_std", "n_replicates", *times, *metadata)
 
 
-def replicates_by_well(df: DataFrame, direction: str = "alphabetical", sample_size: int = 3, ddof: int = 1, value: str = "od") -> DataFrame:
+def replicates_by_well(
+    df: DataFrame, direction: str = "alphabetical", sample_size: int = 3, ddof: int = 1, value: str = "od", by: Sequence[str] = ()
+) -> DataFrame:
     """Statistics of groups of ``sample_size`` neighbouring wells at each time.
 
-    Alphabetical: neighbours along a row, numerical: down a column. The wells (a plate has at most
-    1536) are ranked in one order after a check of their number; the readings are grouped in one aggregate.
+    Alphabetical: neighbours along a row, numerical: down a column. Wells are numbered by ``ranked``, so
+    there may be any number of them; with ``by`` (an experiment, say) they are numbered within each
+    of its groups, all of which must be divisible. The readings are grouped in one aggregate.
     """
-    require(df, ["well", "well_row", "well_col", value], "replicates_by_well")
+    require(df, ["well", "well_row", "well_col", value, *by], "replicates_by_well")
     if sample_size < 1:
         raise ValueError("sample_size must be at least 1")
     alphabetical = _is_alphabetical(direction)
-    wells = df.select("well", "well_row", "well_col").distinct()
-    n = wells.count()
-    if n % sample_size:
-        raise ValueError(f"{n} wells can't be divided into groups of {sample_size}")
-    order = ["well_row", "well_col"] if alphabetical else ["well_col", "well_row"]
-    placed = ranked(wells, order).withColumn("_place", F.col("rank") - 1)
+    wells = without_null_keys(df.select(*by, "well", "well_row", "well_col"), by).distinct()
+    placed = ranked(wells, ["well_row", "well_col"] if alphabetical else ["well_col", "well_row"], "_place", by)
+    for r in placed.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") % sample_size > 0).limit(5).collect():
+        group = "".join(f" of {r[c]}" for c in by)
+        raise ValueError(f"{r['n']} wells{group} can't be divided into groups of {sample_size}")
+    placed = placed.withColumn("_place", F.col("_place") - 1)
     numbered = placed.withColumn("_number", F.floor(F.col("_place") / sample_size)).withColumn("_alpha", F.lit(alphabetical))
-    return _grouped(df, _with_members(numbered, []), value, ddof, [])
+    return _grouped(df, _with_members(numbered, list(by)), value, ddof, list(by))
 
 
 def _with_members(numbered: DataFrame, lead: list[str]) -> DataFrame:
@@ -177,12 +180,11 @@ def replicates_by_rules(
     uneven = wells.groupBy("strain_group", "_size").count().where("count % _size <> 0").collect()
     if uneven:
         raise ValueError("; ".join(f"{r['strain_group']}: {r['count']} wells can't be divided into groups of {r['_size']}" for r in uneven))
-    across = F.row_number().over(Window.partitionBy("strain_group").orderBy("well_row", "well_col"))
-    down = F.row_number().over(Window.partitionBy("strain_group").orderBy("well_col", "well_row"))
-    place = F.when(F.col("_alpha"), across).otherwise(down) - 1
-    numbered = wells.withColumn("_place", place).withColumn("_number", F.floor(F.col("_place") / F.col("_size")))
-    # the group takes the place of the strain
-    readings = rows.join(numbered.select("well", "strain_group").distinct(), ["well", "strain_group"], "left_semi")
-    readings = readings.drop("strain").withColumnRenamed("strain_group", "strain")
-    members = _with_members(numbered, ["strain_group"]).drop("strain_group")
+    # a strain group has one direction: rows first where it is alphabetical, else columns
+    order = [F.when(F.col("_alpha"), F.col("well_row")), F.col("well_col"), F.col("well_row")]
+    placed = ranked(wells, order, "_place", ["strain_group"]).withColumn("_place", F.col("_place") - 1)
+    numbered = placed.withColumn("_number", F.floor(F.col("_place") / F.col("_size")))
+    # the group takes the place of the strain; a well of several strains is in a group of each
+    readings = rows.drop("strain").withColumnRenamed("strain_group", "strain")
+    members = _with_members(numbered, ["strain_group"]).withColumnRenamed("strain_group", "strain")
     return _grouped(readings, members, value, ddof, ["strain"])

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from auxograph.operators import gompertz, joins, mapping, matrices, plates, series, sinks
-from auxograph.sources import plate_export, protocol, sbml, tables
+from auxograph.sources import experiments, plate_export, protocol, sbml, tables
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,7 @@ def _collate(spark, folders_list, csv_input_file_name, strain_col="strain", crea
 SOURCES: dict[str, Operator] = {
     "parse_raw_CLARIOstar_export": Operator(plate_export.read_plate, True, _names(value_column_name="value")),
     "parse_protocol_metadata": Operator(protocol.read_protocol, True),
+    "parse_experiments": Operator(experiments.parsed_experiments, True, _names(value_column_name="value")),
     "read_csv": Operator(tables.read_csv, True),
     "list_folders": Operator(tables.list_folders),
     "load_file_mapping": Operator(tables.load_mapping),

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auxograph.functions import values
+from auxograph.functions.stored import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+__all__ = ["HOURS", "ORACLES", "QUERIES", "Query", "event_series", "folder", "query", "r6", "table"]
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,17 +36,6 @@ def r6(c: str | object, name: str):
     return F.round(values.col(c), 6).alias(name)
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of the session; a local one only where none is set and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="auxograph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # Series of events
 
 HOURS = "(unix_micros(cast(ts as timestamp)) - unix_micros(timestamp'2024-01-01 00:00:00')) / 3.6e9"

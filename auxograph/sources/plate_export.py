@@ -31,6 +31,14 @@ def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return _whole_files(spark, path).select("source_file", F.posexplode(F.split("value", LINE_ENDS)).alias("line_no", "line"))
 
 
+def split_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(source_file, _lines, _header): the lines of each file that aren't blank, and the place of the header, null if there is none."""
+    lines = F.filter(F.split("value", LINE_ENDS), lambda x: F.trim(x) != "")
+    files = _whole_files(spark, path).select("source_file", lines.alias("_lines"))
+    header = F.array_position(F.transform("_lines", lambda x: F.startswith(F.trim(x), F.lit(HEADER))), True).cast("int")
+    return files.withColumn("_header", F.when(header > 0, header))
+
+
 def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od") -> DataFrame:
     """Tidy readings: well_row, well_col, content, time_label, value, well, the time columns, source_file.
 
@@ -39,16 +47,18 @@ def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od"
     has null times. A file without the header is an error. A file is taken apart within its own row,
     so any number of files is read without a join or a shuffle.
     """
-    lines = F.filter(F.split("value", LINE_ENDS), lambda x: F.trim(x) != "")
-    files = _whole_files(spark, path).select("source_file", lines.alias("_lines"))
-    header = F.array_position(F.transform("_lines", lambda x: F.startswith(F.trim(x), F.lit(HEADER))), True).cast("int")
     missing = F.raise_error(F.concat(F.lit(f"no line starts with '{HEADER}' in "), F.col("source_file"))).cast("int")
+    return readings_of(split_files(spark, path).withColumn("_header", F.coalesce("_header", missing)), value)
+
+
+def readings_of(files: DataFrame, value: str) -> DataFrame:
+    """The readings of files that are split at their lines, each within its own row."""
     cells = lambda line: F.transform(F.split(line, ","), lambda c: strip(c))
     # a slice that begins after the end is empty
     rest = lambda array, begin: F.slice(array, begin, F.greatest(F.size(array), F.lit(1)))
     label = lambda c: (c != "") & (F.lower(c) != "time")
     first = F.coalesce(cells(F.get("_lines", F.col("_header"))), F.array().cast("array<string>"))
-    found = files.withColumn("_header", F.when(header > 0, header).otherwise(missing)).select(
+    found = files.select(
         "source_file", rest(F.col("_lines"), F.col("_header") + 2).alias("_lines"), F.filter(rest(first, F.lit(4)), label).alias("_labels")
     )
     wells = found.select("source_file", "_labels", F.explode(F.transform("_lines", cells)).alias("cells"))

@@ -2,7 +2,7 @@ import os
 
 import pytest
 from auxograph.functions import chemistry
-from auxograph.operators import joins, mapping, matrices, plates, sinks
+from auxograph.operators import joins, mapping, matrices, plates, ranking, sinks
 from auxograph.sources.compounds import Compound, CompoundTable
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -62,6 +62,43 @@ def test_replicates_by_rules(spark):
         plates.replicates_by_rules(df, "[A-Za-z]+", {"S": {"sample_size": 2}})
 
 
+def test_a_well_of_two_strains(spark):
+    """Readings of a well meet the groups of their own strain only."""
+    rows = [("A", c, f"A{c}", 0.0, od, s) for c in (1, 2) for s, od in (("S1", 1.0 + c), ("WT", 11.0 * c))]
+    df = frame(spark, "well_row string, well_col int, well string, time_h double, od double, strain string", *rows)
+    rules = {"S": {"sample_size": 2}, "WT": {"direction": "numerical", "sample_size": 1}}
+    got = {(r.strain, r.group_id): (r.od_mean, r.n_replicates) for r in plates.replicates_by_rules(df, "[A-Za-z]+", rules, 0).collect()}
+    assert got == {("S", "A_1-2"): (2.5, 2), ("WT", "A_1"): (11.0, 1), ("WT", "A_2"): (22.0, 1)}
+
+
+def test_ranked(spark):
+    """Numbers over many ranges, one hot group, null groups, ties and clashing names; no window over all rows."""
+    n = 200_000
+    df = spark.range(n).selectExpr("case when id % 3 = 0 then null when id % 97 = 1 then id % 5 else 7 end as g", "pmod(hash(id), 50000) as v", "id as row", "'x' as place", "'y' as start")
+    got = ranking.ranked(df, ["v"], ranges=64)
+    assert "SinglePartition" not in got._jdf.queryExecution().toString() and got.columns == [*df.columns, "rank"]
+    assert [r.rank for r in got.orderBy("rank").select("rank").collect()] == list(range(1, n + 1))
+    assert got.selectExpr("lag(v) over (order by rank) > v as bad").where("bad").count() == 0
+    by = ranking.ranked(df, [df.v.desc()], by=["g"], ranges=64)
+    want = df.selectExpr("*", "count(*) over (partition by g) as n")
+    bad = by.join(want.select("row", "n"), "row").groupBy("g").agg({"rank": "max", "n": "max", "*": "count"}).toDF("g", "x", "y", "z").where("x <> y or x <> z").count()
+    assert bad == 0 and by.selectExpr("lag(v) over (partition by g order by rank) < v as bad").where("bad").count() == 0
+    assert ranking.ranked(df.limit(0), ["v"], by=["g"]).count() == 0
+
+
+def test_replicates_of_many_wells(spark):
+    """Wells of any number are grouped without a task for all of them; groups of ``by`` are numbered apart."""
+    df = spark.range(60_000).selectExpr("chr(65 + id % 8) as well_row", "cast(id div 8 as int) as well_col", "concat(chr(65 + id % 8), id div 8) as well", "0.0D as time_h", "cast(id as double) as od", "id % 2 as plate")
+    got = plates.replicates_by_well(df, "numerical", 4, 1)
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert got.count() == 15_000 and got.where("n_replicates <> 4 or length(wells) < 11").count() == 0
+    small = df.where("well_col < 3").unionByName(df.where("well_col < 3").withColumn("plate", df.plate + 2))
+    by = {(r.plate, r.group_id): r.wells for r in plates.replicates_by_well(small, "alpha", 3, by=["plate"]).collect()}
+    assert by[0, "A_0-2"] == by[2, "A_0-2"] == "A0,A1,A2" and len(by) == 16
+    with pytest.raises(ValueError, match="12 wells of [0-3] can't"):
+        plates.replicates_by_well(small, "alpha", 5, by=["plate"])
+
+
 def test_ddof(spark):
     df = frame(spark, "v double", (1.0,), (2.0,), (4.0,), (None,))
     got = df.agg(*[plates.standard_deviation("v", k).alias(f"d{k}") for k in range(4)]).first()
@@ -201,8 +238,6 @@ def test_names_and_ranks(spark):
     got = {r.g: r.names.split(";") for r in plates.first_names(df, "name", ["g"], 3).collect()}
     assert got == {0: ["n000", "n002", "n004"], 1: ["n001", "n003", "n005"]}
     assert len(plates.first_names(df, "name").first().names.split(";")) == 96
-    with pytest.raises(ValueError, match="more than 10 rows"):
-        joins.ranked(df, ["name"], most=10)
     assert joins.smart_join(df, df, ["name"], differing=["g"]).columns == ["name", "g", "g_right"]
 
 

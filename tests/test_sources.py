@@ -1,8 +1,8 @@
 import pytest
 from auxograph.functions.time_labels import with_time
 from auxograph.functions.values import number
-from auxograph.operators.plates import parse, report
-from auxograph.sources import exchanges, sbml, tables
+from auxograph.operators.plates import parse, replicates_by_well, report
+from auxograph.sources import exchanges, experiments, sbml, tables
 from auxograph.sources.plate_export import in_plate_order, read_plate
 from auxograph.sources.protocol import read_protocol
 from pyspark.errors import PySparkException
@@ -162,3 +162,32 @@ def test_infinite_bounds_and_long_plates(spark, tmp_path):
 def test_static_table(spark, tmp_path):
     (tmp_path / "n.csv").write_text("name,iupac,exchange\nwater,oxidane,EX_h2o_e\nair,,EX_o2_e\n")
     assert [tuple(r) for r in exchanges.read_name_exchanges(spark, str(tmp_path / "n.csv")).collect()] == [("water", "oxidane", "EX_h2o_e"), ("air", None, "EX_o2_e")]
+
+
+def test_experiments(spark, tmp_path):
+    """Plates with protocols of differing columns in one job; broken files are told, and stop nothing."""
+    plate = lambda *v: "x\nWell Row,Well Col,Content,Raw Data\n,,Time,0 h\n" + "\n".join(f"A,{i + 1},c,{x}" for i, x in enumerate(v))
+    files = {
+        "raw_1.csv": plate(1.0, 2.0), "raw_2.csv": plate(3.0), "raw_3.csv": "no header", "raw_4.csv": plate(4.0), "raw_5.csv": plate(5.0),
+        "protocol_1.csv": "=== Experiment Data ===\nWell,Strain\nA1,one\nA1,two", "protocol_2.csv": '=== Experiment Data ===\nNote,Total Volume (µL), Well \n"a, b",7,A1',
+        "protocol_3.csv": "=== Experiment Data ===\nWell\nA1", "protocol_4.csv": "=== Other ===\nWell\nA1", "protocol_5.csv": "=== Experiment Data ===\nStrain\nx", "unrelated.csv": "x",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    pairs = experiments.pairs_by_rank(spark, str(tmp_path), "raw*.csv", "protocol*.csv")
+    assert [(r.experiment, r.protocol_file[-5:]) for r in pairs.orderBy("experiment").collect()] == [(f"raw_{i}", f"{i}.csv") for i in range(1, 6)]
+    named = [("shared", "raw_1.csv", "protocol_2.csv"), ("twice", "raw_1.csv", "protocol_1.csv"), ("twice", "raw_2.csv", "protocol_1.csv")]
+    more = experiments.pairs_of(spark, {"raw_9.csv": "protocol_1.csv"}).unionByName(spark.createDataFrame(named, experiments.PAIRS))
+    found = experiments.read_experiments(spark, f"{tmp_path}/raw*", f"{tmp_path}/protocol*", pairs.unionByName(more))
+    got = {(r.experiment, r.well): (r.od, r.strain, r.total_volume_uL, r.is_blank) for r in found.parsed.collect()}
+    assert got == {
+        ("raw_1", "A1"): (1.0, "one", None, False), ("raw_1", "A2"): (2.0, None, None, None), ("raw_2", "A1"): (3.0, None, 7.0, None),
+        ("shared", "A1"): (1.0, None, 7.0, None), ("shared", "A2"): (2.0, None, None, None),
+    }
+    wrong = {r.experiment: r.error for r in found.errors.collect()}
+    assert set(wrong) == {"raw_3", "raw_4", "raw_5", "raw_9", "twice"} and wrong["raw_9"] == "no such file" and "no section" in wrong["raw_4"]
+    # what comes after takes the experiment as a key
+    assert replicates_by_well(found.parsed, sample_size=1, by=["experiment"]).count() == 5
+    with pytest.raises(ValueError, match="raw_3"):
+        experiments.parsed_experiments(spark, str(tmp_path), "raw*.csv", "protocol*.csv")
+    assert experiments.parsed_experiments(spark, str(tmp_path), "raw_[12].csv", "protocol_[12].csv").count() == 3
