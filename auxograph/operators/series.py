@@ -2,6 +2,10 @@
 
 A series is the rows that share the group columns, ordered by time and a tie-break. All operators
 window over the same partitioning and order, so a chain of them has one exchange and one sort.
+
+A window sends a series to one task. Where a series may be too long for that, ``block_rows`` cuts
+series into blocks of so many rows, which has the same results (see ``blocks``): the series is
+numbered and written once per operator, and any number of tasks share it.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql.window import Window
 
 from auxograph.functions.growth import FLAT_RANGE
 from auxograph.functions.values import finite, is_finite, require, without_null_keys
+from auxograph.operators.blocks import BLOCK, OWN, PLACE, in_blocks, own_rows, running_count
 
 TIME_COLUMNS = ("time_label", "time_h", "time_min", "time_h_int", "time_min_int")
 SHORT_OR_FLAT = "insufficient or flat data"
@@ -32,6 +37,7 @@ def log_ratio(
     window: int = 1,
     baseline: str = "n0",
     ties: Sequence[str] = (),
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add the baseline, the mean of a series' first ``window`` finite values, and ln(value / baseline).
 
@@ -39,13 +45,18 @@ def log_ratio(
     """
     require(df, [value, time, *keys], "log_ratio")
     rows = without_null_keys(df, keys)
+    logarithm = F.when((F.col(baseline) > 0) & (finite(value) > 0), F.ln(F.col(value) / F.col(baseline)))
+    if block_rows:
+        counted = running_count(in_blocks(rows, keys, [time, *ties], block_rows), keys, is_finite(value), "_nth")
+        early = counted.where(is_finite(value) & (F.col("_nth") <= window)).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(baseline))
+        return own_rows(counted.drop("_nth")).join(early, list(keys), "left").withColumn(out, logarithm).select(*rows.columns, baseline, out)
     w = ordered(keys, time, ties)
     nth = F.sum(is_finite(value).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     early = F.when(is_finite(value) & (F.col("_nth") <= window), F.col(value).cast("double"))
     return (
         rows.withColumn("_nth", nth)
         .withColumn(baseline, F.avg(early).over(Window.partitionBy(*keys)))
-        .withColumn(out, F.when((F.col(baseline) > 0) & (finite(value) > 0), F.ln(F.col(value) / F.col(baseline))))
+        .withColumn(out, logarithm)
         .drop("_nth")
     )
 
@@ -59,11 +70,15 @@ def trimmed_mean(value: str, w: WindowSpec, half: int, n: Column) -> Column:
 
 
 def smoothed(
-    df: DataFrame, value: str, keys: Sequence[str], time: str, out: str, half: int = 2, times: int = 1, ties: Sequence[str] = ()
+    df: DataFrame, value: str, keys: Sequence[str], time: str, out: str, half: int = 2, times: int = 1, ties: Sequence[str] = (), block_rows: int | None = None
 ) -> DataFrame:
     """Apply the trimmed moving average ``times`` times; series shorter than a frame stay as they are."""
     if half < 1:
         raise ValueError("the half window must be at least 1")
+    if block_rows:
+        # a block's outermost rows stay as series' ends do; each pass carries that inwards by half a window
+        rows = in_blocks(df, keys, [time, *ties], block_rows, half * times, half * times)
+        return own_rows(smoothed(rows, value, [*keys, BLOCK], time, out, half, times, [*ties, PLACE]))
     w = ordered(keys, time, ties)
     done = df.withColumn(out, F.col(value).cast("double")).withColumn("_size", F.count("*").over(Window.partitionBy(*keys)))
     for _ in range(times):
@@ -71,8 +86,11 @@ def smoothed(
     return done.drop("_size")
 
 
-def moving_slope(df: DataFrame, value: str, keys: Sequence[str], time: str, window: int = 5, ties: Sequence[str] = ()) -> DataFrame:
+def moving_slope(df: DataFrame, value: str, keys: Sequence[str], time: str, window: int = 5, ties: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """Add the least-squares slope, r2 and rmse of the ``window`` rows from each row on; null near the end."""
+    if block_rows:
+        rows = in_blocks(df, keys, [time, *ties], block_rows, 0, window - 1)
+        return own_rows(moving_slope(rows, value, [*keys, BLOCK], time, window, [*ties, PLACE]))
     w = ordered(keys, time, ties).rowsBetween(0, window - 1)
     over = lambda f: f(F.col(value), F.col(time)).over(w)
     whole = F.count(F.when(F.col(value).isNotNull() & F.col(time).isNotNull(), 1)).over(w) == window
@@ -90,8 +108,10 @@ def moving_slope(df: DataFrame, value: str, keys: Sequence[str], time: str, wind
     ).drop("_whole", "_sxx", "_sxy", "_syy")
 
 
-def differences(df: DataFrame, value: str, keys: Sequence[str], time: str, out: str = "difference", ties: Sequence[str] = ()) -> DataFrame:
+def differences(df: DataFrame, value: str, keys: Sequence[str], time: str, out: str = "difference", ties: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """Add the slope from each row to the next of its series; null where no time passes."""
+    if block_rows:
+        return own_rows(differences(in_blocks(df, keys, [time, *ties], block_rows, 0, 1), value, [*keys, BLOCK], time, out, [*ties, PLACE]))
     w = ordered(keys, time, ties)
     step = F.lead(time).over(w) - F.col(time)
     return df.withColumn(out, F.try_divide(F.lead(value).over(w) - F.col(value), F.nullif(step, F.lit(0.0))))
@@ -126,6 +146,7 @@ def max_growth_rate(
     baseline: str = "n0",
     metadata: Sequence[str] | None = None,
     ties: Sequence[str] = (),
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Per series: the steepest moving regression of the smoothed values, and their maximum.
 
@@ -141,8 +162,14 @@ def max_growth_rate(
     usable = rows.where(is_finite(value) & is_finite(time))
     if log_transformed or baseline in df.columns:
         usable = usable.where(is_finite(baseline))
-    usable = smoothed(usable, value, keys, time, "_y", half, smoothing, ties) if smoothing else usable.withColumn("_y", F.col(value).cast("double"))
-    sloped = moving_slope(usable, "_y", keys, time, window, ties)
+    parts, breaks = list(keys), list(ties)
+    if block_rows:
+        halo = half * smoothing
+        usable, parts, breaks = in_blocks(usable, keys, [time, *ties], block_rows, halo, halo + window - 1), [*keys, BLOCK], [*ties, PLACE]
+    usable = smoothed(usable, value, parts, time, "_y", half, smoothing, breaks) if smoothing else usable.withColumn("_y", F.col(value).cast("double"))
+    sloped = moving_slope(usable, "_y", parts, time, window, breaks)
+    if block_rows:
+        sloped = sloped.where(OWN)
     original = F.exp("_y") * F.col(baseline) if log_transformed else F.col("_y")
     sloped = sloped.withColumn("_level", original)
     early = F.struct(F.col(time), *[F.col(t) for t in ties])

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from auxograph.operators import gompertz, series
+from auxograph.operators import blocks, gompertz, series
 from auxograph.operators.gompertz import curve
 from pyspark.sql import functions as F
 
@@ -167,3 +167,54 @@ def test_quality_and_guesses(spark, readings):
     a1 = gompertz.initial_guesses(log).where("well = 'A1'").first()
     y = log.where("well = 'A1' and log_od_od0 is not null").toPandas().log_od_od0
     assert a1.usable and a1.y0_start == pytest.approx(max(0, np.percentile(y, 5))) and a1.A_start == pytest.approx(np.percentile(y, 95) - np.percentile(y, 5))
+
+
+def long_series(spark, n):
+    """One series of n rows, a short one, one of a single row, and repeated times, nulls and NaN."""
+    rows = spark.range(n).selectExpr("case when id % 50 = 49 then id % 7 else -1 end as g", "id", "pmod(hash(id), 100000) / 64.0D as t", "1 + abs(sin(id / 300.0D)) + (id % 13) / 10.0D as v")
+    odd = spark.createDataFrame([(9, -1, 1.0, 3.0), (-1, -2, -1.0, None), (-1, -3, -2.0, float("nan"))], rows.schema)
+    return rows.unionByName(odd)
+
+
+def test_blocks_of_a_hot_series(spark):
+    """Windows by blocks have the results of windows over whole series, on all operators."""
+    df = long_series(spark, 4_000)
+    args = {"keys": ["g"], "time": "t", "ties": ["id"]}
+    logs = series.log_ratio(df, "v", "y", window=4, **args)
+    pairs = [
+        (logs, series.log_ratio(df, "v", "y", window=4, block_rows=64, **args)),
+        (series.moving_slope(df, "v", window=5, **args), series.moving_slope(df, "v", window=5, block_rows=50, **args)),
+        (series.smoothed(df.where("v is not null and not isnan(v)"), "v", out="s", times=3, **args), series.smoothed(df.where("v is not null and not isnan(v)"), "v", out="s", times=3, block_rows=40, **args)),
+        (series.differences(df, "v", **args), series.differences(df, "v", block_rows=33, **args)),
+        (series.max_growth_rate(logs, value="y", smoothing=2, metadata=["id"], **args), series.max_growth_rate(logs, value="y", smoothing=2, metadata=["id"], block_rows=37, **args)),
+    ]
+    for plain, blocked in pairs:
+        assert blocked.columns == plain.columns
+        key = ["g", "id"]
+        rounded = lambda f: [tuple(round(x, 9) if isinstance(x, float) and x == x else str(x) for x in r) for r in f.orderBy(*key).collect()]
+        assert rounded(blocked) == rounded(plain)
+    with pytest.raises(ValueError, match="smaller than their halo"):
+        series.moving_slope(df, "v", window=20, block_rows=10, **args)
+
+
+def test_a_hot_series_is_spread(spark):
+    """No task sees much more than its blocks of a series that holds nearly all rows."""
+    from pyspark.sql import functions as F
+
+    df = long_series(spark, 40_000)
+    done = blocks.in_blocks(df, ["g"], ["t", "id"], 1_000, 5, 5)
+    sizes = done.groupBy("g", blocks.BLOCK).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 1_010 and sizes[1] > 40
+    assert done.where(blocks.OWN).count() == df.count()
+    plan = series.moving_slope(df, "v", ["g"], "t", 5, ["id"], block_rows=1_000)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "_block" in plan
+
+
+def test_carried_forward(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    df = long_series(spark, 3_000).withColumn("title", F.when(F.col("id") % 211 == 3, F.concat(F.lit("T"), "id")))
+    got = blocks.carried_forward(df, "title", ["g"], ["t", "id"], "said", 25)
+    want = df.withColumn("said", F.last("title", ignorenulls=True).over(Window.partitionBy("g").orderBy("t", "id")))
+    assert got.select("id", "said").exceptAll(want.select("id", "said")).count() == 0 == want.select("id", "said").exceptAll(got.select("id", "said")).count()
