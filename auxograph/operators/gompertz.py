@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auxograph.functions.growth import FLAT_RANGE, gompertz
+from auxograph.functions.stored import stored
 from auxograph.functions.values import is_finite, require, without_null_keys
 from auxograph.operators.series import SHORT_OR_FLAT, TIME_COLUMNS, first_row
 
@@ -108,6 +109,20 @@ def guesses(t: np.ndarray, y: np.ndarray, here: np.ndarray) -> tuple[np.ndarray,
     return np.clip(start, lower, upper), lower, upper
 
 
+def damped_step(p: np.ndarray, gradient: np.ndarray, normal: np.ndarray, damping: np.ndarray, free: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which parameters of each series take part in a Levenberg-Marquardt step, and where the step leads, within the bounds.
+
+    A parameter that is fixed, or at a bound that it would leave, rests for this step.
+    """
+    part, diagonal = normal.copy(), np.arange(4)
+    inside = free & ~((p <= lower) & (gradient < 0)) & ~((p >= upper) & (gradient > 0))
+    part[~(inside[:, :, None] & inside[:, None, :])] = 0.0
+    scale = np.maximum(normal[:, diagonal, diagonal], 1e-12)
+    part[:, diagonal, diagonal] = np.where(inside, part[:, diagonal, diagonal] + damping[:, None] * scale, 1.0)
+    step = np.linalg.solve(part, np.where(inside, gradient, 0.0)[:, :, None])[:, :, 0]
+    return inside, np.where(free, np.clip(p + step, lower, upper), p)
+
+
 def bounded_fit(curves: Curves, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, free: np.ndarray, evaluations: int = MOST_EVALUATIONS) -> np.ndarray:
     """Levenberg-Marquardt steps on the free parameters of each series, projected to its bounds.
 
@@ -119,7 +134,6 @@ def bounded_fit(curves: Curves, start: np.ndarray, lower: np.ndarray, upper: np.
     damping, used = np.full(len(p), 1e-2), np.zeros(len(p), np.int64)
     normal, gradient = np.zeros((len(p), 4, 4)), np.zeros((len(p), 4))
     stale, active = np.ones(len(p), bool), np.isfinite(cost)
-    diagonal = np.arange(4)
     while active.any():
         fresh = np.flatnonzero(active & stale)
         if len(fresh):
@@ -129,14 +143,7 @@ def bounded_fit(curves: Curves, start: np.ndarray, lower: np.ndarray, upper: np.
             used[fresh] += 1
             stale[fresh] = False
         at = np.flatnonzero(active)
-        g, part = gradient[at], normal[at].copy()
-        # a parameter that is fixed, or at a bound that it would leave, rests for this step
-        inside = free & ~((p[at] <= lower[at]) & (g < 0)) & ~((p[at] >= upper[at]) & (g > 0))
-        part[~(inside[:, :, None] & inside[:, None, :])] = 0.0
-        scale = np.maximum(normal[at][:, diagonal, diagonal], 1e-12)
-        part[:, diagonal, diagonal] = np.where(inside, part[:, diagonal, diagonal] + damping[at][:, None] * scale, 1.0)
-        step = np.linalg.solve(part, np.where(inside, g, 0.0)[:, :, None])[:, :, 0]
-        trial = np.where(free, np.clip(p[at] + step, lower[at], upper[at]), p[at])
+        inside, trial = damped_step(p[at], gradient[at], normal[at], damping[at], free, lower[at], upper[at])
         left = curves.take(at).residual(trial)
         tried = (left**2).sum(1)
         used[at] += 1
@@ -270,12 +277,15 @@ def fit_gompertz(
     baseline: str = "n0",
     metadata: Sequence[str] | None = None,
     ties: Sequence[str] = (),
+    most_points: int | None = None,
 ) -> DataFrame:
     """Per series: the parameters y0, A, mu_max, lambda of the least-squares curve within bounds.
 
     Parameters in ``fixed`` keep the given values. A series with too few points, in a range that is
     flat, or whose fit fails has ``success`` false and a message. ``max_value`` is that of the
-    unsmoothed values. Points without a finite time, value or baseline do not count.
+    unsmoothed values. Points without a finite time, value or baseline do not count. A series is
+    fitted in one row of one task; with ``most_points`` those of more rows are fitted by passes of aggregates
+    over all tasks instead (see ``large_fit``), to the same parameters.
     """
     fixed = dict(fixed or {})
     if unknown := set(fixed) - set(PARAMETERS):
@@ -289,7 +299,17 @@ def fit_gompertz(
     def work(t, y, n0, here):
         return fit_block(t, y, n0, here, fixed, min_points, clip_exp)
 
-    fits = _per_series(rows, work, FIT, time, value, keys, baseline if log_transformed else None, order)
+    small, large = rows, None
+    if most_points is not None:
+        from auxograph.operators.large_fit import fit_large
+
+        long = stored(rows.groupBy(*keys).count().where(F.col("count") > most_points).select(*keys), "long-series")
+        if long.head(1):
+            small, many = rows.join(long, list(keys), "left_anti"), rows.join(long, list(keys), "left_semi")
+            large = fit_large(many, time, value, keys, clip_exp, min_points, fixed, baseline if log_transformed else None, ties, most_points)
+    fits = _per_series(small, work, FIT, time, value, keys, baseline if log_transformed else None, order)
+    if large is not None:
+        fits = fits.unionByName(large)
     return fits.join(first_row(rows, keys, order, metadata), list(keys), "left") if metadata else fits
 
 

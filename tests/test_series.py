@@ -218,3 +218,32 @@ def test_carried_forward(spark):
     got = blocks.carried_forward(df, "title", ["g"], ["t", "id"], "said", 25)
     want = df.withColumn("said", F.last("title", ignorenulls=True).over(Window.partitionBy("g").orderBy("t", "id")))
     assert got.select("id", "said").exceptAll(want.select("id", "said")).count() == 0 == want.select("id", "said").exceptAll(got.select("id", "said")).count()
+
+
+def test_large_fit(spark):
+    """Passes of aggregates give the parameters of the fit that holds whole series; no array of points, no hot task."""
+    from auxograph.operators.large_fit import fit_large
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, (n, y0, a, mu, lag) in enumerate([(900, 0.0, 2.0, 0.4, 3.0), (300, 0.1, 1.2, 0.9, 6.0), (200, 0.3, 3.0, 0.2, 1.0), (4, 0, 1, 1, 1), (60, 0.0, 0.0, 1.0, 1.0)]):
+        t = np.sort(rng.uniform(0, 24, n)).round(2)
+        y = curve(t, (y0, a, mu, lag), 50.0) + rng.normal(0, 0.02, n)
+        rows += [(g, int(i), float(x), float(z), 0.05) for i, (x, z) in enumerate(zip(t, y))]
+    rows += [(7, 0, None, 1.0, 0.05), (7, 1, 1.0, float("nan"), 0.05), (0, -1, 30.0, float("inf"), 0.05), (None, 0, 1.0, 1.0, 0.1)]
+    df = spark.createDataFrame(rows, "g int, i int, t double, y double, n0 double").repartition(5)
+    for fixed in ({}, {"y0": 0.0}):
+        options = {"time": "t", "value": "y", "keys": ["g"], "fixed": fixed, "metadata": [], "ties": ["i"]}
+        want = {r.g: r for r in gompertz.fit_gompertz(df, **options).collect()}
+        large = fit_large(df, "t", "y", ["g"], fixed=fixed, baseline="n0", ties=["i"], block_rows=50)
+        plan = large._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "SinglePartition" not in plan
+        # one way each, to save time
+        for got in [gompertz.fit_gompertz(df, most_points=250, **options)] if fixed else [large]:
+            found = {r.g: r for r in got.collect()}
+            assert got.columns == list(next(iter(want.values())).asDict()) and set(found) == set(want) == {0, 1, 2, 3, 4, 7}
+            for g, w in want.items():
+                assert (found[g].n, found[g].success, found[g].message) == (w.n, w.success, w.message)
+                for name in ("y0", "A", "mu_max", "lambda", "r2", "rmse", "max_value", "max_time"):
+                    assert found[g][name] == (None if w[name] is None else pytest.approx(w[name], rel=1e-6, abs=1e-6)), (g, name)
+        assert want[0].success and not want[3].success
