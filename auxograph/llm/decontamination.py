@@ -150,14 +150,16 @@ def _without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[b[at] == a] if len(b) else a[:0]
 
 
-def _near(lists: list[np.ndarray], reach: int) -> np.ndarray:
-    """Positions of the first list that have a position of every other list within ``reach``."""
+def _near(lists: list[np.ndarray], reach: int, base: np.ndarray) -> np.ndarray:
+    """Positions of the first list that have a position of every other list within ``reach`` in the same document."""
     left = lists[0]
     for other in lists[1:]:
+        of = np.searchsorted(base, left, side="right")
         right = np.searchsorted(other, left)
-        after = other[np.minimum(right, len(other) - 1)] - left
-        before = left - other[np.maximum(right - 1, 0)]
-        left = left[((after >= 0) & (after <= reach)) | ((before >= 0) & (before <= reach))]
+        after, before = other[np.minimum(right, len(other) - 1)], other[np.maximum(right - 1, 0)]
+        # documents follow each other, so if the nearest position is in another one, so are all beyond it
+        own = lambda x: np.searchsorted(base, x, side="right") == of  # noqa: B023, E731
+        left = left[((after >= left) & (after - left <= reach) & own(after)) | ((before <= left) & (left - before <= reach) & own(before))]
         if not len(left):
             break
     return left
@@ -199,7 +201,7 @@ def search_segment(row: dict, queries: Queries, gap: int, slop: int | None):
                     items.setdefault(d, set()).update(owners[i])
             if slop is not None:
                 rare = list(dict.fromkeys(place[i, j] for j in offsets))
-                hits = _near([positions(t) for t in rare], wanted.shape[1] - 1 + slop)
+                hits = _near([positions(t) for t in rare], wanted.shape[1] - 1 + slop, base)
                 for d in np.unique(np.searchsorted(base, hits, side="right") - 1).tolist():
                     near.setdefault(d, set()).update(owners[i])
     hit = np.cumsum(covered[:-1]) > 0
@@ -296,11 +298,13 @@ def contamination(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names."""
     found = contamination(docs, benchmark, id_col, text_col, **options)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_col) == F.col("_bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = found.where("contaminated").select("doc_id", "text_hash").distinct()
+    # the row travels in one struct, so that its names meet no others
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def _merged(hits: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def mixed_documents(
     max_epochs: int = 3,
     seed: str = "mix",
 ) -> DataFrame:
-    """The rows of ``docs`` that the mix consists of, with all their columns: the words that ``mixture`` takes.
+    """The rows of ``docs`` that the mix consists of, with all their columns, whatever their names: the words that ``mixture`` takes.
 
     A document comes once per epoch; the document at a source's cut comes once more with its first
     ``cut`` words, joined by one space. Documents of which nothing is taken do not come. Rows that
@@ -163,7 +163,9 @@ def mixed_documents(
     taken = taken.where("_size > 0 and (_epochs > 0 or _full > 0 or _part > 0)")
     # rows of one key all get the same but where the source's cut falls among them: one key a source
     uneven = (F.col("_rows") > 1) & (F.col("_full") < F.col("_rows")) & ((F.col("_full") > 0) | (F.col("_part") > 0))
-    keyed = docs.withColumns({c: k for c, k in zip(alike, [*_source_key(source_col), _random_key(id_col, text_col, seed)])})
+    # the row travels in one struct, so that its names meet no others
+    keys = [*_source_key(source_col), _random_key(id_col, text_col, seed).alias("_key")]
+    keyed = docs.select(F.struct("*").alias("_row"), *keys)
     even = keyed.join(taken.where(~uneven), alike).withColumn("_nth", F.lit(1).cast("long"))
     given, cut_keys = even, scratch.keep(taken.where(uneven), "uneven")
     if n := cut_keys.limit(SENT_KEYS + 1).count():
@@ -173,14 +175,13 @@ def mixed_documents(
         given = even.unionByName(numbered.drop("_place", "_one"))
     whole = F.col("_epochs") + (F.col("_nth") <= F.col("_full")).cast("long")
     part = (F.col("_nth") == F.col("_full") + 1) & (F.coalesce("_part", F.lit(0)) > 0)
-    words = F.split(F.regexp_replace(F.col(text_col), f"^[{BLANKS}]+", ""), f"[{BLANKS}]+")
+    text = F.col(f"_row.`{text_col}`")
+    words = F.split(F.regexp_replace(text, f"^[{BLANKS}]+", ""), f"[{BLANKS}]+")
     first = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
     given = given.withColumns({"_whole": whole, "_copies": whole + part.cast("long")}).where("_copies > 0")
-    return (
-        given.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .withColumn(text_col, F.when(F.col("_copy") > F.col("_whole"), first).otherwise(F.col(text_col)))
-        .select(*docs.columns)
-    )
+    copies = given.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    cut = F.when(F.col("_copy") > F.col("_whole"), first).otherwise(text)
+    return copies.select(*[(cut if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -469,7 +469,7 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
 
     Rows that agree in identifier and text are told apart by nothing else: as many of them stay as
     ``near_duplicates`` keeps.
@@ -477,15 +477,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near_duplicates(docs, id_col, text_col, **options)
     # a null identifier and the least long share a key; with equal texts they are one component anyway
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    stay = found.groupBy(key("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.sum(F.col("kept").cast("long")).alias("_stay"), F.count("*").alias("_rows")
+    stay = found.groupBy(key("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
+        F.sum(F.col("kept").cast("long")).alias("stay"), F.count("*").alias("n_rows")
     )
-    marked = docs.withColumn("_id", key(id_col)).withColumn("_hash", F.xxhash64(text_col)).join(stay.where("_stay > 0"), ["_id", "_hash"])
+    # the row travels in one struct, so that its names meet no others
+    rows = docs.select(F.struct("*").alias("row"), key(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    marked = rows.join(stay.where("stay > 0"), ["id", "hash"])
     # of rows that agree in both, all stay (texts without words) or one does: a first row is taken of a
     # key that is the row's own in the first case, and every task leaves out all but its first rows
-    alone = F.when(F.col("_stay") == F.col("_rows"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
-    first = F.row_number().over(Window.partitionBy("_id", "_hash", "_alone").orderBy("_id"))
-    return marked.withColumn("_alone", alone).withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    alone = F.when(F.col("stay") == F.col("n_rows"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    first = F.row_number().over(Window.partitionBy("id", "hash", "alone").orderBy("id"))
+    return marked.withColumn("alone", alone).withColumn("n", first).where("n = 1").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -331,8 +331,10 @@ def quality(
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps, with all their columns."""
-    return quality(docs, id_col, text_col, **options).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that the scorer keeps, with all their columns, whatever their names."""
+    # the row travels in one struct, so that its names meet no others
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return quality(rows, **options).where("kept").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

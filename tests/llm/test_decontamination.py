@@ -86,3 +86,16 @@ def test_awkward_rows(spark, awkward, documents):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert found(contamination(awkward, empty)) == brute(rows, [])
     assert contamination(documents([]), bench).count() == 0
+
+
+def test_proximity_stays_in_a_document(spark, documents):
+    """Terms in neighbouring documents are not near each other, whichever is the rarest; in one document they are."""
+    docs = documents([(1, "one two three"), (2, "four five common common"), (3, "common five x four y one two")])
+    items = spark.createDataFrame([("b", "one two three four five"), ("c", "common five")], "item_id string, text string")
+    for slop in (2, 30):
+        near = {r.doc_id: list(r.near_items) for r in contamination(docs, items, slop=slop).collect()}
+        assert near == {1: [], 2: ["c"], 3: []}
+    docs = documents([(1, "a b c x d"), (2, "e"), (3, "e x a b c d"), (4, "d c b a e")])
+    items = spark.createDataFrame([("i", "a b c d e")], "item_id string, text string")
+    near = {r.doc_id: list(r.near_items) for r in contamination(docs, items, slop=2).collect()}
+    assert near == {1: [], 2: [], 3: ["i"], 4: ["i"]}

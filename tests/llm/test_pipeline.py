@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,12 +76,29 @@ def test_run_and_tables(spark, documents):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def internal_names():
+    """All names that the stages' modules could give to columns: their string literals that are identifiers, and some of old."""
+    from auxograph.llm import components, decontamination, mixing, near_dedup, quality, shared
+
+    found = {"_id", "_bad_id", "_stay"}
+    for module in (components, decontamination, mixing, near_dedup, quality, shared):
+        found |= set(re.findall(r"\"([A-Za-z_]\w*)\"", open(module.__file__).read()))
+    taken = {"doc_id", "text", "source", "item_id"}
+    return sorted({x.lower() for x in found} - taken)
+
+
 def test_awkward_rows(spark, awkward):
-    """Every stage takes nulls, repeated rows and clashing columns."""
-    docs = awkward
+    """Every stage takes nulls, repeated rows and clashing columns, and gives the values of the columns back."""
+    from pyspark.sql import functions as F
+
+    names = internal_names()
+    assert {"_id", "_key", "row", "score", "kept", "stay", "_size", "hash", "_row"} <= set(names)
+    own = awkward.select("doc_id", "text", "source").withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        assert name == "token_store" or out.columns == awkward.columns
-        assert out.count() >= 0
-        nothing = stage(spark, docs.limit(0), SF)
+        out = stage(spark, own, SF)
+        rows = out.collect()
+        assert name == "token_store" or (out.columns == own.columns and rows)
+        for r in rows if name != "token_store" else []:
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in names)
+        nothing = stage(spark, own.limit(0), SF)
         assert nothing.count() == 0
