@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auxograph.llm.shared import importable
+from auxograph.llm.shared import Scratch
 from auxograph.llm.words import Words, chunks, mixed, windows
 
 #: Property: (limit, vote) pairs; a value at or over the first limit is junk, under the second clean.
@@ -52,8 +52,10 @@ FUNCTION_WORDS = (
     "el los las del y se por con para su al lo como"
 ).split()
 FEATURES = 1 << 14
-#: Bound of the training sample, in documents.
+#: Bounds of the training sample, in documents and in features (8 bytes each), and features that a step works on at once.
 TRAIN_DOCS = 20_000
+TRAIN_FEATURES = 5_000_000
+TOGETHER = 250_000
 STEPS = 300
 #: Documents whose score, the probability of being clean, is lower are rejected.
 LEAST_SCORE = 0.5
@@ -212,11 +214,22 @@ def fit(of: np.ndarray, entry: np.ndarray, weight: np.ndarray, junk: np.ndarray,
     if not len(junk):
         return weights, 2.0
     clean = 1 - junk
+    # documents in runs of about TOGETHER features, so that what a step holds beside the sample stays small
+    edges = np.searchsorted(of, np.arange(len(junk) + 1))
+    runs, first = [], 0
+    while first < len(junk):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + TOGETHER, side="right")) - 1)
+        runs.append((first, last, int(edges[first]), int(edges[last])))
+        first = last
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for t in range(1, steps + 1):
-        logit = np.bincount(of, weights[entry] * weight, len(junk)) + bias
-        off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - clean) / len(junk)
-        gradient = np.append(np.bincount(entry, off[of] * weight, FEATURES) + 1e-6 * weights, off.sum())
+        gradient = np.append(1e-6 * weights, 0.0)
+        for first, last, x, y in runs:
+            doc, e, w = of[x:y] - first, entry[x:y], weight[x:y]
+            logit = np.bincount(doc, weights[e] * w, last - first) + bias
+            off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - clean[first:last]) / len(junk)
+            gradient[:-1] += np.bincount(e, off[doc] * w, FEATURES)
+            gradient[-1] += off.sum()
         m += 0.1 * (gradient - m)
         v += 0.01 * (gradient**2 - v)
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -264,14 +277,14 @@ class Scorer:
         return seen.votes(), 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS):
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_features: int = TRAIN_FEATURES):
     """The scorer, the patterns' weak labels and the labellers' accuracies.
 
     Vote patterns are counted over all documents. ``train_docs`` bounds the documents the scorer is
-    fitted on; they are chosen by a hash of the identifier, and at most twice as many are fetched.
+    fitted on; they are chosen by a hash of the identifier, and at most twice as many are fetched, with
+    ``train_features`` features at most (one document at least).
     """
-    spark = docs.sparkSession
-    importable(spark)
+    scratch = Scratch(docs.sparkSession, "quality")
     texts = docs.select(F.col(text_col).alias("text"))
     counts = texts.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     junk, accuracy = weak_labels({r["pattern"]: r["n"] for r in counts})
@@ -282,15 +295,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     # about train_docs rows are left; where a chosen identifier has many, the first by a hash of the text count
     chosen = chosen.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("order")).alias("h"))
     sample = chosen.mapInArrow(_featured, "h long, pattern long, entries array<int>, weights array<float>")
-    sample = sample.orderBy("h").limit(2 * train_docs).toArrow().combine_chunks()
+    sample = scratch.keep(sample, "sample")
+    sizes = sample.select("h", F.size("entries").cast("long").alias("n")).orderBy("h").limit(2 * train_docs).toArrow().column("n").to_numpy()
+    # the first documents in the order of their hashes whose features are within the bound
+    n = max(1, int(np.searchsorted(np.cumsum(sizes), train_features, side="right")))
+    sample = sample.orderBy("h").limit(n).toArrow().combine_chunks()
+    scratch.drop("sample")
     if not sample.num_rows:
         return Scorer(*fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))), junk, accuracy
     lists = sample.column("entries").combine_chunks()
-    of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    of = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy())
     entry = lists.flatten().to_numpy()
     weight = sample.column("weights").combine_chunks().flatten().to_numpy()
     label = np.array([junk[p] for p in sample.column("pattern").to_pylist()])
-    return Scorer(*fit(of, entry, weight, label)), junk, accuracy
+    scorer = Scorer(*fit(of, entry, weight, label))
+    # the driver goes on for long after this: let it have the sample's memory
+    del sample, lists, of, entry, weight
+    pa.default_memory_pool().release_unused()
+    return scorer, junk, accuracy
 
 
 def quality(
