@@ -145,7 +145,8 @@ def svg_plots(
 ) -> DataFrame:
     """(keys, file_name, svg): a plot per series, points with error bars and the fitted curve.
 
-    File names hold all keys, so two series never share one.
+    File names hold all keys, and what isn't a letter, a digit, a hyphen or a full stop is written as its
+    code point, so two series never share one.
     """
     columns = [c for c in (time, value, fitted, spread) if c]
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("file_name", T.StringType()), T.StructField("svg", T.StringType())])
@@ -169,7 +170,7 @@ def svg_plots(
             shapes.append(f'<polyline points="{points}" fill="none" stroke="#c42" stroke-width="1.5"/>')
         title = escape(", ".join(map(str, key)))
         svg = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="50" y="20">{title}</text>{"".join(shapes)}</svg>'
-        name = "_".join("".join(c if c.isalnum() or c in "-." else "-" for c in str(k)) for k in key) + ".svg"
+        name = "_".join("".join(c if c.isalnum() or c in "-." else f"%{ord(c):x};" for c in str(k)) for k in key) + ".svg"
         return pd.DataFrame([[*key, name, svg]], columns=schema.names)
 
     return without_null_keys(df, keys).select(*dict.fromkeys([*keys, *columns])).groupBy(*keys).applyInPandas(draw, schema)

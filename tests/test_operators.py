@@ -277,3 +277,35 @@ def test_saved_plots(spark, tmp_path):
     assert os.listdir(tmp_path / "plots") == ["A1.svg"] or set(os.listdir(tmp_path / "plots")) == {"A1.svg", ".A1.svg.crc"}
     text = (tmp_path / "plots" / "A1.svg").read_text()
     assert text.count("<circle") == text.count("<line") == 8
+
+
+def test_most_similar_candidates(spark):
+    """The join has the answers of comparing every word with every candidate."""
+    import difflib
+    import random
+
+    from auxograph.operators import similarity
+
+    random.seed(3)
+    made = lambda n, letters, most: sorted({"".join(random.choices(letters, k=random.randint(0, most))) for _ in range(n)})
+    for letters, most, cutoff in (("abcdefgh", 9, 0.6), ("ab", 6, 0.75), ("abcdefghijklmnopqrstuvwxyz", 14, 0.4)):
+        words, candidates = made(120, letters, most), made(150, letters, most)
+        words += ["x" * 250 + "y", "ab" * 120, *candidates[:5]]
+        candidates += ["x" * 249 + "yz", "ab" * 120, "ab" * 119 + "ba"]
+        got = similarity.most_similar(frame(spark, "w string, k int", *[(w, 1) for w in words], (None, 2), (words[3], 3)), "w", frame(spark, "c string", *[(c,) for c in candidates], (None,)), "c", cutoff)
+        assert got.columns == ["w", "k", "match", "score"]
+        rows = got.collect()
+        assert len(rows) == len(words) + 2
+        for r in rows:
+            scored = [(difflib.SequenceMatcher(None, c, r.w).ratio(), c) for c in candidates] if r.w is not None else []
+            best = max(((s, c) for s, c in scored if s >= cutoff), default=(None, None))
+            assert (r.score, r.match) == best, r.w
+    assert similarity.most_similar(frame(spark, "w string", ("a",)), "w", frame(spark, "c string", ("a",)).where("false"), "c").first().match is None
+    with pytest.raises(ValueError, match="cutoff"):
+        similarity.most_similar(got, "w", got, "w", 0.0)
+
+
+def test_file_names_of_plots(spark):
+    rows = [(k, t, 1.0 + t) for k in ("a b", "a-b", "a_b", "a%20;b", "A b") for t in (0.0, 1.0)]
+    names = [r.file_name for r in sinks.svg_plots(frame(spark, "k string, t double, v double", *rows), ["k"], "t", "v").collect()]
+    assert len({n.lower() for n in names}) == 4 and len(set(names)) == 5
