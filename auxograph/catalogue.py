@@ -574,6 +574,17 @@ def long_matrices(spark, sf_dir):
     return matrices.flux_long(rows, mapped).join(present, ["o_orderkey", "exchange_reaction"]).select("o_orderkey", "exchange_reaction", r6("value", "value"), "present")
 
 
+@query(
+    f"""with {_EXPERIMENT} select o_orderkey, exchange_reaction, round(value::double, 6) as value from (
+      select o_orderkey, unnest(['EX_a_e', 'EX_b_e', 'EX_c_e', 'EX_d_e', 'EX_e_e']) as exchange_reaction,
+        unnest([case when s = '1-urgent' and t > 0 then 4.0 / t else 0 end, case when t > 0 then 2.0 / t else 0 end, case when s = '3-medium' and t > 0 then 1.5 / t else 0 end,
+                case when t > 0 then 6.0 / t else 0 end, 1000.0]) as value from x) where value <> 0"""
+)
+def sparse_fluxes(spark, sf_dir):
+    done = matrices.flux_sparse(experiments(spark, sf_dir), small_mapping(spark))
+    return done.select("o_orderkey", F.explode("fluxes").alias("exchange_reaction", "value")).select("o_orderkey", "exchange_reaction", r6("value", "value"))
+
+
 @query(
     """select 'EX_' || l_partkey as exchange_reaction, count(*) filter (l_returnflag = 'A') as fixed, count(*) as stated, count(distinct l_returnflag = 'A') as sources
     from lineitem where l_returnflag <> 'R' group by l_partkey having count(*) filter (l_returnflag = 'A') > 1 or count(distinct l_returnflag = 'A') <> count(*)"""

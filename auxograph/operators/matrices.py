@@ -1,14 +1,18 @@
 """Matrices for metabolic models: fluxes, presence and bounds of exchange reactions.
 
 A mapping is reference data of some hundred rows; its number of rows is checked, and it becomes a literal
-in the plan. What an experiment supplies is then a map column of its own row, and every exchange a
-column over that map: a matrix is one projection of the growth table, without a join or a shuffle.
+in the plan. What an experiment supplies is then a map column of its own row, and its cells are one array
+over the literal of all exchanges, of which every column of a matrix is a place: a matrix is a projection
+of the growth table, without a join or a shuffle, and its plan has a fixed number of expressions besides
+those places. ``flux_sparse`` keeps the cells that aren't 0 in a map, whatever the number of exchanges.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +25,7 @@ from auxograph.operators.mapping import FIXED, MEDIUM, SUPPLEMENT, supplement_to
 #: Rows of reference data that may become a literal of a plan.
 MOST_ROWS = 20_000
 _SUPPLIED = "_supplied"
+_CELLS = "_cells"
 
 
 def reference_rows(df: DataFrame, what: str, most: int = MOST_ROWS) -> list[dict[str, Any]]:
@@ -43,15 +48,32 @@ def row_tokens(column: str, separator: str) -> Column:
     return F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>"))
 
 
-def _literal_map(entries: Mapping[str, Sequence[tuple]], fields: str) -> Column:
-    """A map from text to an array of structs, as a literal."""
-    kind = f"map<string, array<struct<{fields}>>>"
+def _literal(value: Any, kind: str) -> Column:
+    """A nested literal from one text, which is read once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _lookup(entries: Mapping[str, Sequence[tuple]], fields: str) -> Callable[[Column], Column]:
+    """From a text to an array of structs, by a literal; null for other texts.
+
+    A map column is searched from its beginning, so the entries are dealt over small maps by checksum.
+    """
     names = [f.split(":")[0].strip() for f in fields.split(",")]
-    pairs: list[Column] = []
+    buckets: list[dict[str, list[dict]]] = [{} for _ in range(len(entries) // 4 + 1)]
     for key, values in entries.items():
-        structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, value)]) for value in values]
-        pairs += [F.lit(key), F.array(*structs)]
-    return F.create_map(*pairs).cast(kind)
+        buckets[zlib.crc32(key.encode()) % len(buckets)][key] = [dict(zip(names, v)) for v in values]
+    literal = _literal(buckets, f"array<map<string, array<struct<{fields}>>>>")
+    return lambda text: F.try_element_at(F.get(literal, (F.crc32(text.cast("binary")) % len(buckets)).cast("int")), text)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _wide(rows: DataFrame, cells: Column, names: Sequence[str], last: str) -> DataFrame:
+    """A column for each place of ``cells``, then the column ``last``."""
+    made = rows.select(last, cells.alias(_CELLS))
+    return made.selectExpr(*[f"get({_CELLS}, {i}) AS {_quoted(n)}" for i, n in enumerate(names)], _quoted(made.columns[0]))
 
 
 def _smallest(rows: Sequence[dict[str, Any]], value: str) -> Any:
@@ -85,10 +107,10 @@ class Exchanges:
                         found[key].append((by, r["mmol_concentration"], name))
         if not found:
             return F.create_map().cast("map<string, double>")
-        lookup = _literal_map(found, "by: int, mmol: double, exchange: string")
+        lookup = _lookup(found, "by: int, mmol: double, exchange: string")
 
         def ranked(token: Column, place: Column) -> Column:
-            hits = F.coalesce(F.try_element_at(lookup, token), F.array().cast("array<struct<by: int, mmol: double, exchange: string>>"))
+            hits = F.coalesce(lookup(token), F.array().cast("array<struct<by: int, mmol: double, exchange: string>>"))
             return F.transform(hits, lambda h: F.struct(h["by"].alias("by"), place.alias("place"), h["mmol"].alias("mmol"), h["exchange"].alias("exchange")))
 
         hits = F.array_sort(F.flatten(F.transform(row_tokens(column, separator), ranked)))
@@ -97,20 +119,36 @@ class Exchanges:
         first = F.filter(hits, lambda h, i: F.array_position(order, h["exchange"]) == i + 1)
         return F.map_from_entries(F.transform(first, lambda h: F.struct(h["exchange"], h["mmol"])))
 
-    def flux(self, name: str, max_time: str) -> Column:
+    def _each(self, cell: Callable[[Column], Column]) -> Column:
+        """An array: ``cell`` of every exchange, whose fields are exchange, by (its source) and its constant ``value``."""
+        entries = []
+        for name in self.names:
+            of = self.rows[name]
+            by = next(source for source in (SUPPLEMENT, MEDIUM, FIXED) if of.get(source))
+            constant = None
+            if by == MEDIUM:
+                constant = _smallest(of[MEDIUM], "mmol_concentration")
+            elif by == FIXED:
+                constant = _smallest(of[FIXED], "flux_upper_bound") or 0.0
+            entries.append({"exchange": name, "by": by, "value": None if constant is None else float(constant)})
+        return F.transform(_literal(entries, "array<struct<exchange: string, by: string, value: double>>"), cell)
+
+    def fluxes(self, max_time: str, of: Callable[[Column, Column], Column] = lambda exchange, value: value) -> Column:
         """Supplement before medium before fixed; what can be supplied and isn't, by this row, is 0."""
-        of = self.rows[name]
-        if of.get(SUPPLEMENT):
+
+        def cell(e: Column) -> Column:
             # a hit without a concentration supplies nothing
-            return F.coalesce(flux(F.try_element_at(F.col(_SUPPLIED), F.lit(name)), max_time), F.lit(0.0))
-        if of.get(MEDIUM):
-            return flux(F.lit(_smallest(of[MEDIUM], "mmol_concentration")).cast("double"), max_time)
-        return F.lit(float(_smallest(of[FIXED], "flux_upper_bound") or 0.0))
+            supplied = F.coalesce(flux(F.try_element_at(F.col(_SUPPLIED), e["exchange"]), max_time), F.lit(0.0))
+            return of(e["exchange"], F.when(e["by"] == SUPPLEMENT, supplied).when(e["by"] == MEDIUM, flux(e["value"], max_time)).otherwise(e["value"]))
+
+        return self._each(cell)
 
-    def presence(self, name: str) -> Column:
-        if self.rows[name].get(SUPPLEMENT):
-            return F.try_element_at(F.col(_SUPPLIED), F.lit(name)).isNotNull().cast("int")
-        return F.lit(1)
+    def presences(self, of: Callable[[Column, Column], Column] = lambda exchange, value: value) -> Column:
+        def cell(e: Column) -> Column:
+            supplied = F.try_element_at(F.col(_SUPPLIED), e["exchange"]).isNotNull().cast("int")
+            return of(e["exchange"], F.when(e["by"] == SUPPLEMENT, supplied).otherwise(F.lit(1)))
+
+        return self._each(cell)
 
     def prepared(self, growth: DataFrame, success: str, column: str, separator: str) -> DataFrame:
         """The successful rows with the map of what they supply."""
@@ -123,10 +161,12 @@ def exchange_list(mapping: DataFrame) -> list[str]:
     return Exchanges(mapping).names
 
 
-def _long(rows: DataFrame, values: Mapping[str, Column], kind: str) -> DataFrame:
-    cells = [F.struct(F.lit(e).alias("exchange_reaction"), v.cast(kind).alias("value")) for e, v in values.items()]
-    cells = F.array(*cells).cast(f"array<struct<exchange_reaction: string, value: {kind}>>")
-    return rows.select(*[c for c in rows.columns if c != _SUPPLIED], F.inline(cells))
+def _entry(exchange: Column, value: Column) -> Column:
+    return F.struct(exchange.alias("exchange_reaction"), value.alias("value"))
+
+
+def _kept(rows: DataFrame) -> list[str]:
+    return [_quoted(c) for c in rows.columns if c != _SUPPLIED]
 
 
 def flux_long(
@@ -134,13 +174,25 @@ def flux_long(
 ) -> DataFrame:
     """(the row's columns, exchange_reaction, value): fluxes."""
     exchanges = Exchanges(mapping)
-    return _long(exchanges.prepared(growth, success, column, separator), {e: exchanges.flux(e, max_time) for e in exchanges.names}, "double")
+    rows = exchanges.prepared(growth, success, column, separator)
+    return rows.select(*_kept(rows), F.inline(exchanges.fluxes(max_time, _entry)))
+
+
+def flux_sparse(
+    growth: DataFrame, mapping: DataFrame, success: str = "success", max_time: str = "max_time", column: str = "supplements", separator: str = ";"
+) -> DataFrame:
+    """(the row's columns, fluxes): a map from exchange to flux, without those that are 0 or null."""
+    exchanges = Exchanges(mapping)
+    rows = exchanges.prepared(growth, success, column, separator)
+    cells = F.filter(exchanges.fluxes(max_time, _entry), lambda c: c["value"] != 0.0)
+    return rows.select(*_kept(rows), F.map_from_entries(cells).alias("fluxes"))
 
 
 def presence_long(growth: DataFrame, mapping: DataFrame, success: str = "success", column: str = "supplements", separator: str = ";") -> DataFrame:
     """(the row's columns, exchange_reaction, value): 1 where the exchange is available to the row."""
     exchanges = Exchanges(mapping)
-    return _long(exchanges.prepared(growth, success, column, separator), {e: exchanges.presence(e) for e in exchanges.names}, "int")
+    rows = exchanges.prepared(growth, success, column, separator)
+    return rows.select(*_kept(rows), F.inline(exchanges.presences(_entry)))
 
 
 def flux_matrix(
@@ -156,7 +208,7 @@ def flux_matrix(
     """One row per successful experiment, in the order of ``growth``: the fluxes of the exchanges, then the growth rate."""
     exchanges = Exchanges(mapping)
     rows = exchanges.prepared(growth, success, column, separator)
-    return rows.select(*[exchanges.flux(e, max_time).alias(f"{e}{suffix or ''}") for e in exchanges.names], growth_rate)
+    return _wide(rows, exchanges.fluxes(max_time), [f"{e}{suffix or ''}" for e in exchanges.names], growth_rate)
 
 
 def presence_matrix(
@@ -171,7 +223,7 @@ def presence_matrix(
     """The same with 1 where an exchange is available to the experiment, else 0."""
     exchanges = Exchanges(mapping)
     rows = exchanges.prepared(growth, success, column, separator)
-    return rows.select(*[exchanges.presence(e).alias(f"{e}{suffix or ''}") for e in exchanges.names], growth_rate)
+    return _wide(rows, exchanges.presences(), [f"{e}{suffix or ''}" for e in exchanges.names], growth_rate)
 
 
 def bounds_matrix(
@@ -200,7 +252,7 @@ def bounds_matrix(
     bounds = {r["exchange_reaction"]: r["bound"] or 0.0 for r in reference_rows(mapped, "the mapping")}
     flux_columns = [c for c in fluxes.columns if c != growth_rate]
     if flux_columns:
-        top = fluxes.agg(*[F.max(f"`{c}`").alias(c) for c in flux_columns]).first()
+        top = fluxes.selectExpr(*[f"max({_quoted(c)}) AS {_quoted(c)}" for c in flux_columns]).first()
         for c in flux_columns:
             if suffix_removed(c, suffix) in bounds and (top[c] or 0.0) > 0:
                 bounds[suffix_removed(c, suffix)] = top[c]
@@ -216,7 +268,7 @@ def bounds_matrix(
         else:
             chosen.append((default_level, default_max))
     rows = [("level", *(float(x) for x, _ in chosen)), ("max_value", *(float(x) for _, x in chosen)), ("ratio_drawing", *(0.0 for _ in chosen))]
-    return spark.createDataFrame(rows, "name string" + "".join(f", `{c}` double" for c in columns))
+    return spark.createDataFrame(rows, "name string" + "".join(f", {_quoted(c)} double" for c in columns))
 
 
 def supplement_matrix(growth: DataFrame, exchanges: DataFrame, baseline: list[str], column: str = "supplements", separator: str = ";", growth_rate: str = "mu_max") -> DataFrame:
@@ -229,11 +281,12 @@ def supplement_matrix(growth: DataFrame, exchanges: DataFrame, baseline: list[st
             of[r["name"]].append((r["exchange_reaction"],))
     names = sorted({*baseline, *(r["exchange_reaction"] for r in rows)})
     nothing = F.array().cast("array<struct<exchange: string>>")
-    lookup = _literal_map(of, "exchange: string") if of else None
-    hits = F.flatten(F.transform(row_tokens(column, separator), lambda t: F.coalesce(F.try_element_at(lookup, t), nothing))) if of else nothing
+    lookup = _lookup(of, "exchange: string")
+    hits = F.flatten(F.transform(row_tokens(column, separator), lambda t: F.coalesce(lookup(t), nothing)))
     found = successful(growth).withColumn(_SUPPLIED, F.transform(hits, lambda h: h["exchange"]))
-    columns = [(F.lit(1) if n in baseline else F.array_contains(F.col(_SUPPLIED), n).cast("int")).alias(n) for n in names]
-    return found.select(*columns, growth_rate)
+    always = _literal([{"exchange": n, "always": n in baseline} for n in names], "array<struct<exchange: string, always: boolean>>")
+    cells = F.transform(always, lambda e: (e["always"] | F.array_contains(F.col(_SUPPLIED), e["exchange"])).cast("int"))
+    return _wide(found, cells, names, growth_rate)
 
 
 def mapping_audit(growth: DataFrame, exchanges: DataFrame, column: str = "supplements", separator: str = ";", cutoff: float = 0.6) -> DataFrame:

@@ -208,6 +208,26 @@ def test_matrices(spark):
     assert [tuple(r) for r in matrices.supplement_matrix(growth, table, ["EX_w"]).collect()] == [(1, 1, 1, 0.5), (0, 0, 1, 0.25)]
 
 
+def test_matrices_of_many_exchanges(spark):
+    kinds = ("supplement", "medium", "fixed")
+    rows = [(f"it's `{i}`", f"IU\u00e4 {i}".lower(), f"EX_{i:04d}`'\"\\", i + 1.0, 10.0, kinds[i % 3]) for i in range(3_000)]
+    mapped = frame(spark, MAPPED, *rows)
+    growth = frame(spark, GROWTH, ("IT'S `3`; iu\u00e4 2997 ;unknown", 2.0, True, 0.5), ("", 4.0, True, 0.25))
+    names = sorted(r[2] for r in rows)
+    given = [{3, 2997}, set()]
+    value = lambda i, n: (i + 1.0) / (2, 4)[n] if i % 3 == 1 or i in given[n] else 10.0 if i % 3 == 2 else 0.0
+    flux = matrices.flux_matrix(growth, mapped)
+    assert flux.columns == [*names, "mu_max"]
+    want = [[value(i, n) for i in range(3_000)] for n in (0, 1)]
+    assert [list(r)[:-1] for r in flux.collect()] == want
+    present = matrices.presence_matrix(growth, mapped).collect()
+    assert [list(r)[:-1] for r in present] == [[int(i % 3 > 0 or i in given[n]) for i in range(3_000)] for n in (0, 1)]
+    sparse = [r.fluxes for r in matrices.flux_sparse(growth, mapped).collect()]
+    assert sparse == [{e: v for e, v in zip(names, w) if v} for w in want]
+    plan = flux._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "from_json" not in plan and "invoke" not in plan  # the literal is read once, not per row
+
+
 def test_matrices_over_shuffled_rows(spark, tmp_path):
     mapped = frame(
         spark, MAPPED, ("a", "", "EX_a", 2.0, 0.0, "supplement"), ("bee", "b", "EX_b", 3.0, 0.0, "supplement"), ("salt", "", "EX_m", 6.0, 0.0, "medium"),
