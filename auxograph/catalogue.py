@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from auxograph import catalogue_files
 from auxograph.functions import chemistry, growth, time_labels, values
 from auxograph.operators import gompertz, joins, mapping, matrices, plates, ranking, series
-from auxograph.registered import HOURS, ORACLES, QUERIES, Query, event_series, query, r6, table
+from auxograph.registered import HOURS, ORACLES, QUERIES, Query, event_series, folder, query, r6, table
 from auxograph.sources.compounds import Compound, CompoundTable
 from auxograph.sources.exchanges import MINIMAL_MEDIUM, supplement_exchanges
 from auxograph.sources.protocol import sections
+from auxograph.streaming import growth as live_growth
 from auxograph.streaming import live
 
 __all__ = ["catalogue_files", "queries", "oracle_sql"]
@@ -739,6 +740,41 @@ def hourly_windows(spark, sf_dir):
     return done.select("event_type", F.col("start").cast("timestamp_ntz").alias("hour"), "n", r6("mean", "mean"), r6("top", "top"))
 
 
+@query(
+    """with r as (
+      select user_id, ts, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as t, value as v, row_number() over (partition by user_id order by ts, value) as k
+      from events where user_id is not null and ts is not null and isfinite(value)
+    ), b as (select user_id, avg(v) filter (k <= 4) as n0 from r group by user_id), u as (
+      select user_id, ts, t, v, ln(v) as y from r join b using (user_id) where v > 0 and n0 > 0
+    ), m as (
+      select *, case when count(*) over w = 5 then regr_slope(y, t) over w end as slope,
+        case when count(*) over w = 5 then case when regr_syy(y, t) over w = 0 then 0 else regr_r2(y, t) over w end end as r2,
+        case when count(*) over w = 5 then sqrt(greatest(0, regr_syy(y, t) over w - power(regr_sxy(y, t) over w, 2) / regr_sxx(y, t) over w) / 5) end as rmse,
+        max(y) over (partition by user_id) - min(y) over (partition by user_id) as span, count(*) over (partition by user_id) as n
+      from u window w as (partition by user_id order by ts, v rows between current row and 4 following)
+    ), best as (select *, row_number() over (partition by user_id order by slope desc nulls last, t) as rn from m
+    ), top as (select user_id, v as max_value, t as max_time, row_number() over (partition by user_id order by round(y, 12) desc, t) as rn from m
+    ), found as (
+      select best.*, max_value, max_time, best.n >= 5 and span > exp(0.1) as ok from best join top using (user_id) where best.rn = 1 and top.rn = 1
+    )
+    select user_id, coalesce(n, 0)::int as n, coalesce(ok, false) as success, case when ok then 'ok' else 'insufficient or flat data' end as message,
+      round(case when ok then slope end, 6) as mv_mu_max, round(case when ok then r2 end, 6) as mv_r2, round(case when ok then rmse end, 6) as mv_rmse,
+      round(case when ok then t end, 6) as window_start, round(case when ok then max_value end, 6) as max_value, round(case when ok then max_time end, 6) as max_time
+    from b left join found using (user_id)"""
+)
+def live_growth_rates(spark, sf_dir):
+    """The events as a stream of files in no order of time, and what is known of each user after the last."""
+    # a pattern, as a stream takes a single file for a folder otherwise
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1_000).parquet(f"{sf_dir}/events.parque[t]")
+    readings = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rates = live_growth.growth_rates(readings, "ts", "value", ["user_id"], averaged=4, late="3650 days")
+    kept = folder(spark, "rates")
+    live.keep_updates(rates, kept, folder(spark, "rates-progress")).awaitTermination()
+    hours = lambda c: F.round(F.expr(HOURS.replace("cast(ts as timestamp)", c)), 6).alias(c)
+    plain = [r6(c, c) for c in ("mv_mu_max", "mv_r2", "mv_rmse", "max_value")]
+    return live.newest(spark, kept, ["user_id"]).select("user_id", "n", "success", "message", *plain, hours("window_start"), hours("max_time"))
+
+
 @query("select event_type, user_id, n, rank::int as rank from (select *, row_number() over (partition by event_type order by n desc, user_id) as rank from (select event_type, user_id, count(*) as n from events group by 1, 2)) where rank <= 3")
 def top_users(spark, sf_dir):
     counted = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))

@@ -38,3 +38,18 @@ def each_batch(df: DataFrame, do: Callable[[DataFrame, int], None], checkpoint:
     """Start a query that hands every batch to ``do``: with no trigger, all that is there, once."""
     writer = df.writeStream.foreachBatch(do).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
+def keep_updates(df: DataFrame, folder: str, checkpoint: str, trigger: str | None = None):
+    """Start a query that keeps the rows of each batch in a folder of its own; a batch that runs again replaces its rows."""
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}"))
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
+def newest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Of what ``keep_updates`` kept, the row of the last batch of each key; a batch has one row of a key at most."""
+    kept = spark.read.parquet(folder)
+    columns = [c for c in kept.columns if c not in {*keys, "batch"}]
+    last = kept.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
+    return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns])
