@@ -36,7 +36,6 @@ RESULT = (
 _DONE = (
     "early long, early_sum double, n long, low double, high double, slope double, r2 double, rmse double, began long, top double, top_at long, until long"
 )
-_READING = "at long, value double"
 _NAMES = [field.split()[0] for field in _DONE.split(",")]
 
 
@@ -109,13 +108,13 @@ def result(done: dict[str, Any], window: int, min_points: int, settled: bool) ->
 _PAIR = np.dtype([("at", "<i8"), ("value", "<f8")])
 
 
-def _pairs(rows: Any) -> np.ndarray:
-    return np.array([(int(at), float(value)) for at, value in rows], _PAIR)
+def _get(state: Any) -> np.ndarray:
+    """Readings, which are held as the bytes of one array: one value of a state, however many they are."""
+    return np.frombuffer(bytes(state.get()[0]), _PAIR) if state.exists() else np.zeros(0, _PAIR)
 
 
 def _put(state: Any, rows: np.ndarray) -> None:
-    """A state can't hold an empty list."""
-    state.put(rows.tolist()) if len(rows) else state.clear()
+    state.update((rows.tobytes(),)) if len(rows) else state.clear()
 
 
 class GrowthRates(StatefulProcessor):
@@ -127,15 +126,15 @@ class GrowthRates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.done = handle.getValueState("done", _DONE)
-        self.recent = handle.getListState("recent", _READING)
-        self.newer = handle.getListState("newer", _READING)
+        self.recent = handle.getValueState("recent", "readings binary")
+        self.newer = handle.getValueState("newer", "readings binary")
 
     def _settle(self, added: np.ndarray, times: Any) -> dict[str, Any]:
         """Take readings up to the watermark into the sums; the result with those that are newer."""
         held = self.done.get() if self.done.exists() else None
         done = dict(zip(_NAMES, held)) if held else _nothing()
-        recent = _pairs(self.recent.get())
-        rows = np.concatenate([_pairs(self.newer.get()), added])
+        recent = _get(self.recent)
+        rows = np.concatenate([_get(self.newer), added])
         if done["until"] is not None:
             rows = rows[rows["at"] > done["until"]]
         rows = rows[np.lexsort((rows["value"], rows["at"]))]
