@@ -51,17 +51,36 @@ def read_plate(spark: SparkSession, path: str | Sequence[str], value: str = "od"
     return readings_of(split_files(spark, path).withColumn("_header", F.coalesce("_header", missing)), value)
 
 
+def _cells(line):
+    return F.transform(F.split(line, ","), lambda c: strip(c))
+
+
+def _rest(array, begin):
+    """From ``begin`` on; a slice that begins after the end is empty."""
+    return F.slice(array, begin, F.greatest(F.size(array), F.lit(1)))
+
+
+def _labels(cells):
+    """The labels of times: cells from the fourth on, without ``time`` and empty ones."""
+    return F.filter(_rest(cells, F.lit(4)), lambda c: (c != "") & (F.lower(c) != "time"))
+
+
 def readings_of(files: DataFrame, value: str) -> DataFrame:
     """The readings of files that are split at their lines, each within its own row."""
-    cells = lambda line: F.transform(F.split(line, ","), lambda c: strip(c))
-    # a slice that begins after the end is empty
-    rest = lambda array, begin: F.slice(array, begin, F.greatest(F.size(array), F.lit(1)))
-    label = lambda c: (c != "") & (F.lower(c) != "time")
-    first = F.coalesce(cells(F.get("_lines", F.col("_header"))), F.array().cast("array<string>"))
-    found = files.select(
-        "source_file", rest(F.col("_lines"), F.col("_header") + 2).alias("_lines"), F.filter(rest(first, F.lit(4)), label).alias("_labels")
-    )
-    wells = found.select("source_file", "_labels", F.explode(F.transform("_lines", cells)).alias("cells"))
+    first = F.coalesce(_cells(F.get("_lines", F.col("_header"))), F.array().cast("array<string>"))
+    found = files.select("source_file", _rest(F.col("_lines"), F.col("_header") + 2).alias("_lines"), _labels(first).alias("_labels"))
+    wells = found.select("source_file", "_labels", F.explode(F.transform("_lines", _cells)).alias("cells"))
+    return _readings(wells, value)
+
+
+def readings_of_lines(rows: DataFrame, value: str = "od") -> DataFrame:
+    """The readings of rows of the format ``plate_export`` (source_file, labels, line), of a table or a stream."""
+    wells = rows.where("line is not null").select("source_file", _labels(_cells(F.col("labels"))).alias("_labels"), _cells(F.col("line")).alias("cells"))
+    return _readings(wells, value)
+
+
+def _readings(wells: DataFrame, value: str) -> DataFrame:
+    """A row per well and label of (source_file, _labels, cells)."""
     values = F.slice("cells", F.lit(4), F.size("_labels"))
     tall = wells.select(
         F.try_element_at("cells", F.lit(1)).alias("well_row"),

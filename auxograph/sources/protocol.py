@@ -26,6 +26,23 @@ COLUMNS = {
 }
 
 
+#: What ``strip`` takes off.
+_WHITE = " \t\n\x0b\x0c\r\u00a0\u2009"
+
+
+def stripped(line: str) -> str:
+    """``values.strip`` of one line, for readers."""
+    return line.strip(_WHITE)
+
+
+def is_title(line: str) -> bool:
+    return line.startswith("===") and line.endswith("===")
+
+
+def title_of(line: str) -> str:
+    return line.strip("= ")
+
+
 def sections(lines: DataFrame) -> DataFrame:
     """Lines (source_file, line_no, line) with the title they stand under; titles and blanks are left out.
 
