@@ -5,16 +5,13 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
-from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from auxograph.functions.values import require, without_null_keys
+from auxograph.functions.values import finite, require, without_null_keys
 from auxograph.sources.tables import read_folders
 
 
@@ -100,6 +97,27 @@ def group_key(column: str, pattern: str | None, missing_as: str | None = "nan"):
     return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit("")) if pattern is not None else F.col(column).cast("string")
 
 
+def _named_files(spark: SparkSession, staging: str, target: Callable[[str], str]) -> list[str]:
+    """Give the file of each value of a folder partitioned by one column its name, and delete the folder."""
+    files, root = _filesystem(spark, staging)
+    jvm, written = spark._jvm, []
+    for status in files.listStatus(root):
+        folder = status.getPath()
+        _, equals, key = folder.getName().partition("=")
+        if not equals:
+            continue
+        name = target(jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(key))
+        to = jvm.org.apache.hadoop.fs.Path(name)
+        files.mkdirs(to.getParent())
+        files.delete(to, False)
+        for part in files.listStatus(folder):
+            if part.getPath().getName().startswith("part-"):
+                files.rename(part.getPath(), to)
+        written.append(name)
+    files.delete(root, True)
+    return written
+
+
 def collate_by_group(
     spark: SparkSession,
     folders: Sequence[str],
@@ -121,61 +139,90 @@ def collate_by_group(
     keyed = rows.withColumn("_key", group_key(column, pattern)).where(F.col("_key").isNotNull())
     staging = os.path.join(parent, f".collate-{uuid.uuid4().hex}")
     keyed.repartition("_key").write.partitionBy("_key").option("header", True).csv(staging)
-    files, root = _filesystem(spark, staging)
-    jvm, written = spark._jvm, []
-    for status in files.listStatus(root):
-        folder = status.getPath()
-        if not folder.getName().startswith("_key="):
-            continue
-        key = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getName()[5:])
-        target = os.path.join(parent, key, output_name) if own_folders else os.path.join(parent, f"{key}_{output_name}")
-        to = jvm.org.apache.hadoop.fs.Path(target)
-        files.mkdirs(to.getParent())
-        files.delete(to, False)
-        for part in files.listStatus(folder):
-            if part.getPath().getName().startswith("part-"):
-                files.rename(part.getPath(), to)
-        written.append(target)
-    files.delete(root, True)
+    target = lambda key: os.path.join(parent, key, output_name) if own_folders else os.path.join(parent, f"{key}_{output_name}")
+    written = _named_files(spark, staging, target)
     return spark.createDataFrame([(w,) for w in sorted(written)], "output_file string")
 
 
+#: Parts that the rows of a series are spread over when they meet its bounds.
+SALTS = 16
+
+
+def plot_points(
+    df: DataFrame, keys: Sequence[str], time: str, value: str, fitted: str | None = None, spread: str | None = None, columns: int = 570
+) -> DataFrame:
+    """(keys, t0, t1, low, high, points, line): what a plot of each series has to show, at most four points per pixel column.
+
+    The time between ``t0`` and ``t1``, the bounds of the series, is cut into ``columns``; of each of them the
+    first, last, lowest and highest point stay, which draw the same picture as all points. ``points`` are
+    (t, v, s) with values and spreads, ``line`` is (t, v) of the fitted curve. A series may be of any length:
+    its rows are reduced where they are, before anything of it meets in one task.
+    """
+    none = F.lit(None).cast("double")
+    rows = without_null_keys(df, keys).select(
+        *keys, finite(time).alias("_t"), finite(value).alias("_v"), (finite(fitted) if fitted else none).alias("_f"), (finite(spread) if spread else none).alias("_s")
+    )
+    bounds = rows.groupBy(*keys).agg(
+        F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.least(F.min("_v"), F.min("_f")).alias("low"), F.greatest(F.max("_v"), F.max("_f")).alias("high")
+    )
+    spread_bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = rows.withColumn("_salt", F.pmod(F.xxhash64("_t", "_v"), F.lit(SALTS).cast("long"))).join(spread_bounds, [*keys, "_salt"])
+    length = F.col("t1") - F.col("t0")
+    column = F.when(length > 0, F.floor((F.col("_t") - F.col("t0")) / length * columns)).otherwise(F.lit(0)).cast("int")
+
+    def extremes(level: str) -> Column:
+        there = F.col("_t").isNotNull() & F.col(level).isNotNull()
+        t, v, s = F.col("_t").alias("t"), F.col(level).alias("v"), F.col("_s").alias("s")
+        by_time, by_level = F.when(there, F.struct(t, v, s)), F.when(there, F.struct(v, t, s))
+        turned = [F.struct(p["t"].alias("t"), p["v"].alias("v"), p["s"].alias("s")) for p in (F.min(by_level), F.max(by_level))]
+        return F.array(F.min(by_time), F.max(by_time), *turned)
+
+    reduced = met.groupBy(*keys, "t0", "t1", "low", "high", column.alias("_x")).agg(extremes("_v").alias("points"), extremes("_f").alias("line"))
+    merged = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda p: p["t"].isNotNull()))).alias(c)
+    return reduced.groupBy(*keys, "t0", "t1", "low", "high").agg(merged("points"), merged("line"))
+
+
+def _file_name(keys: Sequence[str]) -> Column:
+    """All keys; what isn't a letter, a digit, a hyphen or a full stop is written as its code point."""
+    plain = lambda c: F.when(c.rlike(r"^[\p{L}\p{N}.-]$"), c).otherwise(F.concat(F.lit("%"), F.lower(F.hex(F.ascii(c))), F.lit(";")))
+    parts = [F.array_join(F.transform(F.regexp_extract_all(F.col(k).cast("string"), F.lit("(?s)."), F.lit(0)), plain), "") for k in keys]
+    return F.concat(F.concat_ws("_", *parts), F.lit(".svg"))
+
+
 def svg_plots(
     df: DataFrame, keys: Sequence[str], time: str, value: str, fitted: str | None = None, spread: str | None = None, width: int = 640, height: int = 400
 ) -> DataFrame:
-    """(keys, file_name, svg): a plot per series, points with error bars and the fitted curve.
+    """(keys, file_name, svg): a plot per series, points with error bars and the fitted curve, drawn by column expressions.
 
-    File names hold all keys, and what isn't a letter, a digit, a hyphen or a full stop is written as its
-    code point, so two series never share one.
+    A plot shows the points of ``plot_points``, so its size is bounded by its width. File names hold all
+    keys, escaped, so two series never share one.
     """
-    columns = [c for c in (time, value, fitted, spread) if c]
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("file_name", T.StringType()), T.StructField("svg", T.StringType())])
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        levels = [c for c in (value, fitted) if c]
-        good = pdf[[time, *levels]].astype(float)
-        t0, t1 = good[time].min(), good[time].max()
-        low, high = good[levels].min().min(), good[levels].max().max()
-        x = lambda t: 50 + (t - t0) / ((t1 - t0) or 1) * (width - 70)
-        y = lambda v: height - 40 - (v - low) / ((high - low) or 1) * (height - 70)
-        shapes = []
-        for row in pdf[columns].astype(float).to_dict("records"):
-            if row[time] == row[time] and row[value] == row[value]:
-                if spread and row[spread] == row[spread]:
-                    shapes.append(f'<line x1="{x(row[time]):.1f}" x2="{x(row[time]):.1f}" y1="{y(row[value] - row[spread]):.1f}" y2="{y(row[value] + row[spread]):.1f}" stroke="#888"/>')
-                shapes.append(f'<circle cx="{x(row[time]):.1f}" cy="{y(row[value]):.1f}" r="2.5" fill="#246"/>')
-        if fitted:
-            points = " ".join(f"{x(t):.1f},{y(v):.1f}" for t, v in good[[time, fitted]].dropna().to_numpy())
-            shapes.append(f'<polyline points="{points}" fill="none" stroke="#c42" stroke-width="1.5"/>')
-        title = escape(", ".join(map(str, key)))
-        svg = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="50" y="20">{title}</text>{"".join(shapes)}</svg>'
-        name = "_".join("".join(c if c.isalnum() or c in "-." else f"%{ord(c):x};" for c in str(k)) for k in key) + ".svg"
-        return pd.DataFrame([[*key, name, svg]], columns=schema.names)
-
-    return without_null_keys(df, keys).select(*dict.fromkeys([*keys, *columns])).groupBy(*keys).applyInPandas(draw, schema)
+    series = plot_points(df, keys, time, value, fitted, spread, width - 70)
+    length, rise = (F.coalesce(F.nullif(F.col(b) - F.col(a), F.lit(0.0)), F.lit(1.0)) for a, b in (("t0", "t1"), ("low", "high")))
+    x = lambda t: F.lit(50.0) + (t - F.col("t0")) / length * (width - 70)
+    y = lambda v: F.lit(height - 40.0) - (v - F.col("low")) / rise * (height - 70)
+
+    def shape(p: Column) -> Column:
+        bar = F.format_string(
+            '<line x1="%.1f" x2="%.1f" y1="%.1f" y2="%.1f" stroke="#888"/>', x(p["t"]), x(p["t"]), y(p["v"] - p["s"]), y(p["v"] + p["s"])
+        )
+        dot = F.format_string('<circle cx="%.1f" cy="%.1f" r="2.5" fill="#246"/>', x(p["t"]), y(p["v"]))
+        return F.concat(F.when(p["s"].isNotNull(), bar).otherwise(F.lit("")), dot)
+
+    shapes = [F.array_join(F.transform("points", shape), "")]
+    if fitted:
+        ends = F.array_join(F.transform("line", lambda p: F.format_string("%.1f,%.1f", x(p["t"]), y(p["v"]))), " ")
+        shapes.append(F.concat(F.lit('<polyline points="'), ends, F.lit('" fill="none" stroke="#c42" stroke-width="1.5"/>')))
+    title = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(plain), F.lit(written))
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="50" y="20">'
+    svg = F.concat(F.lit(head), title, F.lit("</text>"), *shapes, F.lit("</svg>"))
+    return series.select(*keys, _file_name(keys).alias("file_name"), svg.alias("svg"))
 
 
 def save_plots(plots: DataFrame, folder: str) -> list[str]:
-    """Write the plots of ``svg_plots``, each under its name; they are fetched one at a time."""
-    return [write_text(plots.sparkSession, os.path.join(folder, r["file_name"]), r["svg"]) for r in plots.select("file_name", "svg").toLocalIterator()]
+    """Write the plots of ``svg_plots``, each under its name: one job writes them all, from its tasks."""
+    staging = os.path.join(folder, f".plots-{uuid.uuid4().hex}")
+    plots.select("file_name", "svg").write.partitionBy("file_name").text(staging)
+    return _named_files(plots.sparkSession, staging, lambda name: os.path.join(folder, name))

@@ -330,3 +330,24 @@ def test_file_names_of_plots(spark):
     rows = [(k, t, 1.0 + t) for k in ("a b", "a-b", "a_b", "a%20;b", "A b") for t in (0.0, 1.0)]
     names = [r.file_name for r in sinks.svg_plots(frame(spark, "k string, t double, v double", *rows), ["k"], "t", "v").collect()]
     assert len({n.lower() for n in names}) == 4 and len(set(names)) == 5
+
+
+def test_plots_of_long_series(spark):
+    """A plot shows at most four points a pixel column, the extremes of each among them, whatever the length of the series."""
+    long = spark.range(40_000, numPartitions=4).select(F.lit("a&b").alias("k"), (F.col("id") / 100.0).alias("t"), F.sin("id").alias("v"))
+    other = frame(spark, "k string, t double, v double", ("x", 1.0, 2.0), ("x", 1.0, 2.0), ("x", None, 5.0), ("none", None, None), (None, 1.0, 1.0))
+    shown = {r.k: r for r in sinks.plot_points(long.unionByName(other), ["k"], "t", "v", "v", columns=50).collect()}
+    assert set(shown) == {"a&b", "x", "none"} and [tuple(p) for p in shown["x"].points] == [(1.0, 2.0, None)]
+    assert shown["none"].points == shown["none"].line == []
+    import math
+
+    cells = {}
+    for i in range(40_000):
+        p = (i / 100.0, math.sin(i))
+        cells.setdefault(math.floor(p[0] / 399.99 * 50), []).append(p)
+    want = {f(c, key=key) for c in cells.values() for f in (min, max) for key in (lambda p: p, lambda p: (p[1], p[0]))}
+    got = [(p.t, p.v) for p in shown["a&b"].points]
+    assert len(got) <= 4 * 51 and got == sorted(got)
+    assert [t for t, _ in got] == sorted(t for t, _ in want)
+    svg = sinks.svg_plots(long, ["k"], "t", "v", "v").first()
+    assert svg.file_name == "a%26;b.svg" and "a&amp;b" in svg.svg and svg.svg.count("<circle") <= 4 * 571
