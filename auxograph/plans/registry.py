@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from auxograph.functions.tables import table_function
 from auxograph.operators import gompertz, joins, mapping, matrices, plates, series, sinks
 from auxograph.sources import experiments, plate_export, protocol, sbml, tables
 
@@ -89,6 +90,7 @@ OPERATORS: dict[str, Operator] = {
     "smart_join": Operator(joins.smart_join, names=_names(left_df="left", right_df="right", on_cols="on")),
     "smart_join_drop_right": Operator(joins.smart_join_drop_right, names=_names(left_df="left", right_df="right", on_cols="on")),
     "collate_by_strain": Operator(_collate, True),
+    "table_function": Operator(table_function),
     "build_mappings": Operator(_build_mappings),
     "build_supplement_flux_dataframe": Operator(matrices.flux_matrix, names=_names(**_MATRIX)),
     "build_AMN_inputs_dataframe": Operator(matrices.presence_matrix, names=_names(**_MATRIX)),

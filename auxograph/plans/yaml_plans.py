@@ -22,12 +22,14 @@ import os
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from auxograph.operators.sinks import write_output
+from auxograph.plans.actions import run_actions
 from auxograph.plans.registry import OPERATORS, SOURCES
 
 SHIPPED = os.path.join(os.path.dirname(__file__), "shipped")
@@ -76,14 +78,20 @@ class Plan:
         while self.persisted:
             self.persisted.pop().unpersist()
 
-    def run(self, spark: SparkSession) -> dict[str, Any]:
-        """Evaluate and write the outputs; results that the plan doesn't have are skipped."""
+    def run(self, spark: SparkSession, at_once: int = 1) -> dict[str, Any]:
+        """Evaluate and write the outputs, ``at_once`` at a time; results that the plan doesn't have are skipped.
+
+        An output that fails stops none of the others; all failures are raised together at the end.
+        """
         try:
             results = self.evaluate(spark)
-            for name, path in self.outputs.items():
-                write_output(results.get(name), path)
+            done = run_actions(spark, {name: partial(write_output, results.get(name), path) for name, path in self.outputs.items()}, at_once)
         finally:
             self.release()
+        if wrong := {name: o.error for name, o in done.items() if o.error}:
+            if len(wrong) == 1:
+                raise next(iter(wrong.values()))
+            raise ExceptionGroup(f"plan {self.name!r}: outputs {', '.join(wrong)} failed", list(wrong.values()))
         return results
 
 
@@ -164,18 +172,16 @@ def build_shipped(file: str, name: str, **options: Any) -> Plan:
     return build_file(os.path.join(SHIPPED, file), name, **options)
 
 
-def run_batch(spark: SparkSession, text: str, name: str, runs: Mapping[str, Mapping[str, str]], output_dir: str) -> dict[str, str]:
-    """Run a plan for several sets of sources, each into its own folder: run name to "ok" or the error.
+def run_batch(spark: SparkSession, text: str, name: str, runs: Mapping[str, Mapping[str, str]], output_dir: str, at_once: int = 1) -> dict[str, str]:
+    """Run a plan for several sets of sources, each into its own folder, ``at_once`` at a time: run name to "ok" or the error.
 
     A run that fails does not stop the others.
     """
-    done = {}
-    for key, sources in runs.items():
+
+    def one(key: str, sources: Mapping[str, str]) -> None:
         folder = os.path.join(output_dir, key)
         os.makedirs(folder, exist_ok=True)
-        try:
-            build(text, name, folder, sources).run(spark)
-            done[key] = "ok"
-        except Exception as error:  # noqa: BLE001  a batch reports failures of any kind
-            done[key] = f"{type(error).__name__}: {error}"
-    return done
+        build(text, name, folder, sources).run(spark)
+
+    done = run_actions(spark, {key: partial(one, key, sources) for key, sources in runs.items()}, at_once)
+    return {key: f"{type(o.error).__name__}: {o.error}" if o.error else "ok" for key, o in done.items()}

@@ -1,7 +1,9 @@
 import os
 
 import pytest
+from auxograph.functions import tables
 from auxograph.plans import diagrams
+from auxograph.plans.actions import run_actions
 from auxograph.plans.cli import main
 from auxograph.plans.dataflow import Fork, Identity, MissingArguments, Step
 from auxograph.plans.registry import register
@@ -161,3 +163,78 @@ def test_diagrams(tmp_path):
     assert main(["draw", str(tmp_path / "p.yaml"), "--format", "html", "--output", str(tmp_path / "p.html")]) == 0
     with open(os.path.join(SHIPPED, "growth.yaml"), encoding="utf-8") as f:
         assert len(diagrams.plan_names(f.read())) == 3
+
+
+def test_actions_overlap(spark, tmp_path):
+    """Two jobs wait for each other in their tasks; a third fails, and its error comes with their results."""
+
+    def waiting(mine, theirs):
+        def rows(batches):
+            import time
+            from pathlib import Path
+
+            Path(mine).touch()
+            until = time.time() + 60
+            while not Path(theirs).exists():
+                assert time.time() < until, "the other job does not run"
+                time.sleep(0.05)
+            yield from batches
+
+        return spark.range(3).repartition(1).mapInPandas(rows, "id long")
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    shared = {"a": lambda: waiting(a, b).count(), "b": lambda: waiting(b, a).count(), "c": lambda: spark.range(1).select("nothing").count()}
+    done = run_actions(spark, shared, at_once=3)
+    assert list(done) == ["a", "b", "c"] and (done["a"].value, done["b"].value) == (3, 3)
+    assert done["a"].error is None and "nothing" in str(done["c"].error)
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    serial = run_actions(spark, {"x": lambda: 1 / 0, "y": lambda: 2}, at_once=1)
+    assert isinstance(serial["x"].error, ZeroDivisionError) and serial["y"].value == 2
+    with pytest.raises(ValueError):
+        run_actions(spark, {}, at_once=0)
+
+
+TWO_OUTPUTS = """
+pipelines:
+  - both:
+      Inputs:
+        - given: [{src: none}, {package: tables}, {method: read_csv}, {schema: "k string, v double"}]
+      Processes:
+        - good: {package: tables, method: table_function, parameters: {df: given, function: rising_runs, partition_by: [k], order_by: [v], key: k, value: v}}
+        - bad: {package: test, method: broken_rows, parameters: {df: given}}
+        - worse: {package: test, method: broken_rows, parameters: {df: given}}
+      Outputs:
+        - bad: bad.csv
+        - good: good.csv
+        - worse: worse.csv
+"""
+
+
+def test_outputs_at_once(spark, tmp_path):
+    """An output that fails stops none of the others; their errors come together."""
+    from pyspark.sql import functions as F
+
+    register("broken_rows", lambda df: df.withColumn("v", F.raise_error(F.lit("broken")).cast("double")))
+    (tmp_path / "in.csv").write_text("k,v\na,1\nb,\nb,3\n")
+    plan = build(TWO_OUTPUTS, "both", str(tmp_path / "out"), {"given": str(tmp_path / "in.csv")})
+    (tmp_path / "out").mkdir()
+    with pytest.raises(ExceptionGroup, match="bad, worse failed") as raised:
+        plan.run(spark, at_once=3)
+    assert len(raised.value.exceptions) == 2
+    assert sorted((tmp_path / "out" / "good.csv").read_text().split()) == ["a,1,1,1.0,1.0", "b,1,1,3.0,3.0", "series,run,n,first_value,last_value"]
+
+
+def test_table_functions(spark):
+    """Runs by hand, nulls left out; unknown functions and columns are errors before anything runs."""
+    rows = [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 2.0), ("a", 4, None), ("a", 5, 0.5), ("b", 1, None), (None, 1, 3.0), (None, 2, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(3)
+    got = tables.table_function(df, "rising_runs", ["k"], ["t"], key="k", value="v")
+    want = [("a", 1, 3, 1.0, 2.0), ("a", 2, 1, 0.5, 0.5), (None, 1, 1, 3.0, 3.0), (None, 2, 1, 1.0, 1.0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert tables.table_function(df.limit(0), "rising_runs", ["k"], key="k", value="v").count() == 0
+    with pytest.raises(ValueError, match="no table function"):
+        tables.table_function(df, "none", ["k"])
+    with pytest.raises(Exception, match="has no column w"):
+        tables.table_function(df, "rising_runs", ["k"], key="k", value="w").schema  # noqa: B018
+    with pytest.raises(TypeError):
+        tables.register_table_function("x", object)
