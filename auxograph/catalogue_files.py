@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auxograph.functions.tables import use_table_functions
 from auxograph.operators import plates, sinks
-from auxograph.plans.yaml_plans import build
-from auxograph.registered import event_series, folder, query, r6, table
-from auxograph.sources import exchanges, experiments, plate_export, protocol, sbml, tables
+from auxograph.plans.yaml_plans import build, build_shipped
+from auxograph.registered import ORACLES, event_series, folder, query, r6, table
+from auxograph.sources import exchanges, experiments, formats, plate_export, protocol, sbml, tables
 
 HOURS_OF_DAY = range(24)
 
@@ -63,6 +64,28 @@ def read_plate(spark, sf_dir):
     return _of_plate(plate_export.read_plate(spark, plate_files(spark, sf_dir))).withColumn("od", F.round("od", 6))
 
 
+def _as_lines(spark: SparkSession, path: str, most: int):
+    """The lines of plates as the format ``plate_export`` has them, of a table and of a stream."""
+    formats.register_formats(spark)
+    return [r.format("plate_export").option("maxBytes", most).option("settle", 0).load(path) for r in (spark.read, spark.readStream)]
+
+
+@query(ORACLES["read_plate"])
+def plates_by_range(spark, sf_dir):
+    """Plates read by ranges of bytes, which cut files between or within lines."""
+    path = plate_files(spark, sf_dir)
+    return _of_plate(plate_export.readings_of_lines(_as_lines(spark, path, 1_500_000)[0])).withColumn("od", F.round("od", 6))
+
+
+@query(ORACLES["read_plate"])
+def plates_by_stream(spark, sf_dir):
+    """Plates that a stream takes from their folder, kept as Parquet."""
+    table_of, stream = (plate_export.readings_of_lines(x) for x in _as_lines(spark, plate_files(spark, sf_dir), 16 << 20))
+    out, seen = folder(spark, "plates-kept"), folder(spark, "plates-seen")
+    stream.writeStream.format("parquet").option("checkpointLocation", seen).trigger(availableNow=True).start(out).awaitTermination()
+    return _of_plate(spark.read.schema(table_of.schema).parquet(out)).withColumn("od", F.round("od", 6))
+
+
 def protocol_file(spark: SparkSession, sf_dir: str) -> str:
     """A protocol of 96 wells from all customers; its section comes twice, and a well of it twice."""
     wells = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 96).alias("k")).agg(
@@ -197,6 +220,20 @@ def sbml_bounds(spark, sf_dir):
     return sbml.read_bounds(spark, model_file(spark, sf_dir))
 
 
+@query(
+    """select lower(p_name) || ' ' || p_partkey as name, 'EX_p' || p_partkey || '_e' as exchange_reaction from part where p_partkey % 2 = 0
+    union all select 'q' || p_partkey, 'EX_p' || p_partkey || '_e' from part where p_partkey % 2 = 1"""
+)
+def sbml_fallback(spark, sf_dir):
+    """A model without names of species: reactions with a species have its id as key, those without have their own name."""
+    k = F.col("p_partkey")
+    species = F.when(k % 2 == 1, F.concat(F.lit('<listOfReactants><speciesReference species="q'), k.cast("string"), F.lit('"/></listOfReactants>'))).otherwise("")
+    line = F.concat(F.lit('<reaction id="R_EX_p'), k.cast("string"), F.lit('_e" name="'), "p_name", F.lit(" "), k.cast("string"), F.lit('_e">'), species, F.lit("</reaction>"))
+    lines = table(spark, sf_dir, "part").select(k.cast("long").alias("n"), line.alias("line"))
+    ends = [(-1, "<sbml><model>"), (1 << 40, "</model></sbml>")]
+    return sbml.read_exchanges(spark, _write_lines(lines.unionByName(spark.createDataFrame(ends, "n long, line string")), folder(spark, "model")))
+
+
 @query("select n_name as name, case when n_regionkey > 0 then 'iupac ' || n_nationkey end as iupac_name, 'EX_' || n_nationkey || '_e' as exchange_reaction from nation")
 def name_exchanges(spark, sf_dir):
     """A static table of names and exchanges, as a file."""
@@ -226,6 +263,49 @@ def collate_by_pattern(spark, sf_dir):
     return files.select(file.alias("file"), "experiment", "name", r6("bal", "bal"))
 
 
+@query(
+    """with r as (select c_mktsegment as strain, c_name as name, c_acctbal as bal, 'first' as experiment from customer where c_custkey % 3 <> 0
+      union all select c_mktsegment, c_name, c_acctbal, 'second' from customer where c_custkey % 3 = 0
+      union all select s_name, s_name, s_acctbal, 'second' from supplier)
+    select regexp_extract(strain, '[A-Za-z]+') as file, experiment, name, round(bal, 6) as bal from r"""
+)
+def shipped_collate(spark, sf_dir):
+    """The shipped plan that puts the growth tables of experiments together, a file for each strain."""
+    root = folder(spark, "shipped")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("strain"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), "c_custkey")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("strain"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    third = F.col("c_custkey") % 3 == 0
+    for experiment, rows in (("first", customers.where(~third).drop("c_custkey")), ("second", customers.where(third).drop("c_custkey").unionByName(suppliers))):
+        sinks.write_folder(rows, f"{root}/in/{experiment}/growth_rates.csv")
+    build_shipped("models.yaml", "collate_per_strain_pipeline", output_dir=f"{root}/out", sources={"folders_list": f"{root}/in"}).run(spark)
+    written = tables.read_csv(spark, f"{root}/out/report.csv", "output_file string")
+    files = tables.read_csv(spark, [r["output_file"] for r in written.collect()], "strain string, name string, bal double, experiment string")
+    file = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/report.csv$", 1)
+    return files.select(file.alias("file"), "experiment", "name", r6("bal", "bal"))
+
+
+@query(
+    """with e as (select user_id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as t, value as v from events),
+    b as (select *, min(t) over (partition by user_id) as t0, max(t) over (partition by user_id) as t1 from e),
+    x as (select *, case when t1 > t0 then floor((t - t0) / (t1 - t0) * 570)::int else 0 end as x from b where t is not null and v is not null and isfinite(v)),
+    r as (
+      select *, row_number() over (partition by user_id, x order by t, v) as n1, row_number() over (partition by user_id, x order by t desc, v desc) as n2,
+        row_number() over (partition by user_id, x order by v, t) as n3, row_number() over (partition by user_id, x order by v desc, t desc) as n4 from x
+    )
+    select distinct user_id, round(t, 6) as t, round(v, 6) as v from r where least(n1, n2, n3, n4) = 1"""
+)
+def written_plots(spark, sf_dir):
+    """What plots of each user's values show, written and read back: a file per plot, whose circles are counted and placed."""
+    series = event_series(spark, sf_dir)
+    root = folder(spark, "plots")
+    sinks.save_plots(sinks.svg_plots(series, ["user_id"], "t", "v"), root)
+    drawn = spark.read.text(root, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_name"), "^([0-9]+)[.]svg$", 1).cast("long").alias("user_id"), F.regexp_count("value", F.lit("<circle")).alias("n")
+    )
+    shown = sinks.plot_points(series, ["user_id"], "t", "v").join(drawn, "user_id").where(F.col("n") == F.size("points"))
+    return shown.select("user_id", F.explode("points").alias("p")).select("user_id", r6("p.t", "t"), r6("p.v", "v")).distinct()
+
+
 @query("select p_partkey, p_name, p_brand, p_size, round(p_retailprice, 6) as p_retailprice from part")
 def written_table(spark, sf_dir):
     """A table as one CSV file under its name, read back with inferred types."""
@@ -276,3 +356,42 @@ def plan_rates(spark, sf_dir):
     build(PLAN, "rates", f"{root}/out", {"readings": f"{root}/in"}).run(spark)
     done = spark.read.parquet(f"{root}/out/rates.parquet")
     return done.select("user_id", "n", "success", r6("mv_mu_max", "mv_mu_max"), r6("max_value", "max_value"))
+
+
+RUNS = """
+pipelines:
+  - runs:
+      Inputs:
+        - readings: [{src: none}, {package: tables}, {method: read_csv}, {schema: "user_id long, t double, v double, event_id long"}]
+      Processes:
+        - runs: {package: tables, method: table_function, parameters: {df: readings, function: rising_runs, partition_by: [user_id], order_by: [t, event_id], key: user_id, value: v}}
+      Outputs:
+        - runs: runs.parquet/
+"""
+
+_RUNS = """with e as (select user_id, ts, event_id, value as v from events where value is not null),
+    s as (select *, case when v >= lag(v) over w then 0 else 1 end as first from e window w as (partition by user_id order by ts, event_id)),
+    r as (select *, sum(first) over (partition by user_id order by ts, event_id rows unbounded preceding)::int as run from s)
+    select user_id as series, run, count(*) as n, round(min(v), 6) as first_value, round(max(v), 6) as last_value from r group by 1, 2"""
+
+
+@query(_RUNS)
+def rising_runs_of_plan(spark, sf_dir):
+    """A plan calls a table function on groups of a table."""
+    root = folder(spark, "runs")
+    sinks.write_folder(event_series(spark, sf_dir), f"{root}/in")
+    build(RUNS, "runs", f"{root}/out", {"readings": f"{root}/in"}).run(spark)
+    return _rounded_runs(spark.read.parquet(f"{root}/out/runs.parquet"))
+
+
+@query(_RUNS)
+def rising_runs_of_sql(spark, sf_dir):
+    """SQL calls the same table function by its name."""
+    use_table_functions(spark)
+    event_series(spark, sf_dir).createOrReplaceTempView("_readings")
+    called = "rising_runs(table(select * from _readings) partition by user_id order by (t, event_id), key => 'user_id', value => 'v')"
+    return _rounded_runs(spark.sql(f"select * from {called}"))
+
+
+def _rounded_runs(runs: DataFrame) -> DataFrame:
+    return runs.select("series", "run", "n", r6("first_value", "first_value"), r6("last_value", "last_value"))
