@@ -4,7 +4,8 @@ Each document becomes one entry (digest of its normalised text, its normalised l
 Entries start in ``fan ** rounds`` runs, chosen by a hash of their identifier. In round r the runs
 whose addresses differ only in digit r form one merge group, and each of them sends its entries to
 the member whose digit r equals digit r of the digest's hash; the receiver merges what it gets from
-all ``fan`` members. This is the binomial exchange, for which ``fan`` is 2. At every level a
+all ``fan`` members. This is the binomial exchange (``fan`` 2) with several of its rounds taken as one
+multiway merge: by default the largest fan up to 16 that leaves ``ROUNDS`` rounds or more. At every level a
 digest keeps one entry: the best one seen below it and the number of documents below it. After the
 last round the address is a function of the digest alone, so all equal texts have met.
 
@@ -23,14 +24,15 @@ text together with its length and an independent 64-bit hash.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auxograph.llm.shared import BLANKS, Scratch, spread
 
 KEY = ["digest", "n_bytes", "check"]
+#: Runs that a merge may take, and rounds that there are at least while there are enough runs.
+FANS = (2, 4, 8, 16)
+ROUNDS = 3
 
 
 def normalised(text: Column) -> Column:
@@ -46,11 +48,19 @@ def _rerouted(digit: int, fan: int) -> Column:
     return address + (own - old) * fan**digit
 
 
+def _rounds(runs: int, fan: int) -> int:
+    """Rounds after which ``runs`` runs are one, ``fan`` of them merged at a time."""
+    rounds = 1
+    while fan**rounds < runs:
+        rounds += 1
+    return rounds
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    fan: int = 2,
+    fan: int | None = None,
     leaves: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points.
@@ -64,13 +74,16 @@ def exact_groups(
       (``kept`` is true once per group), so repeated rows are dropped like any copies.
     * An empty table gives an empty result. Other columns of ``docs`` are not read.
 
-    ``leaves``: least number of runs; by default the session's number of shuffle partitions.
+    ``leaves``: least number of runs; by default the session's number of shuffle partitions. ``fan``: runs
+    that a merge takes; the result is the same for every fan.
     """
-    if fan < 2 or fan > 16 or fan & (fan - 1):
+    if fan is not None and fan not in FANS:
         raise ValueError("fan must be 2, 4, 8 or 16")
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    rounds = max(1, math.ceil(math.log(max(2, leaves or spread(spark)), fan) - 1e-9))
+    runs = leaves or spread(spark)
+    fan = fan or max((f for f in FANS if _rounds(runs, f) >= ROUNDS), default=FANS[0])
+    rounds = _rounds(runs, fan)
     flat = normalised(F.col(text_col))
     entries = docs.select(
         F.col(id_col).alias("doc_id"),

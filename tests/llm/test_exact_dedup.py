@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from auxograph.llm.exact_dedup import exact_groups
+import pytest
+from auxograph.llm.exact_dedup import _rounds, exact_groups
 
 
 def brute(rows):
@@ -45,3 +46,9 @@ def test_hot_group_and_empty_table(spark, documents):
     rows = [(i, "copy" if i % 3 else f"own {i}") for i in range(999)]
     assert found(exact_groups(documents(rows), leaves=64)) == brute(rows)
     assert exact_groups(documents([])).count() == 0
+    with pytest.raises(ValueError):
+        exact_groups(documents([]), fan=3)
+
+
+def test_rounds():
+    assert [_rounds(n, f) for n, f in ((1, 2), (2, 2), (3, 2), (8, 2), (9, 2), (64, 4), (65, 4), (4096, 16), (4097, 16))] == [1, 1, 2, 3, 4, 3, 4, 3, 4]
