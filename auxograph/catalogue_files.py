@@ -72,7 +72,7 @@ def _as_lines(spark: SparkSession, path: str, most: int):
 
 @query(ORACLES["read_plate"])
 def plates_by_range(spark, sf_dir):
-    """Plates read by ranges of bytes, which cut files between or within lines."""
+    """Plates read by ranges of bytes, small files of which share a task."""
     path = plate_files(spark, sf_dir)
     return _of_plate(plate_export.readings_of_lines(_as_lines(spark, path, 1_500_000)[0])).withColumn("od", F.round("od", 6))
 
