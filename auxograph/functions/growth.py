@@ -51,3 +51,13 @@ def capped_bound(bound: str | Column, limit: float = 10_000, cap: int = 1_000) -
 def exchange_name(name: str | Column) -> Column:
     """A metabolite's name as a key: without any ``_e``, underscores as spaces, in lower case."""
     return F.lower(F.trim(F.translate(F.replace(col(name), F.lit("_e"), F.lit("")), "_", " ")))
+
+
+def exact_ln(c: Column) -> Column:
+    """The natural logarithm of a number, rounded as the C library does it (Java's own: ``java.lang.Math``).
+
+    ``F.ln`` takes Java's strict logarithm, which is another in the last digit of 1.3 % of values (0.02 % here); such a digit
+    decides which of two equal maxima of smoothed logarithms is the first after rounding.
+    """
+    number = F.coalesce(c.cast("double"), F.lit(float("nan")))
+    return F.java_method(F.lit("java.lang.Math"), F.lit("log"), number).cast("double")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auxograph.functions.growth import FLAT_RANGE
+from auxograph.functions.growth import FLAT_RANGE, exact_ln
 from auxograph.functions.values import finite, is_finite, require, without_null_keys
 from auxograph.operators.blocks import BLOCK, OWN, PLACE, in_blocks, own_rows, running_count
 
@@ -45,7 +45,7 @@ def log_ratio(
     """
     require(df, [value, time, *keys], "log_ratio")
     rows = without_null_keys(df, keys)
-    logarithm = F.when((F.col(baseline) > 0) & (finite(value) > 0), F.ln(F.col(value) / F.col(baseline)))
+    logarithm = F.when((F.col(baseline) > 0) & (finite(value) > 0), exact_ln(F.col(value) / F.col(baseline)))
     if block_rows:
         counted = running_count(in_blocks(rows, keys, [time, *ties], block_rows), keys, is_finite(value), "_nth")
         early = counted.where(is_finite(value) & (F.col("_nth") <= window)).groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(baseline))
@@ -178,7 +178,7 @@ def max_growth_rate(
         F.count("*").cast("int").alias("n"),
         (F.max("_y") - F.min("_y")).alias("_range"),
         F.max_by(F.struct("slope", "slope_r2", "slope_rmse", F.col(time).alias("start")), F.when(F.col("slope").isNotNull(), best)).alias("_best"),
-        F.max_by(F.struct(F.col("_level").alias("level"), F.col(time).alias("at")), F.struct(F.round("_y", 12).alias("y"), (-F.col(time)).alias("t"))).alias("_top"),
+        F.max_by(F.struct(F.col("_level").alias("level"), F.col(time).alias("at")), F.struct(F.round(F.col("_y") * 1e12).alias("y"), (-F.col(time)).alias("t"))).alias("_top"),
     )
     everything = rows.groupBy(*keys).agg(*_first_row_aggregates(metadata, early)) if metadata else rows.select(*keys).distinct()
     flat = (F.col("n") < min_points) | (F.col("_range") <= FLAT_RANGE) | F.col("n").isNull()

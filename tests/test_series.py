@@ -1,8 +1,10 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from auxograph import catalogue
 from auxograph.operators import blocks, gompertz, series
 from auxograph.operators.gompertz import curve
 from pyspark.sql import functions as F
@@ -247,3 +249,18 @@ def test_large_fit(spark):
                 for name in ("y0", "A", "mu_max", "lambda", "r2", "rmse", "max_value", "max_time"):
                     assert found[g][name] == (None if w[name] is None else pytest.approx(w[name], rel=1e-6, abs=1e-6)), (g, name)
         assert want[0].success and not want[3].success
+
+
+def test_equal_maxima_are_told_apart_as_in_sql(spark, tmp_path):
+    # two maxima are equal to the last digits, where Java's logarithm and the C library's part, and lie at the bound of the 12th
+    values = [
+        4.09, 33.6, 41.91, 13.94, 38.08, 5.58, 113.41, 49.52, 32.87, 42.21, 8.88, 114.52, 29.97, 33.08, 88.92, 5.6, 36.96, 0.86, 44.29, 53.16, 47.61, 16.67, 114.35,
+        2.65, 132.61, 97.23, 122.32, 19.92, 244.86, 21.95, 37.18, 56.09, 119.16, 46.27, 135.73, 26.36, 62.49, 105.29, 13.23, 76.08, 24.68, 13.51, 1.34, 119.59, 19.11,
+        20.61, 14.91, 39.11, 40.99, 37.96, 6.21, 96.83, 62.17, 58.86, 94.3, 89.95, 6.44, 95.41, 19.28, 7.92, 63.47, 12.5, 63.28, 53.78, 127.65, 14.75, 58.67, 23.43, 34.24,
+    ]
+    db = duckdb.connect()
+    db.execute("create table events as select i as event_id, timestamp '2024-01-01' + i * interval '1 hour' as ts, 1::bigint as user_id, v as value from (select unnest(range(len($1))) as i, unnest($1) as v)", [values])
+    db.execute(f"copy events to '{tmp_path}/events.parquet'")
+    want = db.execute(f"select max_time, max_value from ({catalogue.oracle_sql()['max_growth_rate']})").fetchone()
+    got = catalogue.queries()["max_growth_rate"](spark, str(tmp_path)).select("max_time", "max_value").first()
+    assert tuple(got) == pytest.approx(want, rel=1e-6)
