@@ -298,7 +298,7 @@ def written_plots(spark, sf_dir):
     """What plots of each user's values show, written and read back: a file per plot, whose circles are counted and placed."""
     series = event_series(spark, sf_dir)
     root = folder(spark, "plots")
-    sinks.save_plots(sinks.svg_plots(series, ["user_id"], "t", "v"), root)
+    sinks.write_files(sinks.svg_plots(series, ["user_id"], "t", "v").select("file_name", "svg"), root)
     drawn = spark.read.text(root, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_name"), "^([0-9]+)[.]svg$", 1).cast("long").alias("user_id"), F.regexp_count("value", F.lit("<circle")).alias("n")
     )

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,8 +224,36 @@ def svg_plots(
     return series.select(*keys, _file_name(keys).alias("file_name"), svg.alias("svg"))
 
 
+def written_files(texts: DataFrame, folder: str) -> DataFrame:
+    """Write each row of (file_name, text) as a file of ``folder`` when the result, (file_name), is asked for.
+
+    Tasks write their files themselves, through pyarrow's file systems: there is no folder per file, and nothing is left to
+    rename. A file has its name only when it is whole, so a task that runs twice does no harm.
+    """
+    place = folder if "://" in folder else os.path.abspath(re.sub("^[a-z0-9]+:/+", "/", folder))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(place)
+        local = isinstance(files, fs.LocalFileSystem)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(draft) as f:
+                    f.write(f"{text or ''}\n".encode())
+                if local and os.path.exists(f"{root}/.{name}.crc"):
+                    os.remove(f"{root}/.{name}.crc")  # the checksum of a file that Hadoop wrote under this name
+                files.move(draft, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file_name"])
+
+    return texts.toDF("file_name", "text").mapInArrow(write, "file_name string")
+
+
+def write_files(texts: DataFrame, folder: str) -> None:
+    """``written_files`` at once; no name comes to the driver."""
+    written_files(texts, folder).write.format("noop").mode("overwrite").save()
+
+
 def save_plots(plots: DataFrame, folder: str) -> list[str]:
     """Write the plots of ``svg_plots``, each under its name: one job writes them all, from its tasks."""
-    staging = os.path.join(folder, f".plots-{uuid.uuid4().hex}")
-    plots.select("file_name", "svg").write.partitionBy("file_name").text(staging)
-    return _named_files(plots.sparkSession, staging, lambda name: os.path.join(folder, name))
+    return [os.path.join(folder, r["file_name"]) for r in written_files(plots.select("file_name", "svg"), folder).collect()]
