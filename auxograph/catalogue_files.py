@@ -22,7 +22,15 @@ def _write_lines(lines: DataFrame, path: str, file: str | None = None) -> str:
     if file is None:
         lines.repartition(1).sortWithinPartitions("n").select("line").write.text(path)
     else:
-        lines.repartition(file).sortWithinPartitions(file, "n").select(file, "line").write.partitionBy(file).text(path)
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+        texts = lines.groupBy(file).agg(F.array_join(ordered, "\n").alias("text"))
+        sinks.write_files(texts.select(F.concat(F.lit(f"{file}="), F.col(file).cast("string"), F.lit(".csv")).alias("name"), "text"), path)
+    return path
+
+
+def _write_parts(lines: DataFrame, path: str) -> str:
+    """Write (n, line) as parts of one text, each a range of ``n``: no task has all of it, neither here nor where it is read."""
+    lines.repartitionByRange("n").sortWithinPartitions("n").select("line").write.text(path)
     return path
 
 
@@ -154,7 +162,7 @@ _EXPERIMENTS = """u as (
 
 def _experiments(spark: SparkSession, sf_dir: str) -> experiments.Experiments:
     raw, protocols = experiment_files(spark, sf_dir)
-    number = lambda root: spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", "plate=([0-9]+)/", 1).alias("experiment"), "path")
+    number = lambda root: spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", "plate=([0-9]+)[.]", 1).alias("experiment"), "path")
     pairs = number(raw).withColumnRenamed("path", "raw_file").join(number(protocols).withColumnRenamed("path", "protocol_file"), "experiment")
     missing = spark.createDataFrame([("none", "no/such.csv", "neither.csv")], experiments.PAIRS)
     return experiments.read_experiments(spark, raw, protocols, pairs.select(missing.columns).unionByName(missing))

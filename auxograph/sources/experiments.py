@@ -67,7 +67,10 @@ def read_protocols(spark: SparkSession, path: Paths) -> tuple[DataFrame, DataFra
     Each file has its own columns, in its own order: what a file lacks is null in its rows. Of repeated wells
     of a file the first counts. A file without the section, or whose section has no column Well, is an error.
     """
-    lines = text_lines(spark, path)
+    return _wells(stored(text_lines(spark, path), "protocol-lines"))
+
+
+def _wells(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = sections(lines).where(F.contains("title", F.lit(SECTION)))
     cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(WIDEST))))
     by_file = Window.partitionBy("source_file")
@@ -91,7 +94,10 @@ def read_protocols(spark: SparkSession, path: Paths) -> tuple[DataFrame, DataFra
 
 def read_plates(spark: SparkSession, path: Paths, value: str = "od") -> tuple[DataFrame, DataFrame]:
     """Readings of many exports, as ``read_plate`` has them, and errors (source_file, error) in place of a failure."""
-    files = split_files(spark, path)
+    return _readings(stored(split_files(spark, path), "plate-lines"), value)
+
+
+def _readings(files: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     errors = files.where("_header is null").select("source_file", F.lit(f"no line starts with '{HEADER}'").alias("error"))
     return readings_of(files.where("_header is not null"), value), errors
 
@@ -125,12 +131,13 @@ def read_experiments(spark: SparkSession, raw: Paths, protocols: Paths, pairs: D
     twice = pairs.groupBy("experiment").agg(F.count("*").alias("n"), F.max("raw_file").alias("file")).where("n > 1")
     errors = twice.select("experiment", "file", F.lit("the experiment comes twice").alias("error"))
     once = pairs.join(twice, "experiment", "left_anti")
-    readings, bad_plates = read_plates(spark, raw, value)
-    wells, bad_protocols = read_protocols(spark, protocols)
+    # every file is opened once: what follows reads their lines from tables
+    exports, lines = stored(split_files(spark, raw), "plate-lines"), stored(text_lines(spark, protocols), "protocol-lines")
+    readings, bad_plates = _readings(exports, value)
+    wells, bad_protocols = _wells(lines)
     good = []
-    for column, path, bad in (("raw_file", raw, bad_plates), ("protocol_file", protocols, bad_protocols)):
-        listed = spark.read.text([path] if isinstance(path, str) else list(path), wholetext=True).select(F.col("_metadata.file_path").alias("source_file"))
-        met, unknown = _files(once, column, listed)
+    for column, found, bad in (("raw_file", exports, bad_plates), ("protocol_file", lines, bad_protocols)):
+        met, unknown = _files(once, column, found.select("source_file").distinct())
         broken = met.join(bad, "source_file").select("experiment", "file", "error")
         errors = errors.unionByName(unknown).unionByName(broken)
         good.append(met.select("experiment", F.col("source_file").alias(column)))
