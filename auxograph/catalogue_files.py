@@ -5,6 +5,7 @@ Files are bounded: a plate holds 96 users, so more data make more plates.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,15 @@ def _write_lines(lines: DataFrame, path: str, file: str | None = None) -> str:
     return path
 
 
-def _write_parts(lines: DataFrame, path: str) -> str:
-    """Write (n, line) as parts of one text, each a range of ``n``: no task has all of it, neither here nor where it is read."""
-    lines.repartitionByRange("n").sortWithinPartitions("n").select("line").write.text(path)
+def _write_model(lines: DataFrame, path: str, begin: str, end: str) -> str:
+    """Write (n, line) as documents between ``begin`` and ``end``, each a range of ``n``: no task has all, neither here nor where they are read."""
+
+    def document(batches):
+        yield pa.RecordBatch.from_pydict({"line": [begin]})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"line": [end]})
+
+    lines.repartitionByRange("n").sortWithinPartitions("n").select("line").mapInArrow(document, "line string").write.text(path)
     return path
 
 
@@ -210,8 +217,8 @@ def model_file(spark: SparkSession, sf_dir: str) -> str:
     lines = part.select(
         F.inline(F.array(*[F.struct((F.col("k") + 1 + i * big).alias("n"), F.col(c).alias("line")) for i, c in enumerate(("parameter", "species", "reaction"))]))
     )
-    ends = [(0, '<sbml xmlns:fbc="http://www.sbml.org/sbml/level3/version1/fbc/version2"><model>'), (4 * big, "</model></sbml>")]
-    return _write_lines(lines.unionByName(spark.createDataFrame(ends, "n long, line string")), folder(spark, "model"))
+    begin = '<sbml xmlns:fbc="http://www.sbml.org/sbml/level3/version1/fbc/version2"><model>'
+    return _write_model(lines, folder(spark, "model"), begin, "</model></sbml>")
 
 
 @query("""select lower(p_name) || ' ' || p_partkey as name, 'EX_p' || p_partkey || '_e' as exchange_reaction from part where p_partkey % 3 <> 0""")
@@ -238,8 +245,7 @@ def sbml_fallback(spark, sf_dir):
     species = F.when(k % 2 == 1, F.concat(F.lit('<listOfReactants><speciesReference species="q'), k.cast("string"), F.lit('"/></listOfReactants>'))).otherwise("")
     line = F.concat(F.lit('<reaction id="R_EX_p'), k.cast("string"), F.lit('_e" name="'), "p_name", F.lit(" "), k.cast("string"), F.lit('_e">'), species, F.lit("</reaction>"))
     lines = table(spark, sf_dir, "part").select(k.cast("long").alias("n"), line.alias("line"))
-    ends = [(-1, "<sbml><model>"), (1 << 40, "</model></sbml>")]
-    return sbml.read_exchanges(spark, _write_lines(lines.unionByName(spark.createDataFrame(ends, "n long, line string")), folder(spark, "model")))
+    return sbml.read_exchanges(spark, _write_model(lines, folder(spark, "model"), "<sbml><model>", "</model></sbml>"))
 
 
 @query("select n_name as name, case when n_regionkey > 0 then 'iupac ' || n_nationkey end as iupac_name, 'EX_' || n_nationkey || '_e' as exchange_reaction from nation")

@@ -28,8 +28,8 @@ def _value(c) -> Column:
 
 
 def _exchanges(spark: SparkSession, path: str) -> DataFrame:
-    """Reactions whose id, without a leading ``R_``, begins with ``EX_``; ``_n`` is the order in the file."""
-    rows = _rows(spark, path, "reaction", _REACTION).withColumn("_n", F.monotonically_increasing_id())
+    """Reactions whose id, without a leading ``R_``, begins with ``EX_``; ``_n`` is the order of files and in a file."""
+    rows = _rows(spark, path, "reaction", _REACTION).withColumn("_n", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")))
     return rows.withColumn("exchange_reaction", F.regexp_replace("_id", "^R_", "")).where(F.startswith("exchange_reaction", F.lit("EX_")))
 
 

@@ -3,9 +3,10 @@
 import os
 import shutil
 
+import duckdb
 from auxograph import catalogue_files
 from auxograph.operators import sinks
-from auxograph.sources import experiments
+from auxograph.sources import experiments, sbml
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +44,7 @@ def test_plates_lie_in_one_folder(spark):
         assert all(os.path.isfile(f"{root}/{name}") for name in os.listdir(root))
 
 
-def test_a_model_is_written_in_parts(spark):
+def test_a_model_is_written_in_parts(spark, tmp_path):
     kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as little as this would be one part
     try:
@@ -51,7 +52,19 @@ def test_a_model_is_written_in_parts(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     parts = [open(f"{root}/{name}").read() for name in sorted(os.listdir(root)) if name.startswith("part-")]
-    assert sum(bool(p) for p in parts) > 1
+    assert sum("id=" in p for p in parts) > 1
+    assert all(p.startswith("<sbml") and p.endswith("</model></sbml>\n") for p in parts)
     whole = "".join(parts)
-    assert whole.startswith("<sbml") and whole.endswith("</model></sbml>\n")
     assert whole.rindex("<parameter id=") < whole.index("<species ") < whole.rindex("<species ") < whole.index("<reaction ")
+    db = duckdb.connect()
+    db.execute(f"create view part as select * from '{SF}/part.parquet'")
+    for read, name in ((sbml.read_exchanges, "sbml_exchanges"), (sbml.read_bounds, "sbml_bounds")):
+        assert sorted(map(tuple, read(spark, root).collect())) == sorted(db.execute(catalogue_files.ORACLES[name]).fetchall())
+
+
+def test_the_last_reaction_of_the_last_file_counts(spark, tmp_path):
+    # the larger file is read first
+    for name, n in (("part-0", 1000), ("part-1", 1)):
+        reactions = "".join(f'<reaction id="EX_{name}_{i}" name="same"/>\n' for i in range(n))
+        (tmp_path / f"{name}.xml").write_text(f"<sbml><model>{reactions}</model></sbml>")
+    assert [tuple(r) for r in sbml.read_exchanges(spark, str(tmp_path)).collect()] == [("same", "EX_part-1_0")]
