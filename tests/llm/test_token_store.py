@@ -1,4 +1,5 @@
 import os
+import string
 import zlib
 
 import numpy as np
@@ -32,6 +33,55 @@ def test_words_are_encoded_like_texts(texts):
         assert encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+latin = st.sampled_from(["a", "St", "ñ", "ß", "ɏ", "\u0250", "ª", "ĸ", "ing", "'", "'s", "'LL", ".", ",", "!!", "###", "_", "`", "1", "²", "—", "я", "字", "\u0301"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.lists(latin, min_size=1, max_size=6).map("".join), max_size=8).map(" ".join), max_size=6))
+def test_words_without_their_punctuation(texts):
+    plain = Tokenizer.from_file(PATH) if not hasattr(test_words_without_their_punctuation, "t") else test_words_without_their_punctuation.t
+    test_words_without_their_punctuation.t = plain
+    encode = WordEncoder(PATH, remembered=5)
+    for _ in range(2):
+        assert encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_each_letter_and_end(plain):
+    """Every letter that is encoded apart, beside each ASCII punctuation, and every white space that isn't cut at."""
+    letters = [c for c in map(chr, range(0x600)) if c.isalnum()]
+    texts = [f"a{c}{p} {c}{p}{p} {p}{c}b" for c in letters for p in string.punctuation]
+    texts += [f"a.{c}b {c}c" for c in map(chr, range(1, 0x110000)) if c.isspace()]
+    got = WordEncoder(PATH)(texts)
+    assert got == [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_letters_are_not_cut_by_the_tokenizer():
+    """A word goes to the model once, whatever ends it; only ends and other words are cut by the tokenizer."""
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.characters = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode(self, text, **given):
+            self.characters += len(text)
+            return self.tokenizer.encode(text, **given)
+
+        def encode_batch_fast(self, texts, **given):
+            self.characters += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **given)
+
+    encode = WordEncoder(PATH)
+    counting = Counting(encode.tokenizer)
+    for owner in (encode, getattr(encode, "words", None)):
+        if owner is not None:
+            owner.tokenizer = counting
+    encode(["".join(f" wördя{chr(97 + i % 26)}{chr(97 + i // 26)}{end}" for i in range(600) for end in ("", ".", ",!!", "###"))[1:]])
+    assert counting.characters <= 50
+
+
 def check(spark, docs, rows, plain):
     path = Scratch(spark, "test-tokens").path("store")
     write_tokens(docs, path, PATH, files=3)
